@@ -1,0 +1,6 @@
+"""Registered queries over the driver's tables and their SQL twins."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
