@@ -11,7 +11,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_EPOCHS = 2
 #: Rows of a source that one sorted range holds on average.
-RANGE_ROWS = 50_000
+RANGE_ROWS = 20_000
 
 
 def word_count(text: Column) -> Column:
@@ -46,17 +46,23 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, ma
     return left.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: str = "mix", range_rows: int = RANGE_ROWS) -> DataFrame:
+def mix(
+    docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: str = "mix", range_rows: int = RANGE_ROWS, carry: bool = False
+) -> DataFrame:
     """doc_id, source, size, source_size, target, taken: how many words of each row the mix takes.
 
     ``size`` counts words (null text: 0).  Each source's rows are put in order of the MD5 of ``seed`` and doc_id; a
     target of several epochs takes whole ones first, then cuts the order at the exact budget, so that the last row is
     taken in part.  ``taken`` counts repeats and sums to the target, rounded down, in each source.  Null sources are a
     source of their own, as is the empty string; null ids sort first.  Rows alike in doc_id, source and size are
-    interchangeable.  Empty tables give no rows.  Other columns are not looked at.
+    interchangeable.  Empty tables give no rows.  Other columns are not looked at; with ``carry`` the input row comes
+    along as the struct column ``_row``.
     """
     key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size")))
+    row = [F.struct(*docs.columns).alias("_row")] if carry else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), *row)
+    sized = cut(rows.drop("_row"))
+    rows = rows if carry else sized
     total = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_n"))
     # One row per source from here to the targets.
     goal = targets(total.select("source", "source_size"), weights, share, max_epochs)
@@ -66,14 +72,17 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, max_epo
     # Keys are uniform, so equal ranges of them hold about equally many rows: as many ranges as the source needs.
     ranges = F.greatest(F.lit(1), F.ceil(F.col("_n") / range_rows)).cast("long")
     place = F.conv(F.substring("_key", 1, 8), 16, 10).cast("long")
-    keyed = (
-        sized.join(by_source, F.expr("source <=> _s"))
-        .withColumn("_key", key)
-        .withColumn("_range", F.floor(place * ranges / F.lit(2.0**32)).cast("long"))
-        .drop("_s", "_n")
-    )
+
+    def keyed(df: DataFrame) -> DataFrame:
+        return (
+            df.join(by_source, F.expr("source <=> _s"))
+            .withColumn("_key", key)
+            .withColumn("_range", F.floor(place * ranges / F.lit(2.0**32)).cast("long"))
+            .drop("_s", "_n")
+        )
+
     # Prefix sums: of whole ranges over a few rows per source, then within each range.
-    sums = keyed.groupBy("source", "_range").agg(F.sum("size").alias("_sum"))
+    sums = keyed(sized).groupBy("source", "_range").agg(F.sum("size").alias("_sum"))
     before = sums.select(
         F.col("source").alias("_s"), F.col("_range").alias("_r"),
         (F.sum("_sum").over(Window.partitionBy("source").orderBy("_range")) - F.col("_sum")).alias("_before"),
@@ -84,9 +93,10 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, max_epo
     epochs = F.when(F.col("source_size") > 0, F.expr("div(floor(target), source_size)")).otherwise(F.lit(0))
     part = F.greatest(F.lit(0), F.least("size", budget - epochs * F.col("source_size") - start))
     return (
-        keyed.join(before, F.expr("source <=> _s and _range = _r"))
+        keyed(rows)
+        .join(before, F.expr("source <=> _s and _range = _r"))
         .withColumn("taken", (epochs * F.col("size") + part).cast("long"))
-        .select("doc_id", "source", "size", "source_size", "target", "taken")
+        .select("doc_id", "source", "size", "source_size", "target", "taken", *(["_row"] if carry else []))
     )
 
 

@@ -206,7 +206,11 @@ def maximal_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, gram: int | Non
     runs over several anchors comes in overlapping pieces.  Rows that repeat both doc_id and text count as documents of
     their own.  Null and short texts, and empty tables, have no repeats.
     """
-    gram = gram or min(GRAM, min_bytes // 2)
+    return _occurrences(docs, min_bytes, gram or min(GRAM, min_bytes // 2), max_contexts, True)
+
+
+def _occurrences(docs: DataFrame, min_bytes: int, gram: int, max_contexts: int, listed: bool) -> DataFrame:
+    """As ``maximal_repeats``; unless ``listed``, overlapping pieces of a context are one row without a repeat's name."""
     spark = docs.sparkSession
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +225,8 @@ def maximal_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, gram: int | Non
 
     keyed = docs.select(*row_key(docs), "text")
     every = cut(keyed.mapInArrow(find, "_id long, _th long, lo long, n int, p int, anchor long, c1 long, c2 long"))
-    repeated = (
+    # Written first, so that the join below has plain shuffles on both sides, which AQE can split where a key is hot.
+    repeated = cut(
         every.groupBy("anchor")
         .agg(F.count(F.lit(1)).alias("all"), (F.min("c1") != F.max("c1")).alias("mixed"))
         .where("all > 1")
@@ -237,7 +242,7 @@ def maximal_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, gram: int | Non
         F.concat_ws(":", F.lit("w"), "c1", "c2").alias("repeat"),
     )
     mixed = contexts.where("mixed").select("anchor", "c1", "c2", "one.*")
-    sizes = mixed.groupBy("anchor").agg(F.count(F.lit(1)).alias("different"))
+    sizes = cut(mixed.groupBy("anchor").agg(F.count(F.lit(1)).alias("different")))
     wanted = (
         mixed.join(sizes, "anchor")
         .groupBy("_id", "_th")
@@ -252,7 +257,7 @@ def maximal_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, gram: int | Non
         pieces.where(F.col("different") <= max_contexts)
         .repartition(parts(spark), "anchor")
         .sortWithinPartitions("anchor", "c1", "c2")
-        .mapInArrow(_grouper(min_bytes), "anchor long, c1 long, c2 long, start long, length long, repeat string")
+        .mapInArrow(_grouper(min_bytes, listed), "anchor long, c1 long, c2 long, start long, length long, repeat string")
     )
     found = whole.unionByName(usual)
     if not pieces.where(F.col("different") > max_contexts).isEmpty():
@@ -277,7 +282,7 @@ def _slicer(min_bytes: int):
     return run
 
 
-def _grouper(min_bytes: int):
+def _grouper(min_bytes: int, listed: bool):
     """Streams the contexts of a partition, sorted by anchor, and resolves one anchor after the other."""
     names = ["anchor", "c1", "c2", "start", "length", "repeat"]
 
@@ -289,7 +294,12 @@ def _grouper(min_bytes: int):
         if len(kept) < 2:
             return []
         got = group_repeats([r[5] for r in kept], np.array([r[4] for r in kept]), np.array([r[3] for r in kept]), min_bytes)
-        return [(kept[i][0], kept[i][1], kept[i][2], start, length, f"m{k}") for k, i, start, length in got]
+        if listed:
+            return [(*kept[i][:3], start, length, f"m{k}") for k, i, start, length in got]
+        spans: dict[int, list[tuple[int, int]]] = {}
+        for _, i, start, length in got:
+            spans.setdefault(i, []).append((start, start + length))
+        return [(*kept[i][:3], a, b - a, None) for i, some in spans.items() for a, b in _merged(some)]
 
     def pack(found: list[tuple]) -> pa.RecordBatch:
         cols = list(zip(*found, strict=True))
@@ -356,7 +366,7 @@ def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, max_contexts: in
     new = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
     kept = docs.drop(*new)
     spans = (
-        maximal_repeats(docs, min_bytes, max_contexts=max_contexts)
+        _occurrences(docs, min_bytes, min(GRAM, min_bytes // 2), max_contexts, False)
         .groupBy("_id", "_th", "start")
         .agg(F.max("length").alias("length"))
         .groupBy("_id", "_th")
@@ -388,3 +398,11 @@ def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, max_contexts: in
     names = [c for c in keyed.columns if c != "_spans"]
     schema = keyed.drop("_spans").schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string").add("kept_text", "string")
     return keyed.mapInArrow(run, schema)
+
+
+def rewrite(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
+    """``docs`` with repeated passages cut out of text, and n_chars, where there is one, counted anew; nothing else changes."""
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
+    found = remove_repeats(rows, min_bytes)
+    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return found.select(*(new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns))
