@@ -1,0 +1 @@
+"""Column functions: geography, text, time, vectors."""
