@@ -142,7 +142,7 @@ def candidates(
     from pyspark.sql import Window
 
     open_still = F.col("last_seen") >= F.col("occurred_at") - F.expr(f"INTERVAL {hours} HOURS")
-    pairs = items.join(b, (F.col("dataset_id") == F.col("_d")) & open_still)
+    pairs = items.drop("bubble_id", "centroid").join(b, (F.col("dataset_id") == F.col("_d")) & open_still)
     if candidate_limit is not None:
         order = Window.partitionBy("item_id").orderBy(F.desc("last_seen"), F.desc("bubble_id"))
         pairs = pairs.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= candidate_limit).drop("_k")

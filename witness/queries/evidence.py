@@ -1,0 +1,417 @@
+"""Queries over witness counting, grading, trust, assignment and space."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from witness import fixtures as X
+from witness import model
+from witness.functions.geo import HAVERSINE_SQL, haversine_m
+from witness.functions.text import fingerprint, independence_key
+from witness.operators import assign, fold, grade, origins, spatial, store, trust
+from witness.queries.base import BUBBLES_SQL, ORACLES, QUERIES, query, r6, secs, sql
+
+# ---------------------------------------------------------------- origins
+
+
+def _short_texts(spark, sf_dir):
+    d = X.read(spark, sf_dir, "documents").where("n_chars <= 1000")
+    return d.selectExpr("lang AS bubble_id", "doc_id AS item_id", "source", "concat('u', doc_id % 400) AS author", "text", "timestamp_seconds(doc_id * 7 % 1000) AS occurred_at",
+                        "concat('https://www.Ex.org/p/', doc_id % 700, '/') AS url", "CASE WHEN doc_id % 13 = 0 THEN array(concat('http://ex.org/P/', (doc_id + 5) % 700)) ELSE array() END AS quoted_urls")
+
+
+_SETS = """sets AS (SELECT lang AS bubble_id, doc_id AS item_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> ''))) AS t FROM documents WHERE n_chars <= 1000),
+reps AS (SELECT bubble_id, t, min(item_id) AS item_id FROM sets WHERE len(t) > 0 GROUP BY 1, 2),
+jac AS (SELECT *, i / (na + nb - i) AS overlap FROM (SELECT a.bubble_id, a.item_id AS a, b.item_id AS b, len(list_intersect(a.t, b.t)) AS i, len(a.t) AS na, len(b.t) AS nb FROM reps a JOIN reps b ON a.bubble_id = b.bubble_id AND a.item_id < b.item_id)),
+twins AS (SELECT s.bubble_id, r.item_id AS a, s.item_id AS b, 1.0::DOUBLE AS overlap FROM sets s JOIN reps r ON s.bubble_id = r.bubble_id AND s.t = r.t AND s.item_id <> r.item_id)"""
+_PAIRS = "SELECT a, b, round(overlap, 6) AS overlap FROM jac WHERE overlap >= {} UNION ALL SELECT a, b, overlap FROM twins"
+
+
+@query("WITH " + _SETS + " " + _PAIRS.format("0.85::DOUBLE"))
+def o1_wording(spark, sf_dir):
+    return origins.wording_links(_short_texts(spark, sf_dir)).select("a", "b", r6("overlap"))
+
+
+@query("WITH " + _SETS + ", e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), p AS (" + _PAIRS.format("0.5::DOUBLE") + """)
+SELECT p.a, p.b FROM p JOIN e x ON x.vec_id = p.a % 100 JOIN e y ON y.vec_id = (p.b + (p.a - p.b) * (p.a % 2)) % 100
+WHERE list_dot_product(x.v, y.v) / (sqrt(list_dot_product(x.v, x.v)) * sqrt(list_dot_product(y.v, y.v))) >= 0.95""")
+def o2_restated(spark, sf_dir):
+    items = _short_texts(spark, sf_dir)
+    pairs = origins.overlapping(items, origins.RESTATED_OVERLAP)
+    v = X.vectors(spark, sf_dir).select("vec_id", "v")
+    from witness.functions.vectors import cosine
+
+    # Stand-in vectors: those of pairs with an odd first id are equal, of others two neighbours'.
+    got = pairs.join(v.select(F.col("vec_id").alias("_x"), F.col("v").alias("vx")), F.col("a") % 100 == F.col("_x")).join(
+        v.select(F.col("vec_id").alias("_y"), F.col("v").alias("vy")), F.expr("(b + (a - b) * (a % 2)) % 100 = _y"))
+    return got.where(cosine(F.col("vx"), F.col("vy")) >= origins.RESTATED_COSINE).select("a", "b")
+
+
+@query("""WITH d AS (SELECT lang, doc_id, 'ex.org/p/' || (doc_id % 700) AS u, CASE WHEN doc_id % 13 = 0 THEN 'ex.org/p/' || ((doc_id + 5) % 700) END AS q FROM documents WHERE n_chars <= 1000)
+SELECT x.doc_id AS a, y.doc_id AS b FROM d x JOIN d y ON x.lang = y.lang AND x.u = y.q AND x.doc_id <> y.doc_id""")
+def o3_quotes(spark, sf_dir):
+    return origins.quote_links(_short_texts(spark, sf_dir)).select("a", "b")
+
+
+@query(sql(select="""SELECT i.item_id AS b, f.a FROM items i JOIN (SELECT bubble_id, source, author, min(item_id) AS a FROM items WHERE author IS NOT NULL GROUP BY 1, 2, 3) f
+  ON i.bubble_id = f.bubble_id AND i.source = f.source AND i.author = f.author WHERE i.item_id <> f.a"""))
+def o4_author(spark, sf_dir):
+    items = X.items(spark, sf_dir).withColumn("author", F.when(F.col("item_id") % 2 == 0, F.upper(F.concat(F.lit(" "), "author"))).otherwise(F.col("author")))
+    return origins.author_links(items).select("a", "b")
+
+
+AUTHOR_ORIGINS_SQL = """origins AS (SELECT i.*, f.origin_id FROM (SELECT *, CASE WHEN author IS NOT NULL THEN source || '|' || author ELSE '#' || item_id END AS k FROM items) i
+  JOIN (SELECT bubble_id, CASE WHEN author IS NOT NULL THEN source || '|' || author ELSE '#' || item_id END AS k, arg_min(item_id, (occurred_at, item_id)) AS origin_id FROM items GROUP BY 1, 2) f ON i.bubble_id = f.bubble_id AND i.k = f.k)"""
+
+
+@query(sql(AUTHOR_ORIGINS_SQL, select="SELECT item_id, origin_id FROM origins"))
+def o6_author_origins(spark, sf_dir):
+    return origins.author_origins(X.items(spark, sf_dir)).select("item_id", "origin_id")
+
+
+@query()
+def o7_chained_origins(spark, sf_dir):
+    items = _short_texts(spark, sf_dir)
+    return origins.assign_origins(items, origins.links(items)).select("item_id", "origin_id")
+
+
+@query()
+def o9_origin_groups(spark, sf_dir):
+    items = _short_texts(spark, sf_dir)
+    found = origins.links(items)
+    return origins.origin_groups(origins.assign_origins(items, found), found).select("origin_id", "items", F.array_join("why", "; ").alias("why"))
+
+
+@query(sql(AUTHOR_ORIGINS_SQL, select="SELECT bubble_id, count(*) AS items, count(DISTINCT origin_id) AS independent_sources FROM origins GROUP BY 1"))
+def o10_counts(spark, sf_dir):
+    return origins.origin_counts(origins.author_origins(X.items(spark, sf_dir)))
+
+
+_HANDLE = "['journeysbot@g2s.mountainmoss.nz', 'someone', NULL][item_id % 3 + 1]"
+
+
+@query(sql(select=f"SELECT item_id, CASE WHEN h = 'journeysbot@g2s.mountainmoss.nz' THEN 'origin:NZTA Journeys' ELSE 'publisher:' || source END AS key FROM (SELECT item_id, source, {_HANDLE} AS h FROM items)"))
+def o12_relays(spark, sf_dir):
+    h = F.expr("element_at(array('journeysbot@g2s.mountainmoss.nz', 'someone', NULL), CAST(item_id % 3 + 1 AS INT))")
+    return X.items(spark, sf_dir).withColumn("h", h).select("item_id", independence_key(F.col("h"), F.col("source")).alias("key"))
+
+
+@query("SELECT doc_id, left(sha256(left(regexp_replace(lower(coalesce(text, '') || ' ' || source), '[^a-z ]', '', 'g'), 200)), 12) AS fingerprint FROM documents")
+def o13_fingerprint(spark, sf_dir):
+    d = X.read(spark, sf_dir, "documents")
+    return d.select("doc_id", fingerprint(F.concat_ws(" ", F.coalesce("text", F.lit("")), "source")).alias("fingerprint"))
+
+
+# ---------------------------------------------------------------- grading
+
+_CROSS = "CASE (user_id % 15) % 5 WHEN 0 THEN 'consistent' WHEN 1 THEN 'inconsistent' END"
+CROSS_SQL = f"crosses AS (SELECT bubble_id, any_value({_CROSS}) AS cross_check FROM items GROUP BY 1)"
+CERTAINTY_SQL = """certainty AS (SELECT bubble_id, CASE WHEN NOT bool_or(lat IS NOT NULL) THEN 'unknown' WHEN bool_or(lat IS NOT NULL AND (geo_confidence IS NULL OR geo_confidence >= 1)) THEN 'stated' ELSE 'inferred' END AS location,
+  CASE WHEN bool_or(NOT assumed_time) THEN 'stated' ELSE 'assumed' END AS time, count(*) AS items, max(occurred_at) AS last_seen FROM items GROUP BY 1)"""
+RELIABLE_SQL = """reliable AS (SELECT bubble_id, coalesce(min(reliability), 'F') AS reliability, arg_min(source, (reliability, source)) FILTER (reliability IS NOT NULL) AS best_source,
+  count(reliability) AS registered, count(*) - count(reliability) AS unregistered FROM (SELECT DISTINCT bubble_id, source FROM items) LEFT JOIN registry USING (source) GROUP BY 1)"""
+_HALF = "CASE issue " + " ".join(f"WHEN '{i}' THEN {h}" for i, (h, _) in model.ISSUES.items()) + " ELSE 12 END"
+FACTS_SQL = f"""facts AS (SELECT c.*, r.reliability, r.best_source, r.registered, r.unregistered, x.cross_check, o.origins, h.issue FROM certainty c JOIN reliable r USING (bubble_id) JOIN crosses x USING (bubble_id)
+  JOIN (SELECT bubble_id, count(DISTINCT origin_id) AS origins FROM origins GROUP BY 1) o USING (bubble_id)
+  JOIN (SELECT bubble_id, arg_min(hazard, (-n, hazard)) AS issue FROM (SELECT bubble_id, hazard, count(*) AS n FROM items GROUP BY 1, 2) GROUP BY 1) h USING (bubble_id)),
+graded AS (SELECT *, CASE WHEN reliability = 'A' AND c0 = 4 THEN 3 ELSE c0 END AS credibility, location <> 'unknown' AND coalesce(cross_check, '') <> 'inconsistent' AS alert_worthy,
+    pow(0.5::DOUBLE, greatest(0::DOUBLE, (epoch_us(TIMESTAMP '2024-01-15 12:00:00') - epoch_us(last_seen)) / 3.6e9) / ({_HALF})) AS freshness
+  FROM (SELECT *, CASE WHEN location = 'unknown' OR time = 'unknown' THEN 6 WHEN cross_check = 'inconsistent' THEN 5 WHEN origins >= 2 AND cross_check = 'consistent' THEN 2 WHEN origins >= 2 OR cross_check = 'consistent' THEN 3 ELSE 4 END AS c0 FROM facts))"""
+GRADED = (X.REGISTRY_SQL, CROSS_SQL, CERTAINTY_SQL, RELIABLE_SQL, AUTHOR_ORIGINS_SQL, FACTS_SQL)
+
+
+def crosses(items):
+    kind = F.expr(_CROSS)
+    return items.groupBy("bubble_id").agg(F.first(kind).alias("cross_check")).withColumn("cross_detail", F.lit(None).cast("string")).where("cross_check IS NOT NULL")
+
+
+def facts(spark, sf_dir):
+    items = X.items(spark, sf_dir)
+    issue = fold.most_common(items, "bubble_id", "hazard").withColumnRenamed("hazard", "issue")
+    return grade.cluster_facts(items, origins.author_origins(items), X.registry(spark), crosses(items), issue)
+
+
+@query(sql(CERTAINTY_SQL, select="SELECT bubble_id, location FROM certainty"))
+def c1_location_certainty(spark, sf_dir):
+    return X.items(spark, sf_dir).groupBy("bubble_id").agg(grade.location_certainty().alias("location"))
+
+
+@query(sql(CERTAINTY_SQL, select="SELECT bubble_id, time FROM certainty"))
+def c2_time_certainty(spark, sf_dir):
+    return X.items(spark, sf_dir).groupBy("bubble_id").agg(grade.time_certainty().alias("time"))
+
+
+@query(sql(X.REGISTRY_SQL, RELIABLE_SQL, select="SELECT * FROM reliable"))
+def c3_best_reliability(spark, sf_dir):
+    return grade.best_reliability(X.items(spark, sf_dir), X.registry(spark))
+
+
+_ISSUE_N = ", ".join(f"len(list_filter([{', '.join(repr(w) for w in ws)}], lambda w: contains(lower(text), w))) AS n{k}" for k, (_, ws) in enumerate(model.ISSUES.values()))
+_ISSUE_PICK = "CASE greatest(" + ", ".join(f"n{k}" for k in range(len(model.ISSUES))) + ") WHEN 0 THEN 'other' " + " ".join(f"WHEN n{k} THEN '{i}'" for k, i in enumerate(model.ISSUES)) + " END"
+
+
+@query(X.with_sql(X.TEXTS_SQL, select=f"SELECT doc_id, {_ISSUE_PICK} AS issue FROM (SELECT doc_id, {_ISSUE_N} FROM texts)"))
+def c4_issue_type(spark, sf_dir):
+    return grade.issue_types(X.texts(spark, sf_dir), "doc_id")
+
+
+@query(sql(select=f"SELECT item_id, {_HALF} AS half_life FROM (SELECT item_id, CASE WHEN item_id % 2 = 0 THEN hazard ELSE 'structural_damage' END AS issue FROM items)"))
+def c5_half_life(spark, sf_dir):
+    return X.items(spark, sf_dir).select("item_id", grade.half_life(F.when(F.col("item_id") % 2 == 0, F.col("hazard")).otherwise("structural_damage")).alias("half_life"))
+
+
+@query(sql(select=f"SELECT item_id, round(pow(0.5::DOUBLE, greatest(0::DOUBLE, (epoch_us(TIMESTAMP '2024-01-15 12:00:00') - epoch_us(occurred_at)) / 3.6e9) / ({_HALF.replace('issue', 'hazard', 1)})), 6) AS freshness FROM items"))
+def c6_freshness(spark, sf_dir):
+    return X.items(spark, sf_dir).select("item_id", r6(grade.freshness(F.col("hazard"), F.col("occurred_at"), X.AS_AT), "freshness"))
+
+
+@query(sql(*GRADED, select="SELECT bubble_id, credibility, alert_worthy, reliability || credibility || ' — ' || CASE reliability " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in model.RELIABILITY_LABELS.items())
+           + " END || ' / ' || CASE credibility " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in model.CREDIBILITY_LABELS.items()) + " END AS label FROM graded"))
+def c7_c8_c10_c12_grade(spark, sf_dir):
+    return grade.graded(facts(spark, sf_dir), X.AS_AT).select("bubble_id", "credibility", "alert_worthy", "label")
+
+
+@query()
+def c11_reasons(spark, sf_dir):
+    return grade.graded(facts(spark, sf_dir), X.AS_AT).select("bubble_id", F.array_join("reasons", " | ").alias("reasons"))
+
+
+@query(sql(*GRADED, select="""SELECT bubble_id, CASE WHEN alert_worthy THEN 1 + (origins < 2)::INT + (reliability = 'F')::INT + (location = 'inferred')::INT + (cross_check IS NULL)::INT + (freshness < 0.5)::INT ELSE 1 END AS n_reasons FROM graded"""))
+def c13_alert_reasons(spark, sf_dir):
+    return grade.graded(facts(spark, sf_dir), X.AS_AT).select("bubble_id", F.size("alert_reasons").alias("n_reasons"))
+
+
+@query(sql(CROSS_SQL, select="SELECT bubble_id, coalesce(cross_check, 'no_applicable_layer') AS cross_check FROM crosses"))
+def c14_cross_check(spark, sf_dir):
+    return facts(spark, sf_dir).select("bubble_id", "cross_check")
+
+
+REPLAY_SQL = """replayed AS (SELECT bubble_id, dataset_id, item_id, captured_at AS att, items, origins, reliability,
+    CASE WHEN reliability = 'A' AND c0 = 4 THEN 3 ELSE c0 END AS credibility, placed AND coalesce(cross_check, '') <> 'inconsistent' AS alert_worthy
+  FROM (SELECT *, CASE WHEN NOT placed THEN 6 WHEN cross_check = 'inconsistent' THEN 5 WHEN origins >= 2 AND cross_check = 'consistent' THEN 2 WHEN origins >= 2 OR cross_check = 'consistent' THEN 3 ELSE 4 END AS c0
+    FROM (SELECT f.*, x.cross_check, count(*) OVER w AS items, sum(CASE WHEN author IS NULL OR k = 1 THEN 1 ELSE 0 END) OVER w AS origins, coalesce(min(r.reliability) OVER w, 'F') AS reliability, bool_or(lat IS NOT NULL) OVER w AS placed
+      FROM (SELECT *, row_number() OVER (PARTITION BY bubble_id, source, author ORDER BY captured_at, item_id) AS k FROM items) f LEFT JOIN registry r USING (source) JOIN crosses x USING (bubble_id)
+      WINDOW w AS (PARTITION BY bubble_id ORDER BY captured_at, item_id ROWS UNBOUNDED PRECEDING)))),
+transitions AS (SELECT *, to_grade AS _g FROM (SELECT *, lag(to_grade) OVER p AS from_grade, lag(alert_worthy) OVER p AS was FROM (SELECT *, reliability || credibility AS to_grade FROM replayed) WINDOW p AS (PARTITION BY bubble_id ORDER BY att, item_id))
+  WHERE from_grade IS NULL OR from_grade <> to_grade OR (alert_worthy AND NOT coalesce(was, false)))"""
+REPLAYED = (X.REGISTRY_SQL, CROSS_SQL, REPLAY_SQL)
+
+
+def events(spark, sf_dir):
+    items = X.items(spark, sf_dir)
+    return grade.transitions(grade.replay(items, X.registry(spark), crosses(items).drop("cross_detail")))
+
+
+@query(sql(*REPLAYED, select="SELECT item_id, from_grade, to_grade, alert_worthy AS alert_fired FROM transitions"))
+def c15_transitions(spark, sf_dir):
+    return events(spark, sf_dir).select("item_id", "from_grade", "to_grade", "alert_fired")
+
+
+@query(sql(*REPLAYED, select="SELECT item_id, bubble_id, origins, items FROM transitions WHERE alert_worthy AND att > TIMESTAMP '2024-01-15 12:00:00' ORDER BY att DESC, item_id DESC LIMIT 100"))
+def c16_alert_feed(spark, sf_dir):
+    return grade.alert_feed(events(spark, sf_dir), X.AS_AT).select("item_id", "bubble_id", F.col("origins").cast("decimal(38,0)").cast("long").alias("origins"), "items")
+
+
+@query(sql(*REPLAYED, select="SELECT item_id, to_grade FROM transitions WHERE dataset_id = 'live' AND att <= TIMESTAMP '2024-01-15 12:00:00' ORDER BY att, item_id LIMIT 500"))
+def p9_grade_events(spark, sf_dir):
+    return store.grade_events(events(spark, sf_dir), dataset="live", as_at=X.AS_AT).select("item_id", "to_grade")
+
+
+@query(sql(*REPLAYED, select="SELECT bubble_id, arg_max(to_grade, (att, item_id)) AS to_grade, arg_max(items, (att, item_id)) AS items FROM transitions WHERE att <= TIMESTAMP '2024-01-15 12:00:00' GROUP BY 1"))
+def j8_grade_as_of(spark, sf_dir):
+    return store.last_before(events(spark, sf_dir), X.AS_AT).select("bubble_id", "to_grade", "items")
+
+
+@query()
+def c18_seeded_registry(spark, sf_dir):
+    """Which of the sources in hand the seeded registry knows; the driver's sources stand in by a prefix."""
+    items = X.items(spark, sf_dir).withColumn("source", F.expr("element_at(array('metservice', 'GeoNet ', 'gw-hilltop', source), CAST(item_id % 4 + 1 AS INT))"))
+    return store.with_reliability(items, model.seed_registry(spark)).groupBy("source", "reliability").count()
+
+
+@query(sql(*GRADED, select="SELECT bubble_id, CASE credibility WHEN 2 THEN 'corroborated' WHEN 3 THEN 'corroborated' WHEN 4 THEN 'unclear' WHEN 5 THEN 'doubtful' ELSE 'can''t judge yet' END AS tone FROM graded"))
+def c19_tone(spark, sf_dir):
+    return grade.graded(facts(spark, sf_dir), X.AS_AT).select("bubble_id", grade.tone(F.col("credibility")).alias("tone"))
+
+
+# ---------------------------------------------------------------- trust
+
+
+def _reports(spark, sf_dir):
+    """Items of one in twenty users, so that the quadratic oracle stays small; the operator itself joins by cells."""
+    return X.items(spark, sf_dir).withColumn("url", F.expr("concat('https://ex.org/', item_id % 400)")).withColumn(
+        "quoted_urls", F.expr("CASE WHEN item_id % 4 = 0 THEN array(concat('https://ex.org/', (item_id + 90) % 400)) ELSE array() END"))
+
+
+_REPORTS = "reports AS (SELECT *, 'https://ex.org/' || (item_id % 400) AS url, CASE WHEN item_id % 4 = 0 THEN 'https://ex.org/' || ((item_id + 90) % 400) END AS quoted FROM items)"
+_RELATED = "related AS (SELECT a.item_id AS a, a.url AS a_url, b.* FROM reports a JOIN reports b ON a.hazard = b.hazard AND a.item_id <> b.item_id AND abs(epoch_us(a.occurred_at) - epoch_us(b.occurred_at)) <= 86400000000 AND a.lat IS NOT NULL AND b.lat IS NOT NULL AND " + HAVERSINE_SQL.format(a="a.", b="b.") + " <= 1500)"
+
+
+@query(sql(_REPORTS, _RELATED, select="SELECT a, item_id AS b FROM related"))
+def j7_related(spark, sf_dir):
+    return trust.related(_reports(spark, sf_dir)).select("a", "b")
+
+
+@query(sql(_REPORTS, _RELATED, select="""SELECT item_id, kinds, corroborating, round(CASE WHEN lat IS NOT NULL AND geo_confidence < 1 THEN greatest(0, s - 0.1) ELSE s END, 2) AS score, band FROM (
+  SELECT *, CASE WHEN kinds >= 3 THEN 0.85::DOUBLE WHEN kinds = 2 THEN 0.6::DOUBLE WHEN corroborating > 0 THEN 0.4::DOUBLE WHEN lat IS NOT NULL THEN 0.2::DOUBLE ELSE 0.1::DOUBLE END AS s,
+    CASE WHEN kinds >= 2 THEN 'corroborated' WHEN corroborating > 0 THEN 'emerging' WHEN lat IS NOT NULL THEN 'single-source' ELSE 'insufficient' END AS band FROM (
+  SELECT r.item_id, r.lat, r.geo_confidence, 1 + count(DISTINCT CASE WHEN k.source_class <> r.source_class THEN k.source_class END) AS kinds, count(k.item_id) AS corroborating
+  FROM reports r LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a, author ORDER BY occurred_at, item_id) AS k FROM related) WHERE (author IS NULL OR k = 1) AND NOT coalesce(quoted = a_url, false)) k ON k.a = r.item_id GROUP BY 1, 2, 3))"""))
+def c17_trust(spark, sf_dir):
+    return trust.assess(_reports(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- assignment
+
+
+def _late(spark, sf_dir):
+    return X.items(spark, sf_dir).where("item_id % 25 = 0")
+
+
+CAND_SQL = "cand AS (SELECT *, " + HAVERSINE_SQL.format(a="", b="b_") + """ AS metres FROM (
+  SELECT i.item_id, i.lat, i.lng, b.bubble_id, b.last_seen, b.lat AS b_lat, b.lng AS b_lng, row_number() OVER (PARTITION BY i.item_id ORDER BY b.last_seen DESC, b.bubble_id DESC) AS k
+  FROM items i JOIN bubbles b ON i.dataset_id = b.dataset_id AND b.last_seen >= i.occurred_at - INTERVAL 6 HOUR WHERE i.item_id % 25 = 0) WHERE k <= 50)"""
+
+
+@query(sql(BUBBLES_SQL, CAND_SQL, select="SELECT item_id, bubble_id, round(metres, 3) AS metres FROM cand WHERE metres IS NULL OR metres <= 1500"))
+def j6_candidates(spark, sf_dir):
+    bubbles = fold.fold_bubbles(X.items(spark, sf_dir), ["bubble_id", "dataset_id"])
+    return store.candidates(_late(spark, sf_dir), bubbles).select("item_id", "bubble_id", F.round("metres", 3).alias("metres"))
+
+
+@query(sql(BUBBLES_SQL, CAND_SQL, select="""SELECT item_id, arg_max(bubble_id, (s, last_seen, bubble_id)) AS bubble_id, max(s) >= 0.75 AS joined
+  FROM (SELECT *, ((item_id * 31 + length(bubble_id) * 17 + epoch_us(last_seen) // 1000000) % 1000) / 1000.0::DOUBLE AS s FROM cand WHERE metres IS NULL OR metres <= 1500) GROUP BY 1"""))
+def g1_decide(spark, sf_dir):
+    bubbles = fold.fold_bubbles(X.items(spark, sf_dir), ["bubble_id", "dataset_id"])
+    pairs = store.candidates(_late(spark, sf_dir), bubbles).withColumn("similarity", F.expr("((item_id * 31 + length(bubble_id) * 17 + unix_seconds(last_seen)) % 1000) / 1000.0D"))
+    return assign.decide(pairs).select("item_id", "bubble_id", "joined")
+
+
+@query()
+def g2_decision_sentence(spark, sf_dir):
+    bubbles = fold.fold_bubbles(X.items(spark, sf_dir), ["bubble_id", "dataset_id"])
+    pairs = store.candidates(_late(spark, sf_dir), bubbles).withColumn("similarity", F.expr("((item_id * 31 + length(bubble_id) * 17) % 1000) / 1000.0D"))
+    d = assign.decide(pairs)
+    return d.select("item_id", assign.decision_sentence(F.col("joined"), F.col("similarity"), F.col("metres"), F.lit(0.5)).alias("why"))
+
+
+def _with_vectors(spark, sf_dir):
+    v = X.vectors(spark, sf_dir).select(F.col("vec_id").alias("_v"), "v")
+    n = v.count()
+    return X.items(spark, sf_dir).join(v, F.col("user_id") % n == F.col("_v")).drop("_v")
+
+
+@query()
+def g4_group_batch(spark, sf_dir):
+    return assign.group_batch(_with_vectors(spark, sf_dir), threshold=0.2)
+
+
+@query()
+def g3_group_in_order(spark, sf_dir):
+    return assign.group_in_order(_with_vectors(spark, sf_dir), threshold=0.2)
+
+
+# ---------------------------------------------------------------- space
+
+AREAS = (
+    ("north", ((174.69, -41.27), (174.74, -41.27), (174.74, -41.21), (174.69, -41.21))),
+    ("south", ((174.69, -41.35), (174.74, -41.35), (174.74, -41.27), (174.69, -41.27))),
+    ("corner", ((174.70, -41.30), (174.735, -41.30), (174.70, -41.25))),
+    ("ring", ((174.695, -41.345), (174.738, -41.345), (174.738, -41.205), (174.695, -41.205))),
+)
+HOLE = ("ring", ((174.71, -41.31), (174.725, -41.31), (174.725, -41.24), (174.71, -41.24)))
+
+
+def _edge_rows():
+    rows = []
+    for area, ring in (*AREAS, HOLE):
+        for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1], strict=True):
+            rows.append((area, x1, y1, x2, y2))
+    return rows
+
+
+AREA_SQL = "area_edges(area, x1, y1, x2, y2) AS (VALUES " + ", ".join(f"('{a}', {x1}::DOUBLE, {y1}::DOUBLE, {x2}::DOUBLE, {y2}::DOUBLE)" for a, x1, y1, x2, y2 in _edge_rows()) + ")"
+INSIDE_SQL = "inside AS (SELECT p.id, e.area FROM (SELECT item_id AS id, lng + 0.0013::DOUBLE AS lng, lat + 0.0017::DOUBLE AS lat FROM items WHERE lat IS NOT NULL) p JOIN area_edges e ON (e.y1 > p.lat) <> (e.y2 > p.lat) AND p.lng < (e.x2 - e.x1) * (p.lat - e.y1) / (e.y2 - e.y1) + e.x1 GROUP BY 1, 2 HAVING count(*) % 2 = 1)"
+
+
+def areas(spark):
+    return spark.createDataFrame(_edge_rows(), "area string, x1 double, y1 double, x2 double, y2 double")
+
+
+def moved(items):
+    return items.where("lat IS NOT NULL").selectExpr("item_id AS id", "lng + 0.0013D AS lng", "lat + 0.0017D AS lat")
+
+
+@query(sql(AREA_SQL, INSIDE_SQL, select="SELECT id, area FROM inside"))
+def j9_point_in_polygon(spark, sf_dir):
+    return spatial.inside(moved(X.items(spark, sf_dir)), areas(spark))
+
+
+_SPOTS = "spots(place, lat, lng) AS (VALUES " + ", ".join(f"('p{k}', {-41.34 + 0.02 * k}::DOUBLE, {174.70 + 0.006 * k}::DOUBLE)" for k in range(7)) + ")"
+
+
+@query(sql(_SPOTS, select="SELECT s.place, count(*) AS n, round(max(value), 6) AS top, round(avg(value), 6) AS mean FROM spots s JOIN items i ON i.lat IS NOT NULL AND " + HAVERSINE_SQL.format(a="s.", b="i.") + " <= 3000 GROUP BY s.place"))
+def j10_radius_join(spark, sf_dir):
+    spots = spark.createDataFrame([(f"p{k}", -41.34 + 0.02 * k, 174.70 + 0.006 * k) for k in range(7)], "place string, lat double, lng double")
+    return spatial.reports_near(spots, X.items(spark, sf_dir), 3000.0).select("place", "n", r6("top"), r6("mean"))
+
+
+QUERIES["l13_felt_reports"] = j10_radius_join
+ORACLES["l13_felt_reports"] = ORACLES["j10_radius_join"]
+
+
+@query(sql(select="SELECT a.item_id, round(" + HAVERSINE_SQL.format(a="a.", b="b.") + ", 3) AS metres FROM items a JOIN items b ON b.item_id = a.item_id + 1"))
+def v6_haversine(spark, sf_dir):
+    i = X.items(spark, sf_dir)
+    n = i.selectExpr("item_id - 1 AS item_id", "lat AS b_lat", "lng AS b_lng")
+    return i.join(n, "item_id").select("item_id", F.round(haversine_m(F.col("lat"), F.col("lng"), F.col("b_lat"), F.col("b_lng")), 3).alias("metres"))
+
+
+@query(sql(select="SELECT item_id FROM items WHERE lng BETWEEN 174.70 AND 174.72 AND lat BETWEEN -41.3 AND -41.22"))
+def v7_frame(spark, sf_dir):
+    from witness.functions.geo import in_frame
+
+    return X.items(spark, sf_dir).where(in_frame(F.col("lat"), F.col("lng"), (174.70, -41.3, 174.72, -41.22))).select("item_id")
+
+
+@query(sql(select="SELECT bubble_id, count(*) AS n, count(*) FILTER (abs(x) > 180 OR abs(y) > 90) AS bad FROM (SELECT bubble_id, CASE WHEN item_id % 97 = 0 THEN lng * 10000 ELSE lng END AS x, lat AS y FROM items WHERE lat IS NOT NULL) GROUP BY 1"))
+def v10_unprojected(spark, sf_dir):
+    i = X.items(spark, sf_dir).where("lat IS NOT NULL").withColumn("lng", F.when(F.col("item_id") % 97 == 0, F.col("lng") * 10000).otherwise(F.col("lng")))
+    return i.groupBy("bubble_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(spatial.looks_projected(F.col("lng"), F.col("lat"))).alias("bad"))
+
+
+@query(sql(select="SELECT item_id, source FROM items WHERE source_class = 'click' AND lng BETWEEN 174.70 AND 174.72 AND lat BETWEEN -41.3 AND -41.22"))
+def l1_features_in_frame(spark, sf_dir):
+    return spatial.features(X.items(spark, sf_dir), where="source_class = 'click'", frame=(174.70, -41.3, 174.72, -41.22)).select("item_id", "source")
+
+
+@query(sql(select="SELECT item_id FROM items WHERE lat IS NOT NULL AND " + HAVERSINE_SQL.format(a="", b="c_").replace("c_lat", "-41.30::DOUBLE").replace("c_lng", "174.71::DOUBLE") + " <= 2500"))
+def l1_features_near(spark, sf_dir):
+    return spatial.features(X.items(spark, sf_dir), near=(174.71, -41.30, 2500.0)).select("item_id")
+
+
+@query(sql(select="SELECT DISTINCT source, source_class FROM items WHERE value > 50 ORDER BY source, source_class LIMIT 20 OFFSET 5"))
+def l2_select_features(spark, sf_dir):
+    return spatial.select_features(X.items(spark, sf_dir).where("value > 50"), ["source", "source_class"], ["source", "source_class"], distinct=True, offset=5, limit=20)
+
+
+@query(sql(select="SELECT source_class, count(*) AS n, round(min(lng), 6) AS west, round(min(lat), 6) AS south, round(max(lng), 6) AS east, round(max(lat), 6) AS north FROM items GROUP BY 1"))
+def l4_extent(spark, sf_dir):
+    e = spatial.extent(X.items(spark, sf_dir), ["source_class"])
+    return e.select("source_class", "n", *(r6(c) for c in ("west", "south", "east", "north")))
+
+
+@query(sql(select="SELECT item_id, (SELECT count(*) FROM items WHERE value > 90) > 300 AS truncated FROM items WHERE value > 90 ORDER BY item_id LIMIT 300"))
+def l5_truncated(spark, sf_dir):
+    return spatial.capped(X.items(spark, sf_dir).where("value > 90"), ["item_id"], 300).select("item_id", "truncated")
+
+
+@query(sql(AREA_SQL, INSIDE_SQL, select="SELECT layer, count(*) AS hits, count(DISTINCT id) AS points FROM (SELECT id, area, CASE WHEN area IN ('north', 'south') THEN 'suburbs' ELSE 'hazards' END AS layer FROM inside) GROUP BY 1"))
+def l12_layers_at_points(spark, sf_dir):
+    a = areas(spark).withColumn("layer", F.when(F.col("area").isin("north", "south"), "suburbs").otherwise("hazards"))
+    return spatial.layers_at(moved(X.items(spark, sf_dir)), a).groupBy("layer").agg(F.sum("hits").alias("hits"), F.countDistinct("id").alias("points"))
+
+
+@query(sql(select="SELECT item_id, floor(epoch(occurred_at))::BIGINT AS at FROM items WHERE hazard = 'wind' AND value > 97"))
+def l1_where(spark, sf_dir):
+    return spatial.features(X.items(spark, sf_dir), where="hazard = 'wind' AND value > 97").select("item_id", secs("occurred_at").alias("at"))
