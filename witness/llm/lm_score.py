@@ -202,7 +202,8 @@ def score(docs: DataFrame, target_ids: DataFrame, max_broadcast: int = MAX_BROAD
     """
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     wanted = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("_target", F.lit(True))
-    marked = ids.join(wanted, "doc_id", "left").withColumn("_target", F.coalesce("_target", F.lit(False)))
+    # By shuffle at every size: ids of all target documents have no bound that a broadcast could rely on.
+    marked = ids.join(wanted.hint("merge"), "doc_id", "left").withColumn("_target", F.coalesce("_target", F.lit(False)))
     grams = cut(count_grams(marked))
     table = cut(model(grams))
     if table.count() <= max_broadcast:
