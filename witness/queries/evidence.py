@@ -207,9 +207,9 @@ def c15_transitions(spark, sf_dir):
     return events(spark, sf_dir).select("item_id", "from_grade", "to_grade", "alert_fired")
 
 
-@query(sql(*REPLAYED, select="SELECT item_id, bubble_id, origins, items FROM transitions WHERE alert_worthy AND att > TIMESTAMP '2024-01-15 12:00:00' ORDER BY att DESC, item_id DESC LIMIT 100"))
+@query(sql(*REPLAYED, select="SELECT item_id, bubble_id, origins::BIGINT AS origins, items FROM transitions WHERE alert_worthy AND att > TIMESTAMP '2024-01-15 12:00:00' ORDER BY att DESC, item_id DESC LIMIT 100"))
 def c16_alert_feed(spark, sf_dir):
-    return grade.alert_feed(events(spark, sf_dir), X.AS_AT).select("item_id", "bubble_id", F.col("origins").cast("decimal(38,0)").cast("long").alias("origins"), "items")
+    return grade.alert_feed(events(spark, sf_dir), X.AS_AT).select("item_id", "bubble_id", "origins", "items")
 
 
 @query(sql(*REPLAYED, select="SELECT item_id, to_grade FROM transitions WHERE dataset_id = 'live' AND att <= TIMESTAMP '2024-01-15 12:00:00' ORDER BY att, item_id LIMIT 500"))
