@@ -86,6 +86,8 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, orders: tuple = ORDER
     langs = [r.lang for r in rows.select("lang").distinct().limit(MAX_LANGS + 1).collect()]
     if len(langs) > MAX_LANGS:
         raise ValueError(f"over {MAX_LANGS} languages in the sample")
+    if not langs:
+        return [], np.zeros((buckets + 1, 0))
     langs = sorted(langs)
     found = rows.toPandas()
     counts = np.zeros((buckets + 1, len(langs)))

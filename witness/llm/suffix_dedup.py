@@ -372,11 +372,12 @@ def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, max_contexts: in
         .groupBy("_id", "_th")
         .agg(F.collect_list(F.struct("start", "length")).alias("_spans"))
     )
-    keyed = kept.select("*", *row_key(kept)).join(spans, ["_id", "_th"], "left").drop("_id", "_th")
+    rows = kept.select("text", F.struct(*kept.columns).alias("_row"), *row_key(kept))
+    keyed = rows.join(spans, ["_id", "_th"], "left").select("text", "_row", "_spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, texts = [], []
+            counts, texts = [], []
             for text, spans in zip(batch["text"], batch["_spans"], strict=True):
                 raw = text.as_py()
                 data = (raw or "").encode()
@@ -389,15 +390,16 @@ def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, max_contexts: in
                     left.append(data[at:a])
                     at = b
                 left = b"".join([*left, data[at:]])
-                rows.append((len(data), sum(b - a for a, b in cuts), len(cuts), hashlib.sha256(left).hexdigest()))
+                counts.append((len(data), sum(b - a for a, b in cuts), len(cuts), hashlib.sha256(left).hexdigest()))
                 texts.append(None if raw is None else raw if not cuts else left.decode("utf-8", "ignore"))
-            cols = list(zip(*rows, strict=True)) or [[]] * 4
-            arrays = [batch[c] for c in names] + [pa.array(c, pa.int64()) for c in cols[:3]] + [pa.array(cols[3], pa.string()), pa.array(texts, pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, names + new)
-
-    names = [c for c in keyed.columns if c != "_spans"]
-    schema = keyed.drop("_spans").schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string").add("kept_text", "string")
-    return keyed.mapInArrow(run, schema)
+            cols = list(zip(*counts, strict=True)) or [[]] * 4
+            arrays = [pa.array(c, pa.int64()) for c in cols[:3]] + [pa.array(cols[3], pa.string()), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays([batch["_row"], *arrays], ["_row", *new])
+
+    schema = keyed.select("_row").schema
+    for name, kind in zip(new, ("long", "long", "long", "string", "string"), strict=True):
+        schema = schema.add(name, kind)
+    return keyed.mapInArrow(run, schema).select("_row.*", *new)
 
 
 def rewrite(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:

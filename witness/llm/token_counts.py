@@ -95,7 +95,7 @@ def suffix_sums(hist: DataFrame, block: int = BLOCK) -> DataFrame:
         .select(
             "n_tokens", "n_docs", "docs_at_least", "tokens_at_least",
             (F.col("_sum") - F.col("tokens_at_least") + F.col("n_tokens") * F.col("docs_at_least")).alias("truncated_total"),
-            (1 - (F.col("docs_at_least") - F.col("n_docs")) / F.col("_all")).alias("share_at_most"),
+            ((F.col("_all") - F.col("docs_at_least") + F.col("n_docs")) / F.col("_all")).alias("share_at_most"),
         )
     )
 
