@@ -90,7 +90,7 @@ def instant_of(value: Column) -> Column:
 
 def strings_of(value: Column) -> Column:
     """The non-blank strings of a JSON array, or a single string as one."""
-    many = F.filter(F.transform(F.from_json(value, "array<string>"), F.trim), lambda x: x.isNotNull() & (x != ""))
+    many = F.filter(F.transform(F.from_json(value, "array<string>"), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
     return F.when(value.rlike(r"^\s*\["), many).when(F.trim(value) != "", F.array(F.trim(value))).otherwise(F.array().cast("array<string>"))
 
 
