@@ -340,3 +340,22 @@ def test_queries_of_the_operators_are_registered():
     names = entry.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
     assert F is not None
+
+
+def test_urls_of_the_pages_table_equal_plain_code(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    got = {r.page_id: r for r in url_filter.judge(pages).collect()}
+    rules = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+    own, keys = {}, {}
+    for r in pages.collect():
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)(?:\?([^#]*))?", r.url or "")
+        host, path, query = (m[1].lower(), m[2], m[3] or "") if m else ("", "", "")
+        fits = [x for x in rules if (host == (h := x[: x.index("/")]) or host.endswith("." + h)) and path.startswith(x[x.index("/") :])]
+        own[r.page_id] = (host, path, max(fits, key=len, default=None))
+        kept = "&".join(sorted(p for p in query.split("&") if p and not re.match("utm_[a-z]+=|ref=", p)))
+        keys.setdefault((re.sub(r"^(www|m)\.(?=[^.]+\.)", "", host), path.rstrip("/"), kept), []).append(r.page_id)
+    assert {k: (v.host, v.path, v.rule) for k, v in got.items()} == own
+    for ids in keys.values():  # the pages name no other addresses, so spellings alone make aliases
+        said = {rules[own[i][2]] for i in ids if own[i][2]}
+        for i in ids:
+            assert got[i].verdict == (rules[own[i][2]] if own[i][2] else "allow" if "allow" in said or not said else "block")
