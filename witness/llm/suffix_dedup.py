@@ -241,17 +241,17 @@ def _occurrences(docs: DataFrame, min_bytes: int, gram: int, max_contexts: int,
         "anchor", "c1", "c2", F.lit(0).cast("long").alias("start"), (F.col("one.n") - 1 + min_bytes).cast("long").alias("length"),
         F.concat_ws(":", F.lit("w"), "c1", "c2").alias("repeat"),
     )
-    mixed = contexts.where("mixed").select("anchor", "c1", "c2", "one.*")
+    mixed = contexts.where("mixed").select("anchor", "c1", "c2", "copies", "one.*")
     sizes = cut(mixed.groupBy("anchor").agg(F.count(F.lit(1)).alias("different")))
     wanted = (
         mixed.join(sizes, "anchor")
         .groupBy("_id", "_th")
-        .agg(F.collect_list(F.struct("anchor", "c1", "c2", "lo", "n", "p", "different")).alias("want"))
+        .agg(F.collect_list(F.struct("anchor", "c1", "c2", "lo", "n", "p", "different", "copies")).alias("want"))
     )
     # One row of each (_id, _th) is enough to read contexts from.
     read = keyed.join(wanted, ["_id", "_th"])
     pieces = cut(
-        read.mapInArrow(_slicer(min_bytes), "anchor long, c1 long, c2 long, n int, p int, different long, context binary")
+        read.mapInArrow(_slicer(min_bytes), "anchor long, c1 long, c2 long, n int, p int, different long, copies long, context binary")
     )
     usual = (
         pieces.where(F.col("different") <= max_contexts)
@@ -261,7 +261,10 @@ def _occurrences(docs: DataFrame, min_bytes: int, gram: int, max_contexts: int,
     )
     found = whole.unionByName(usual)
     if not pieces.where(F.col("different") > max_contexts).isEmpty():
-        found = found.unionByName(_counted(pieces.where(F.col("different") > max_contexts), min_bytes))
+        counted = _counted(pieces.where(F.col("different") > max_contexts), min_bytes)
+        if not listed:
+            counted = counted.join(whole.select("anchor", "c1", "c2"), ["anchor", "c1", "c2"], "left_anti")
+        found = found.unionByName(counted)
     return (
         some.select("_id", "_th", "lo", "anchor", "c1", "c2")
         .join(found, ["anchor", "c1", "c2"])
@@ -275,9 +278,9 @@ def _slicer(min_bytes: int):
             for text, want in zip(batch["text"], batch["want"], strict=True):
                 data = (text.as_py() or "").encode()
                 want = want.values.flatten()
-                anchor, c1, c2, lo, n, p, different = want
+                anchor, c1, c2, lo, n, p, different, copies = want
                 cuts = [data[a : a + k - 1 + min_bytes] for a, k in zip(lo.to_pylist(), n.to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([anchor, c1, c2, n, p, different, pa.array(cuts, pa.binary())], ["anchor", "c1", "c2", "n", "p", "different", "context"])
+                yield pa.RecordBatch.from_arrays([anchor, c1, c2, n, p, different, copies, pa.array(cuts, pa.binary())], ["anchor", "c1", "c2", "n", "p", "different", "copies", "context"])
 
     return run
 
@@ -299,7 +302,8 @@ def _grouper(min_bytes: int, listed: bool):
         spans: dict[int, list[tuple[int, int]]] = {}
         for _, i, start, length in got:
             spans.setdefault(i, []).append((start, start + length))
-        return [(*kept[i][:3], a, b - a, None) for i, some in spans.items() for a, b in _merged(some)]
+        # A context that occurs again is a repeat as a whole: its parts add nothing to what is covered.
+        return [(*kept[i][:3], a, b - a, None) for i, some in spans.items() if kept[i][6] == 1 for a, b in _merged(some)]
 
     def pack(found: list[tuple]) -> pa.RecordBatch:
         cols = list(zip(*found, strict=True))
@@ -309,7 +313,7 @@ def _grouper(min_bytes: int, listed: bool):
         rows: list[tuple] = []
         found: list[tuple] = []
         for batch in batches:
-            cols = [batch[c].to_pylist() for c in ("anchor", "c1", "c2", "n", "p", "context")]
+            cols = [batch[c].to_pylist() for c in ("anchor", "c1", "c2", "n", "p", "context", "copies")]
             for r in zip(*cols, strict=True):
                 if rows and rows[-1][0] != r[0]:
                     found += resolve(rows)
