@@ -2,56 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from witness.operators.graph import components
+from witness.plans.lineage import cut, drop_cut, shared_dir
+
+__all__ = ["SPACE", "WORD", "components", "cut", "drop_cut", "parts", "row_key", "shared_dir"]
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for cut lineage, as the cluster names it.
-
-    Where ``spark.checkpoint.dir`` is unset, a local session gets a temporary folder (removed at exit) and any other
-    session a folder in the warehouse, since both are visible to all of its tasks.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if spark.sparkContext.master.split("[")[0] == "local":
-            found = tempfile.mkdtemp(prefix="spark-")
-            atexit.register(shutil.rmtree, found, True)
-        else:
-            found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_cut"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later failures replay from those files.
-
-    Not ``checkpoint()``, which computes a plan twice (once to count, once to write) and writes rows, not columns.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._cut_path = path  # type: ignore[attr-defined]
-    return out
-
-
-def drop_cut(df: DataFrame) -> None:
-    """Delete the files behind ``cut(df)``; only for tables that no later plan reads."""
-    jvm, jsc = df.sparkSession._jvm, df.sparkSession._jsc
-    path = jvm.org.apache.hadoop.fs.Path(df._cut_path)  # type: ignore[attr-defined]
-    path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
-
-
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -62,45 +25,3 @@ def row_key(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> li
         F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_id"),
         F.xxhash64(F.col(text_col)).alias("_th"),
     ]
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """Connected components of an edge table of longs -> (node, root), root being the smallest id of the component.
-
-    Alternating large-star and small-star passes: each links every neighbour of a node to the smallest id nearby, so
-    chains halve and a hub needs only sums that combine before the shuffle plus a join that AQE can split.  Only nodes
-    with an edge to another node are returned.  Every round is written to the shared folder; its predecessor goes.
-    """
-    u, v = F.col(a), F.col(b)
-    now = cut(edges.where(u != v).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct())
-
-    def mark(df: DataFrame) -> tuple:
-        row = df.agg(
-            F.count(F.lit(1)),
-            F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")),
-            F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")),
-        ).first()
-        return tuple(row)
-
-    seen = mark(now)
-    for _ in range(max_rounds):
-        if not seen[0]:
-            break
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = (
-            both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        ).distinct()
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low2, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        new = cut(small.unionByName(low2.select("u", F.col("m").alias("v"))).distinct())
-        got = mark(new)
-        drop_cut(now)
-        now, done, seen = new, got == seen, got
-        if done:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-        now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    )
