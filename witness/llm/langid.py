@@ -80,16 +80,19 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, orders: tuple = ORDER
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(own[at])], ["lang", "bucket", "n"])
 
-    sample = docs.where("text is not null and lang is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    # The hashes alone are ranked; texts stay where they are and are taken by the hash that the next row would have.
+    usable = docs.where("text is not null and lang is not null").withColumn("_h", F.xxhash64("doc_id"))
+    edge = usable.select("_h").orderBy("_h").limit(sample_docs + 1).agg(F.count("_h").alias("n"), F.max("_h").alias("h")).first()
+    sample = usable if edge.n <= sample_docs else usable.where(F.col("_h") < edge.h)
     some = sample.select("lang", "text").mapInArrow(count, "lang string, bucket long, n long")
-    rows = some.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    rows = cut(some.groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
     langs = [r.lang for r in rows.select("lang").distinct().limit(MAX_LANGS + 1).collect()]
     if len(langs) > MAX_LANGS:
         raise ValueError(f"over {MAX_LANGS} languages in the sample")
     if not langs:
         return [], np.zeros((buckets + 1, 0))
     langs = sorted(langs)
-    found = rows.toPandas()
+    found = rows.toPandas()  # at most BUCKETS rows for each language
     counts = np.zeros((buckets + 1, len(langs)))
     counts[found.bucket.to_numpy(), found.lang.map({x: k for k, x in enumerate(langs)}).to_numpy(int)] = found.n
     logp = np.log(counts + SMOOTHING)
