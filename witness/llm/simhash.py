@@ -258,7 +258,11 @@ def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int
     Documents without words stay apart from each other here (each is kept): they share a fingerprint, not content.
     Rows without a doc_id stay.  All columns are kept as they are.
     """
-    found = near_duplicates(docs, shingle_words, max_bits)
+    return first_of_groups(docs, near_duplicates(docs, shingle_words, max_bits))
+
+
+def first_of_groups(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``keep_one`` with groups found before: doc_id, fp (0 without words) and component_id for each row of ``docs``."""
     keep = (
         found.where(F.col("doc_id").isNotNull() & ((F.col("doc_id") == F.col("component_id")) | (F.col("fp") == 0)))
         .select(F.col("doc_id").alias("_keep"))
