@@ -15,7 +15,11 @@ from witness.queries.base import BUBBLES_SQL, ORACLES, QUERIES, query, r6, secs,
 
 
 def _short_texts(spark, sf_dir):
-    d = X.read(spark, sf_dir, "documents").where("n_chars <= 1000")
+    return _all_texts(spark, sf_dir, "n_chars <= 1000")
+
+
+def _all_texts(spark, sf_dir, where="true"):
+    d = X.read(spark, sf_dir, "documents").where(where)
     return d.selectExpr("lang AS bubble_id", "doc_id AS item_id", "source", "concat('u', doc_id % 400) AS author", "text", "timestamp_seconds(doc_id * 7 % 1000) AS occurred_at",
                         "concat('https://www.Ex.org/p/', doc_id % 700, '/') AS url", "CASE WHEN doc_id % 13 = 0 THEN array(concat('http://ex.org/P/', (doc_id + 5) % 700)) ELSE array() END AS quoted_urls")
 
@@ -71,13 +75,13 @@ def o6_author_origins(spark, sf_dir):
 
 @query()
 def o7_chained_origins(spark, sf_dir):
-    items = _short_texts(spark, sf_dir)
+    items = _all_texts(spark, sf_dir)
     return origins.assign_origins(items, origins.links(items)).select("item_id", "origin_id")
 
 
 @query()
 def o9_origin_groups(spark, sf_dir):
-    items = _short_texts(spark, sf_dir)
+    items = _all_texts(spark, sf_dir)
     found = origins.links(items)
     return origins.origin_groups(origins.assign_origins(items, found), found).select("origin_id", "items", F.array_join("why", "; ").alias("why"))
 
