@@ -2,13 +2,35 @@
 
 import re
 
+from pyspark.sql import functions as F
 
-from witness.queries import QUERIES
+from witness import fixtures as X
+from witness.functions import text as T
+from witness.queries import QUERIES, views
 from witness.queries import evidence as E
 
 SF = "/root/testdata/sf0.001"
 
 
+def test_payloads_carry_whole_texts(spark):
+    texts = {r.doc_id: r.text for r in X.texts(spark, SF).collect()}
+    flat = lambda t: re.sub(r"\s+", " ", t).strip()
+    got = {int(r.record_id.split(":w")[1]): r.text for r in QUERIES["s7_cap_features"](spark, SF).collect()}
+    assert got == {i: f"Heavy rain watch — area {i % 9} — {t}"[:2000] for i, t in texts.items()}
+    posts = {int(r.record_id.split("/")[-1]): r.location_text for r in QUERIES["s9_bluesky"](spark, SF).collect()}
+    want = {r.doc_id: r.p for r in X.texts(spark, SF).select("doc_id", T.place_of(F.trim("text"))["place"].alias("p")).collect()}
+    assert posts == want
+    atom = {int(r.record_id.split(":t")[1]): r.text for r in QUERIES["s10_atom"](spark, SF).collect()}
+    plain = {i: t for i, t in texts.items() if i % 5 and not re.search(r"[<&\x00-\x08\x0b-\x0c\x0e-\x1f]", t)}
+    assert set(atom) == set(texts) and len(plain) > 50
+    assert all(flat(atom[i]) == flat(f"Report {i} — {flat(t)}"[:2000]) for i, t in plain.items())
+    rows = views._harvested(spark, SF).select("title", "text").collect()
+    found = {int(r.title.split()[1]): r.text for r in rows}
+    assert all(len(found[i]) >= len(flat(t)) - 1 for i, t in plain.items())
+    redacted = {r.doc_id: r.text for r in QUERIES["t11_redact"](spark, SF).collect()}
+    assert all(redacted[i].endswith(flat(t)[-30:]) for i, t in plain.items())
+
+
 def test_origins_of_all_documents_equal_brute_force(spark):
     rows = {r.item_id: r for r in E._all_texts(spark, SF).collect()}
     words = {i: set(re.findall(r"[^\W_]+", (r.text or "").lower())) for i, r in rows.items()}

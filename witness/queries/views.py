@@ -287,9 +287,17 @@ def s6_felt_bands(spark, sf_dir):
     return rows.groupBy("cell", "band").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _escaped(texts):
+    """Adds the whole text as a JSON string, and as HTML in XML without the characters that XML can't hold."""
+    json = F.to_json(F.array("text"))
+    html = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;amp;")), F.lit("<"), F.lit("&amp;lt;"))
+    bare = F.regexp_replace(html, r"[^\t\n\r\x{20}-\x{D7FF}\x{E000}-\x{FFFD}\x{10000}-\x{10FFFF}]", " ")
+    return texts.withColumns({"json_text": F.substring(json, F.lit(2), F.length(json) - 2), "xml_text": bare})
+
+
 @query()
 def s7_cap_features(spark, sf_dir):
-    d = X.texts(spark, sf_dir).selectExpr("""concat('{"geometry":{"type":"Polygon","coordinates":[[[174.6,-41.4],[174.9,-41.4],[174.9,-41.1],[174.6,-41.4]]]},"properties":{"identifier":"w', doc_id, '","info_headline":"Heavy rain watch","info_event":"rain","info_area_areaDesc":"area ', doc_id % 9, '","info_description":"', right(text, 40), '","sent":"2024-01-05T00:00:00Z"}}') AS feature""")
+    d = _escaped(X.texts(spark, sf_dir)).selectExpr("""concat('{"geometry":{"type":"Polygon","coordinates":[[[174.6,-41.4],[174.9,-41.4],[174.9,-41.1],[174.6,-41.4]]]},"properties":{"identifier":"w', doc_id, '","info_headline":"Heavy rain watch","info_event":"rain","info_area_areaDesc":"area ', doc_id % 9, '","info_description":', json_text, ',"sent":"2024-01-05T00:00:00Z"}}') AS feature""")
     return feeds.cap_features(d, NOW).select("record_id", "text", r6("lat"), r6("lng"), "hazard")
 
 
@@ -301,12 +309,12 @@ def s8_water_faults(spark, sf_dir):
 
 @query()
 def s9_bluesky(spark, sf_dir):
-    p = X.texts(spark, sf_dir).selectExpr("""concat('{"uri":"at://did/app/', doc_id, '","author":{"handle":"H', doc_id % 50, '"},"record":{"text":"', right(text, 60), '","createdAt":"2024-01-05T00:00:00Z"},"embed":{"$type":"app.bsky.embed.', element_at(array('images', 'video', 'external', 'x'), CAST(doc_id % 4 + 1 AS INT)), '","external":{"uri":"https://ex.org/a/', doc_id % 9, '"}}}') AS post""")
+    p = _escaped(X.texts(spark, sf_dir)).selectExpr("""concat('{"uri":"at://did/app/', doc_id, '","author":{"handle":"H', doc_id % 50, '"},"record":{"text":', json_text, ',"createdAt":"2024-01-05T00:00:00Z"},"embed":{"$type":"app.bsky.embed.', element_at(array('images', 'video', 'external', 'x'), CAST(doc_id % 4 + 1 AS INT)), '","external":{"uri":"https://ex.org/a/', doc_id % 9, '"}}}') AS post""")
     return feeds.bluesky_posts(p, NOW).select("record_id", "media", "url", "quoted_urls", "author", "hazard", "location_text")
 
 
 def _atom(spark, sf_dir):
-    return X.texts(spark, sf_dir).selectExpr("doc_id", """concat('<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>Report ', doc_id, '</title><id>t', doc_id, '</id><updated>2024-01-05T00:00:00+00:00</updated><link href="https://ex.org/', doc_id, '"/><author><name>u', doc_id % 60, '</name></author><content>&lt;p&gt;', CASE WHEN doc_id % 5 = 0 THEN 'submitted by someone' ELSE regexp_replace(right(text, 50), '[<&]', ' ') END, '&lt;/p&gt;</content></entry></feed>') AS xml""")
+    return _escaped(X.texts(spark, sf_dir)).selectExpr("doc_id", """concat('<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>Report ', doc_id, '</title><id>t', doc_id, '</id><updated>2024-01-05T00:00:00+00:00</updated><link href="https://ex.org/', doc_id, '"/><author><name>u', doc_id % 60, '</name></author><content>&lt;p&gt;', CASE WHEN doc_id % 5 = 0 THEN 'submitted by someone' ELSE xml_text END, '&lt;/p&gt;</content></entry></feed>') AS xml""")
 
 
 @query()
