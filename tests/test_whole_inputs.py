@@ -2,10 +2,12 @@
 
 import re
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from witness import fixtures as X
 from witness.functions import text as T
+from witness.operators import fold, store
 from witness.queries import QUERIES, views
 from witness.queries import evidence as E
 
@@ -57,3 +59,18 @@ def test_origins_of_all_documents_equal_brute_force(spark):
     sizes = {min(s, key=lambda k: (rows[k].occurred_at, k)): len(s) for s in sets.values() if len(s) > 1}
     assert {r.origin_id: r["items"] for r in QUERIES["o9_origin_groups"](spark, SF).collect()} == sizes
     assert spark.read.parquet(f"{SF}/documents.parquet").count() == len(want)
+
+
+def test_every_item_gets_a_decision(spark):
+    items = X.items(spark, SF)
+    assert QUERIES["g2_decision_sentence"](spark, SF).where("why IS NOT NULL").count() == items.count()
+
+
+def test_latest_candidates_equal_a_rank_for_each_item(spark):
+    items = X.items(spark, SF).cache()
+    bubbles = fold.fold_bubbles(items, ["bubble_id", "dataset_id"]).select("bubble_id", F.col("dataset_id").alias("_d"), "last_seen").cache()
+    on = (F.col("dataset_id") == F.col("_d")) & (F.col("last_seen") >= F.col("occurred_at") - F.expr("INTERVAL 6 HOURS"))
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("last_seen"), F.desc("bubble_id")))
+    want = items.drop("bubble_id").join(bubbles, on).withColumn("k", rank).where("k <= 50").select("item_id", "bubble_id")
+    got = store.candidates(items, fold.fold_bubbles(items, ["bubble_id", "dataset_id"]), metres=1e9).select("item_id", "bubble_id")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

@@ -128,13 +128,18 @@ def with_reliability(rows: DataFrame, registry: DataFrame, source: str = "source
     return loose.withColumn("reliability", F.coalesce("_exact", "_loose")).drop("_exact", "_loose")
 
 
+#: Copies of a data set's latest bubbles, each for a share of its items.
+COPIES = 64
+
+
 def candidates(
     items: DataFrame, bubbles: DataFrame, hours: int = 6, metres: float = 1500.0, candidate_limit: int | None = 50
 ) -> DataFrame:
     """Bubbles that each item could join: same data set, seen in the ``hours`` before it or later, near if both are placed.
 
-    The most recently seen ``candidate_limit`` are taken before distance counts, as a busy region's rule demands; the
-    rank keeps only that many rows for each item while it sorts. Without a limit, distance is looked up by cells.
+    The most recently seen ``candidate_limit`` are taken before distance counts, as a busy region's rule demands. Open
+    is a bound on last_seen alone, so an item's latest open bubbles are the open ones among its data set's latest: those
+    are found first, and no item meets more than that many. Without a limit, distance is looked up by cells.
     """
     b = bubbles.select(
         "bubble_id", F.col("dataset_id").alias("_d"), "last_seen", F.col("lat").alias("b_lat"), F.col("lng").alias("b_lng"), *[c for c in ("centroid",) if c in bubbles.columns]
@@ -142,10 +147,14 @@ def candidates(
     from pyspark.sql import Window
 
     open_still = F.col("last_seen") >= F.col("occurred_at") - F.expr(f"INTERVAL {hours} HOURS")
-    pairs = items.drop("bubble_id", "centroid").join(b, (F.col("dataset_id") == F.col("_d")) & open_still)
     if candidate_limit is not None:
-        order = Window.partitionBy("item_id").orderBy(F.desc("last_seen"), F.desc("bubble_id"))
-        pairs = pairs.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= candidate_limit).drop("_k")
+        order = Window.partitionBy("_d").orderBy(F.desc("last_seen"), F.desc("bubble_id"))
+        b = b.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= candidate_limit).drop("_k")
+    items, same = items.drop("bubble_id", "centroid"), F.col("dataset_id") == F.col("_d")
+    if candidate_limit is not None:  # the few bubbles are copied, so that a large data set's items go to many tasks
+        items, same = items.withColumn("_p", F.pmod(F.xxhash64("item_id"), F.lit(COPIES))), same & (F.col("_p") == F.col("_q"))
+        b = b.withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+    pairs = items.join(b, same & open_still).drop("_p", "_q")
     apart = haversine_m(F.col("lat"), F.col("lng"), F.col("b_lat"), F.col("b_lng"))
     return pairs.withColumn("metres", apart).where(F.col("metres").isNull() | (F.col("metres") <= metres)).drop("_d")
 

@@ -294,9 +294,11 @@ def g1_decide(spark, sf_dir):
 @query()
 def g2_decision_sentence(spark, sf_dir):
     bubbles = fold.fold_bubbles(X.items(spark, sf_dir), ["bubble_id", "dataset_id"])
-    pairs = store.candidates(_late(spark, sf_dir), bubbles).withColumn("similarity", F.expr("((item_id * 31 + length(bubble_id) * 17) % 1000) / 1000.0D"))
-    d = assign.decide(pairs)
-    return d.select("item_id", assign.decision_sentence(F.col("joined"), F.col("similarity"), F.col("metres"), F.lit(0.5)).alias("why"))
+    items = X.items(spark, sf_dir)
+    pairs = store.candidates(items, bubbles).withColumn("similarity", F.expr("((item_id * 31 + length(bubble_id) * 17) % 1000) / 1000.0D"))
+    d = items.select("item_id").join(assign.decide(pairs), "item_id", "left")
+    blocked = F.when(F.col("similarity").isNotNull(), 0.5)
+    return d.select("item_id", assign.decision_sentence(F.col("joined"), F.col("similarity"), F.col("metres"), blocked).alias("why"))
 
 
 def _with_vectors(spark, sf_dir):
