@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from witness import fixtures as X
 from witness.functions import text as T
-from witness.operators import fold, store
+from witness.operators import assign, fold, store
 from witness.queries import QUERIES, views
 from witness.queries import evidence as E
 
@@ -74,3 +74,15 @@ def test_latest_candidates_equal_a_rank_for_each_item(spark):
     want = items.drop("bubble_id").join(bubbles, on).withColumn("k", rank).where("k <= 50").select("item_id", "bubble_id")
     got = store.candidates(items, fold.fold_bubbles(items, ["bubble_id", "dataset_id"]), metres=1e9).select("item_id", "bubble_id")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_sessions_break_at_longer_gaps_only(spark):
+    hours = [0, 5, 11, 17.001, 17.5, 23.5, 40]  # six hours are no break, a little more is one
+    rows = [(d, k, float(h)) for d in ("a", "b") for k, h in enumerate(hours)]
+    df = spark.createDataFrame(rows, "dataset_id string, item_id long, h double").withColumn("occurred_at", F.timestamp_millis((F.col("h") * 3_600_000).cast("long")))
+    got = assign.sessions(df, 6).collect()
+    assert all([r.session for r in sorted(got, key=lambda r: r.item_id) if r.dataset_id == d] == [0, 0, 0, 1, 1, 1, 2] for d in "ab")
+    # Grouping within sessions is grouping of the whole: a task gets one session, and no result crosses one.
+    items = df.withColumns({"lat": F.lit(None).cast("double"), "lng": F.lit(None).cast("double"), "v": F.array(F.lit(1.0)), "item_id": F.col("item_id") + F.when(F.col("dataset_id") == "b", 100).otherwise(0)})
+    groups = {r.item_id: r.group_id for r in assign.group_in_order(items).collect()}
+    assert groups == {d + k: d + (0, 0, 0, 3, 3, 3, 6)[k] for d in (0, 100) for k in range(7)}
