@@ -6,9 +6,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: ContextVar[list[DataFrame] | None] = ContextVar("_made", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder for cut lineage, as the cluster names it.
@@ -37,11 +42,29 @@ def cut(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path  # type: ignore[attr-defined]
+    if (made := _made.get()) is not None:
+        made.append(out)
     return out
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there, in whatever store its path names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def drop_cut(df: DataFrame) -> None:
     """Delete the files behind ``cut(df)``; only for tables that no later plan reads."""
-    jvm, jsc = df.sparkSession._jvm, df.sparkSession._jsc
-    path = jvm.org.apache.hadoop.fs.Path(df._cut_path)  # type: ignore[attr-defined]
-    path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
+    drop_path(df.sparkSession, df._cut_path)  # type: ignore[attr-defined]
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes at its end every table that ``cut`` wrote inside it: write what the block computes before it ends."""
+    token = _made.set(made := [])
+    try:
+        yield
+    finally:
+        _made.reset(token)
+        for df in made:
+            drop_cut(df)
