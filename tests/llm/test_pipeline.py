@@ -6,8 +6,9 @@ from collections import Counter
 import corpus_pipeline as P
 import pytest
 
-from tests.llm.plain import benchmark_leaks, groups, removed
-from witness.llm import quality_ranker, simhash
+from tests.llm.plain import benchmark_leaks, removed
+from tests.llm.test_similar import brute as similar_groups
+from witness.llm import quality_ranker
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,8 +35,8 @@ def test_classifier_stage(spark, outputs):
 
 
 def test_near_dedup_stage(outputs):
-    fps = {i: simhash.fingerprint(t) for i, t in zip(outputs[1].doc_id, outputs[1].text, strict=True)}
-    assert set(outputs[2].doc_id) == set(groups(fps, 4).values())
+    want = similar_groups(dict(zip(outputs[1].doc_id, outputs[1].text, strict=True)))
+    assert set(outputs[2].doc_id) == set(want.values())
     assert len(outputs[2]) < len(outputs[1])
 
 
