@@ -51,16 +51,16 @@ def mix(
 ) -> DataFrame:
     """doc_id, source, size, source_size, target, taken: how many words of each row the mix takes.
 
-    ``size`` counts words (null text: 0).  Each source's rows are put in order of the MD5 of ``seed`` and doc_id; a
-    target of several epochs takes whole ones first, then cuts the order at the exact budget, so that the last row is
+    ``size`` counts words (null text: 0).  Each source's rows are put in order of the MD5 of ``seed``, doc_id and the
+    text's MD5 (so that rows without an id, or with one id and different texts, spread over the ranges too); a target of several epochs takes whole ones first, then cuts the order at the exact budget, so that the last row is
     taken in part.  ``taken`` counts repeats and sums to the target, rounded down, in each source.  Null sources are a
     source of their own, as is the empty string; null ids sort first.  Rows alike in doc_id, source and size are
     interchangeable.  Empty tables give no rows.  Other columns are not looked at; with ``carry`` the input row comes
     along as the struct column ``_row``.
     """
-    key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.md5("text"), F.lit(""))))
     row = [F.struct(*docs.columns).alias("_row")] if carry else []
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), *row)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), key.alias("_key"), *row)
     sized = cut(rows.drop("_row"))
     rows = rows if carry else sized
     total = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_n"))
@@ -76,7 +76,6 @@ def mix(
     def keyed(df: DataFrame) -> DataFrame:
         return (
             df.join(by_source, F.expr("source <=> _s"))
-            .withColumn("_key", key)
             .withColumn("_range", F.floor(place * ranges / F.lit(2.0**32)).cast("long"))
             .drop("_s", "_n")
         )
@@ -103,7 +102,7 @@ def mix(
 #: The same in DuckDB.
 ORACLE = r"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM {docs}),
+  SELECT doc_id, source, md5('mix' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(md5(text), '')) AS hash_key, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM {docs}),
 s AS (SELECT source, sum(size)::BIGINT AS source_size,
              row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1 AS nth FROM sized GROUP BY source),
 w AS (SELECT *, CASE nth % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM s),
@@ -113,7 +112,7 @@ g AS (SELECT *, (budget - coalesce(sum(2.0::DOUBLE * source_size) OVER (ORDER BY
 l AS (SELECT arg_min(g.level, g.ratio) AS lvl FROM g WHERE level <= ratio),
 t AS (SELECT source, source_size, least(2.0::DOUBLE * source_size, coalesce(lvl * w, 2.0::DOUBLE * source_size)) AS target FROM g, l),
 o AS (SELECT z.doc_id, z.source, z.size, t.source_size, t.target,
-             coalesce(sum(z.size) OVER (PARTITION BY z.source ORDER BY md5('mix' || coalesce(z.doc_id::VARCHAR, '')), z.doc_id NULLS FIRST, z.size
+             coalesce(sum(z.size) OVER (PARTITION BY z.source ORDER BY z.hash_key, z.doc_id NULLS FIRST, z.size
                                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
       FROM sized z JOIN t ON z.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, source, size, source_size, target,
