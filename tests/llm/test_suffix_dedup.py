@@ -75,3 +75,34 @@ def test_group_repeats_are_maximal_and_list_all_occurrences():
     got = S.group_repeats(contexts, np.array([1, 1, 2]), np.array([3, 3, 4]), 29)
     assert sorted((i, s, n) for _, i, s, n in got) == [(0, 1, 30), (1, 1, 30), (2, 2, 30)]
     assert len({k for k, *_ in got}) == 1
+
+
+def test_maximal_repeats_list_every_occurrence_and_extend_no_further_in_their_context(spark):
+    texts = [t or "" for t in made(3)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = S.maximal_repeats(df, 40).join(df.select(S.row_key(df)[0], S.row_key(df)[1], "doc_id"), ["_id", "_th"]).collect()
+    data = [t.encode() for t in texts]
+    groups = {}
+    for r in rows:
+        groups.setdefault((r.anchor, r.repeat), set()).add((r.doc_id, r.start, r.length))
+    assert groups
+    covered = [bytearray(len(d)) for d in data]
+    for found in groups.values():
+        said = {data[i][a : a + n] for i, a, n in found}
+        assert len(said) == 1 and len(found) > 1
+        (word,) = said
+        everywhere = {(i, a) for i, d in enumerate(data) for a in range(len(d) - len(word) + 1) if d[a : a + len(word)] == word}
+        assert {(i, a) for i, a, _ in found} == everywhere
+        for i, a, n in found:
+            covered[i][a : a + n] = b"\1" * n
+    assert [sum(c) for c in covered] == [w[1] for w in brute(texts, 40)]
+
+
+def test_very_long_text_and_clashing_columns(spark):
+    r = random.Random(9)
+    unit = "".join(r.choice("abcdefgh ") for _ in range(700))
+    long = "".join(r.choice("abcdefgh ") for _ in range(400_000)) + unit
+    df = spark.createDataFrame([(1, long, "x", 5), (2, "q" + unit, "y", 6), (2, "q" + unit, "y", 6)], "doc_id long, text string, _row string, _spans int")
+    got = sorted(tuple(x) for x in S.remove_repeats(df).select("doc_id", "n_removed", "_row", "_spans").collect())
+    assert got == [(1, 700, "x", 5), (2, 701, "y", 6), (2, 701, "y", 6)]
+    assert S.rewrite(df).columns == df.columns

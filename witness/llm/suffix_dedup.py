@@ -6,11 +6,14 @@ rule on the window's bytes alone, so equal windows have equal anchors at equal o
 prefix of ``min_bytes`` meet in the group of one anchor.  The windows of one anchor start at neighbouring bytes; their
 bytes together are its *context*.
 
-* Contexts that occur more than once are repeats as they are; they need no bytes, only their digests.
-* Groups with different contexts get one copy of each.  Their suffixes are sorted, the longest common prefixes of
-  neighbours are scanned with a stack, and each prefix interval whose occurrences differ in the byte to the left is a
-  maximal repeat within the context; it is given with all its occurrences.
+* A group is an enhanced suffix array of its different contexts, each with the number of its copies.  The suffixes are
+  sorted, the longest common prefixes of neighbours are scanned with a stack, and each prefix interval whose occurrences
+  differ in the byte to the left is a maximal repeat within the context; a context with copies is an interval of its own
+  unless a larger one holds it.  Repeats are given with all their occurrences, those in copies included.
+* The tree of a group with one context is that context, if it has copies: it needs no bytes.
 * Groups with very many different contexts are resolved by counting the digests of their windows in a shuffle.
+* A context that comes again within its document is a repeat already: where only covered bytes are asked for, it goes on
+  once, with its number, so that lines repeated over and over make few rows.
 
 Longer repeats run through several contexts and come out as overlapping pieces; their union per document is exact.
 """
@@ -76,7 +79,7 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 def anchors(data: np.ndarray, offsets: np.ndarray, min_bytes: int, gram: int) -> tuple[np.ndarray, ...]:
     """Anchors of documents that lie one after the other in ``data``, document i at offsets[i]:offsets[i + 1].
 
-    Gives for each anchor: document, first window start within it, number of windows, distance of the anchor from the
+    Ordered by document and place.  Gives for each anchor: document, first window start within it, number of windows, distance of the anchor from the
     first start, anchor hash, and the digest of the context as two longs.
     """
     w = min_bytes - gram + 1
@@ -145,11 +148,13 @@ def _common(a: bytes, b: bytes) -> int:
     return int((np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)).argmax())
 
 
-def group_repeats(contexts: list[bytes], anchor: np.ndarray, n: np.ndarray, min_bytes: int) -> list[tuple[int, int, int, int]]:
-    """Maximal repeats between the different contexts of one anchor: (repeat, context, start in it, length).
+def group_repeats(
+    contexts: list[bytes], anchor: np.ndarray, n: np.ndarray, min_bytes: int, copies: list[int] | None = None
+) -> list[tuple[int, int, int, int]]:
+    """Maximal repeats among the different contexts of one anchor: (repeat, context, start in it, length).
 
-    ``anchor`` is the anchor's distance from each context's start, ``n`` the number of suffixes of each.  ``repeat``
-    numbers the repeats of the group.
+    ``anchor`` is the anchor's distance from each context's start, ``n`` the number of suffixes of each, ``copies`` how
+    often each occurs (once by default).  ``repeat`` numbers the repeats of the group.
     """
     out: list[tuple[int, int, int, int]] = []
     d, most = len(contexts), int(anchor.max())
@@ -193,6 +198,12 @@ def group_repeats(contexts: list[bytes], anchor: np.ndarray, n: np.ndarray, min_
                 if len({int(before[i, k]) for i in part}) > 1:
                     out += [(found, i, c - int(first[i]), length) for i in part]
                     found += 1
+    # Copies of a context are neighbours in the suffix array, with all of it in common.
+    held = {i for _, i, start, length in out if not start and length == len(contexts[i])}
+    for i in range(d):
+        if copies and copies[i] > 1 and i not in held:
+            out.append((found, i, 0, len(contexts[i])))
+            found += 1
     return out
 
 
@@ -216,31 +227,32 @@ def _occurrences(docs: DataFrame, min_bytes: int, gram: int, max_contexts: int,
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = _utf8(batch["text"])
-            doc, lo, n, p, anchor, c1, c2 = anchors(data, offsets, min_bytes, gram)
-            take = pa.array(doc)
-            yield pa.RecordBatch.from_arrays(
-                [batch["_id"].take(take), batch["_th"].take(take), pa.array(lo), pa.array(n.astype(np.int32)), pa.array(p.astype(np.int32)), pa.array(anchor), pa.array(c1), pa.array(c2)],
-                ["_id", "_th", "lo", "n", "p", "anchor", "c1", "c2"],
-            )
+            found = anchors(data, offsets, min_bytes, gram)
+            spans, times = _within(found, min_bytes, not listed)
+            for some in (spans, (*found, times)) if not listed else ((*found, times),):
+                doc, lo, n, p, anchor, c1, c2, times = some
+                keep = np.flatnonzero(times)
+                doc = pa.array(doc[keep])
+                cols = [x[keep] for x in (lo, n, p.astype(np.int32), anchor, c1, c2, times)]
+                yield pa.RecordBatch.from_arrays([batch["_id"].take(doc), batch["_th"].take(doc), *map(pa.array, cols)], ["_id", "_th", "lo", "n", "p", "anchor", "c1", "c2", "times"])
 
     keyed = docs.select(*row_key(docs), "text")
-    every = cut(keyed.mapInArrow(find, "_id long, _th long, lo long, n int, p int, anchor long, c1 long, c2 long"))
+    every = cut(keyed.mapInArrow(find, "_id long, _th long, lo long, n long, p int, anchor long, c1 long, c2 long, times long"))
+    # Rows with negative times are spans that repeat within their document.
+    known = every.where("times < 0").select("_id", "_th", F.col("lo").alias("start"), F.col("n").alias("length"), F.lit(None).cast("long").alias("anchor"), F.lit(None).cast("string").alias("repeat"))
     # Written first, so that the join below has plain shuffles on both sides, which AQE can split where a key is hot.
     repeated = cut(
-        every.groupBy("anchor")
-        .agg(F.count(F.lit(1)).alias("all"), (F.min("c1") != F.max("c1")).alias("mixed"))
+        every.where("times > 0").groupBy("anchor")
+        .agg(F.sum("times").alias("all"), (F.min("c1") != F.max("c1")).alias("mixed"))
         .where("all > 1")
     )
-    some = cut(every.join(repeated.select("anchor", "mixed"), "anchor"))
-    drop_cut(every)
+    some = cut(every.where("times > 0").join(repeated.select("anchor", "mixed"), "anchor"))
     contexts = cut(
         some.groupBy("anchor", "c1", "c2")
-        .agg(F.count(F.lit(1)).alias("copies"), F.first("mixed").alias("mixed"), F.min(F.struct("_id", "_th", "lo", "n", "p")).alias("one"))
+        .agg(F.sum("times").alias("copies"), F.first("mixed").alias("mixed"), F.min(F.struct("_id", "_th", "lo", "n", "p")).alias("one"))
     )
-    whole = contexts.where("copies > 1").select(
-        "anchor", "c1", "c2", F.lit(0).cast("long").alias("start"), (F.col("one.n") - 1 + min_bytes).cast("long").alias("length"),
-        F.concat_ws(":", F.lit("w"), "c1", "c2").alias("repeat"),
-    )
+    as_whole = (F.lit(0).cast("long").alias("start"), (F.col("n") - 1 + min_bytes).cast("long").alias("length"), F.concat_ws(":", F.lit("w"), "c1", "c2").alias("repeat"))
+    whole = contexts.where("copies > 1 and not mixed").select("anchor", "c1", "c2", F.col("one.n").alias("n")).select("anchor", "c1", "c2", *as_whole)
     mixed = contexts.where("mixed").select("anchor", "c1", "c2", "copies", "one.*")
     sizes = cut(mixed.groupBy("anchor").agg(F.count(F.lit(1)).alias("different")))
     wanted = (
@@ -248,10 +260,9 @@ def _occurrences(docs: DataFrame, min_bytes: int, gram: int, max_contexts: int,
         .groupBy("_id", "_th")
         .agg(F.collect_list(F.struct("anchor", "c1", "c2", "lo", "n", "p", "different", "copies")).alias("want"))
     )
-    # One row of each (_id, _th) is enough to read contexts from.
     read = keyed.join(wanted, ["_id", "_th"])
     pieces = cut(
-        read.mapInArrow(_slicer(min_bytes), "anchor long, c1 long, c2 long, n int, p int, different long, copies long, context binary")
+        read.mapInArrow(_slicer(min_bytes), "anchor long, c1 long, c2 long, n long, p int, different long, copies long, context binary")
     )
     usual = (
         pieces.where(F.col("different") <= max_contexts)
@@ -260,22 +271,57 @@ def _occurrences(docs: DataFrame, min_bytes: int, gram: int, max_contexts: int,
         .mapInArrow(_grouper(min_bytes, listed), "anchor long, c1 long, c2 long, start long, length long, repeat string")
     )
     found = whole.unionByName(usual)
-    if not pieces.where(F.col("different") > max_contexts).isEmpty():
-        counted = _counted(pieces.where(F.col("different") > max_contexts), min_bytes)
+    crowded = pieces.where(F.col("different") > max_contexts)
+    if not crowded.isEmpty():
+        copied = crowded.where("copies > 1").select("anchor", "c1", "c2", "n").distinct().select("anchor", "c1", "c2", *as_whole)
+        counted = _counted(crowded, min_bytes)
         if not listed:
-            counted = counted.join(whole.select("anchor", "c1", "c2"), ["anchor", "c1", "c2"], "left_anti")
-        found = found.unionByName(counted)
-    return (
+            counted = counted.join(copied.select("anchor", "c1", "c2"), ["anchor", "c1", "c2"], "left_anti")
+        found = found.unionByName(counted).unionByName(copied)
+    across = (
         some.select("_id", "_th", "lo", "anchor", "c1", "c2")
         .join(found, ["anchor", "c1", "c2"])
         .select("_id", "_th", (F.col("lo") + F.col("start")).alias("start"), "length", "anchor", "repeat")
     )
+    return across if listed else across.unionByName(known)
+
+
+def _within(found: tuple[np.ndarray, ...], min_bytes: int, merge: bool) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """Spans of contexts that come again within their document, overlapping ones as one, and how often each context goes
+    on: all its times with its first occurrence, 0 for the others; every one once unless ``merge``."""
+    doc, lo, n, p, anchor, c1, c2 = found
+    times = np.ones(len(doc), np.int64)
+    none = np.zeros(0, np.int64)
+    if not merge or not len(doc):
+        return (none,) * 8, times
+    order = np.lexsort((lo, c2, c1, anchor, doc))
+    key = np.stack([doc, anchor, c1, c2])[:, order]
+    starts = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(0)])
+    count = np.diff(np.r_[starts, len(order)])
+    times[:] = 0
+    times[order[starts]] = count
+    again = np.sort(order[np.repeat(count > 1, count)])  # by document and place
+    if not len(again):
+        return (none,) * 8, times
+    d, a = doc[again], lo[again]
+    b = a + n[again] - 1 + min_bytes
+    new = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (a[1:] > b[:-1])])  # ends grow with starts
+    last = np.r_[new[1:], len(again)] - 1
+    zero = np.zeros(len(new), np.int64)
+    return (d[new], a[new], b[last] - a[new], zero, zero, zero, zero, zero - 1), times
 
 
 def _slicer(min_bytes: int):
+    """Cuts the wanted contexts out of the texts; of rows alike in id and text, which the join brings together, the first."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
         for batch in batches:
-            for text, want in zip(batch["text"], batch["want"], strict=True):
+            for one, two, text, want in zip(batch["_id"], batch["_th"], batch["text"], batch["want"], strict=True):
+                own = one.as_py(), two.as_py()
+                if own == before:
+                    continue
+                before = own
                 data = (text.as_py() or "").encode()
                 want = want.values.flatten()
                 anchor, c1, c2, lo, n, p, different, copies = want
@@ -291,19 +337,18 @@ def _grouper(min_bytes: int, listed: bool):
 
     def resolve(rows: list[tuple]) -> list[tuple]:
         kept = []
-        for r in rows:  # copies of a context that came twice (rows that repeat a doc_id and text)
+        for r in rows:  # a context that came twice, as the join split the rows that repeat a doc_id and text
             if not kept or r[1:3] != kept[-1][1:3]:
                 kept.append(r)
         if len(kept) < 2:
             return []
-        got = group_repeats([r[5] for r in kept], np.array([r[4] for r in kept]), np.array([r[3] for r in kept]), min_bytes)
+        got = group_repeats([r[5] for r in kept], np.array([r[4] for r in kept]), np.array([r[3] for r in kept]), min_bytes, [r[6] for r in kept])
         if listed:
             return [(*kept[i][:3], start, length, f"m{k}") for k, i, start, length in got]
         spans: dict[int, list[tuple[int, int]]] = {}
         for _, i, start, length in got:
             spans.setdefault(i, []).append((start, start + length))
-        # A context that occurs again is a repeat as a whole: its parts add nothing to what is covered.
-        return [(*kept[i][:3], a, b - a, None) for i, some in spans.items() if kept[i][6] == 1 for a, b in _merged(some)]
+        return [(*kept[i][:3], a, b - a, None) for i, some in spans.items() for a, b in _merged(some)]
 
     def pack(found: list[tuple]) -> pa.RecordBatch:
         cols = list(zip(*found, strict=True))
