@@ -104,8 +104,8 @@ def scores(docs: DataFrame, w: np.ndarray, shift: float, scale: float) -> DataFr
 
 def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, threshold: float = THRESHOLD) -> tuple[np.ndarray, float, float]:
     """Weights, shift and scale from at most ``sample_docs`` labelled documents that aren't held out."""
-    marks = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").alias("_q")).where("_q in (0, 1)").dropDuplicates(["_id"])
-    marks = marks.where(~held_out(F.col("_id")))
+    marks = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").alias("_q")).where("_q in (0, 1)")
+    marks = marks.where(~held_out(F.col("_id"))).groupBy("_id").agg(F.min("_q").alias("_q"))
     # Labels for which there is a document, then a sample of them; its size is bounded, so it is broadcast.
     ids = docs.select(F.col("doc_id").cast("long").alias("_id")).distinct()
     chosen = marks.join(ids, "_id").orderBy(F.xxhash64("_id"), "_id").limit(sample_docs)
@@ -116,10 +116,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, th
             yield pa.RecordBatch.from_arrays([batch["_id"], batch["_q"], pa.array(rows, pa.list_(pa.float64()))], ["_id", "_q", "x"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(F.broadcast(chosen), "_id")
-    found = rows.select("_id", F.col("_q").cast("int"), "text").mapInArrow(run, "_id long, _q int, x array<double>").toPandas()
+    found = rows.select("_id", F.col("_q").cast("int"), "text").mapInArrow(run, "_id long, _q int, x array<double>")
+    # One row for each id, however often it repeats.
+    found = found.groupBy("_id", "_q").agg(F.min("x").alias("x")).toPandas().sort_values("_id")
     if found.empty:
         return np.zeros(N_FEATURES), 0.0, 1.0
-    found = found.assign(_key=found.x.map(tuple)).sort_values(["_id", "_key"])
     x, good = np.array(found.x.tolist()), found["_q"].to_numpy() == 1
     w = fit(x, good)
     return (w, *calibrate(x @ w, good, threshold))
@@ -131,8 +132,9 @@ def rank(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, thr
     Learns from rows with a label that aren't held out (CRC-32 of the doc_id's digits, modulo 5, is 0).  ``predicted``
     is 1 where the score reaches ``threshold``, which stands at the quantile of raw scores that parts off as large a
     share as has quality 0.  Null, empty and wordless texts are scored as texts without any mark.  Without labels of
-    both kinds all are predicted 1.  Labels may repeat (one counts), be null or lack a document.  Rows repeat as in
-    ``docs``; no other column is used.
+    both kinds all are predicted 1.  Labels may be null or lack a document; of labels for one document the lower one
+    counts, and of different texts under one doc_id the one with the smallest features.  Rows repeat as in ``docs``; no
+    other column is used.
     """
     w, shift, scale = learn(docs, labels, sample_docs, threshold)
     return scores(docs, w, shift, scale).select(
@@ -141,7 +143,11 @@ def rank(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, thr
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that ``rank`` predicts 1, columns as they are; scored in place, without a join."""
+    """The rows of ``docs`` that ``rank`` predicts 1, columns as they are; scored in place, without a join.
+
+    Null, empty and wordless texts stay or go together, by their score; repeated rows and null ids are rows like any
+    other, and an empty table gives an empty result.
+    """
     w, shift, scale = learn(docs, labels, **options)
     threshold = options.get("threshold", THRESHOLD)
 

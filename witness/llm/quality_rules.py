@@ -169,12 +169,13 @@ def judge(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, ma
     rates of at most ``sample_rows`` labelled rows that pass the base rules, taken by the hash of their doc_id.  The
     threshold on its score is the one that tells labelled rows of quality 0 and 1 apart best (Youden's index over all
     labelled rows, in steps of 0.001), rejecting at most ``max_lost`` of those of quality 1.  Without labels of both
-    kinds nothing is rejected but by the base rules.  Labels without a quality, or for no document, don't count.
+    kinds nothing is rejected but by the base rules.  Labels without a quality, or for no document, don't count; of
+    labels for one document the lower one counts.
     Null, empty and wordless texts fail the base rules.  Rows repeat as in ``docs``.  Other columns are not looked at.
     """
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     known = cut(statistics(docs).withColumn("base_failed", base))
-    marks = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").alias("_q")).where("_q in (0, 1)").dropDuplicates(["_id"])
+    marks = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").alias("_q")).where("_q in (0, 1)").groupBy("_id").agg(F.min("_q").alias("_q"))
     marked = known.where("not base_failed").join(marks, F.col("doc_id") == F.col("_id")).drop("_id")
     sample = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).toPandas()
     if sample.empty:
