@@ -4,6 +4,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +81,70 @@ def test_urls_by_rule_alias_and_default(spark):
     assert got[3] == got[4] == "block"
 
 
+def test_links_are_resolved_against_their_page(spark):
+    from urllib.parse import urljoin
+
+    page = "https://Host.org/a/b/c.html?x=1#f"
+    links = ["../q", "page.html", "?y=2", "/r", "//other.org/z", "http://full.org/", "./d/../e", "../../../top", "g?u=http://n.org/", "sub/", ".."]
+    rows = [(k, page, f'<link rel="canonical" href="{v}">') for k, v in enumerate(links)]
+    rows += [(100, page, "<link rel=canonical href='/r?a=1&amp;b=2'>"), (101, page, '<meta property="og:url" content="#top">'), (102, page, '<link rel="canonical" href="mailto:x@y.org">')]
+    df = spark.createDataFrame(rows, "k int, url string, html string")
+    got = {r.k: r.t for r in df.select("k", url_filter.targets(F.col("html"), F.col("url")).alias("t")).collect()}
+    for k, v in enumerate(links):
+        want = urljoin(page, v)
+        assert [x.rstrip("/") for x in got[k]] == [want.rstrip("/")], (v, got[k], want)
+    assert got[100] == ["https://Host.org/r?a=1&b=2"] and got[101] == [] and got[102] == []
+
+
+def test_urls_of_linked_pages_equal_plain_code(spark):
+    """Chains, loops and stars of links over generated pages, repeated ids, long pages and clashing columns."""
+    import random
+
+    r = random.Random(4)
+    hosts = ["a.net", "x.example.net", "b.com", "example.com", "c.org", "d.com", "e.io"]
+    at = [f"{r.choice(hosts)}/{r.choice(['en', 'de', 'fr', 'p'])}/{k % 60}" for k in range(120)]
+    named = {k: [r.randrange(120) for _ in range(r.choice([0, 0, 0, 1, 1, 2]))] for k in range(120)}
+    named |= {k: [k + 1] for k in range(100, 119)} | {119: [100]}  # a loop
+    rows = []
+    for k in range(120):
+        links = "".join(r.choice(['<link rel="canonical" href="{}">', '<meta property="og:url" content="{}">', '<meta http-equiv=refresh content="5; url={}">']).format(f"https://{at[j]}") for j in named[k])
+        rows.append((k, f"{r.choice(['http', 'https'])}://{r.choice(['', 'www.'])}{at[k]}{r.choice(['', '/', '#f', '?utm_source=x'])}", "<p>" * (200_000 if k == 7 else 3) + links, "h", "v"))
+    rows.append((5, "https://lonely.io/", None, "h", "v"))  # repeats a page_id
+    rules = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
+    def own(host, path):
+        fits = [x for x in rules if (host == (h := x[: x.index("/")]) or host.endswith("." + h)) and path.startswith(x[x.index("/") :])]
+        return rules[max(fits, key=len)] if fits else None
+
+    group = list(range(120))
+
+    def find(k):
+        while group[k] != k:
+            k = group[k]
+        return k
+
+    first = {}
+    for k in range(120):
+        for j in [k, *named[k]]:
+            a, b = sorted((find(k), find(first.setdefault(at[j], k))))
+            group[b] = a
+    said, size = {}, {}
+    for k in range(120):
+        size[find(k)] = size.get(find(k), 0) + 1
+        for j in [k, *named[k]]:
+            host, _, rest = at[j].partition("/")
+            said.setdefault(find(k), set()).add(own(host, "/" + rest))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string, verdict string").withColumn("named", F.lit(1)).repartition(3)
+    got = [x for x in url_filter.judge(pages).collect() if x.host != "lonely.io"]
+    assert len(got) == 120
+    for x in got:
+        k = x.page_id
+        told = said[find(k)]
+        want = own(x.host, x.path) or ("allow" if "allow" in told else "block" if "block" in told else "allow")
+        assert (x.verdict, x.alias_root) == (want, find(k)), (x, told)
+    assert {x.verdict for x in got if not x.rule} == {"allow", "block"} and max(size.values()) > 15
+
+
 def test_urls_of_no_pages(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
@@ -116,6 +181,33 @@ def test_anomalies_are_junk_and_clean_texts_stay(docs, labels):
     assert passed.kept[passed.quality == 0].mean() < 0.4
 
 
+def test_forest_scores_equal_path_lengths_by_recursion():
+    rng = np.random.default_rng(2)
+    x = np.round(rng.normal(size=(300, 4)), 1)
+    forest = quality_rules.grow(x, trees=20, tree_rows=64)
+
+    def path(tree, row, at=0, depth=0):
+        f = forest.feature[tree][at]
+        if f < 0:
+            assert forest.length[tree][at] >= depth
+            return forest.length[tree][at]
+        return path(tree, row, forest.left[tree][at] + int(row[f] >= forest.cut[tree][at]), depth + 1)
+
+    usual = 2 * (np.log(63) + 0.5772156649) - 2 * 63 / 64
+    want = [2 ** (-np.mean([path(t, row) for t in range(20)]) / usual) for row in x[:50]]
+    assert np.allclose(forest.score(x[:50]), want)
+
+
+def test_threshold_rejects_at_most_what_it_may(docs, labels):
+    got = quality_rules.judge(docs, labels).toPandas()
+    marked = got[~got.base_failed].merge(labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).toPandas(), on="doc_id")
+    steps = np.ceil(marked.anomaly * 1000).astype(int)
+    limit = int(np.ceil(got[got.kept].anomaly.max() * 1000))
+    gain = lambda at: (steps[marked.quality == 0] > at).mean() - (steps[marked.quality == 1] > at).mean()
+    allowed = [t for t in range(1001) if (steps[marked.quality == 1] > t).mean() <= quality_rules.MAX_LOST]
+    assert abs(gain(limit) - max(map(gain, allowed))) < 1e-9
+
+
 def test_quality_rules_on_odd_rows(odd, none, labels):
     got = quality_rules.judge(odd, labels.where("false")).collect()
     assert len(got) == 9 and not any(r.kept for r in got)  # the long text repeats itself
@@ -208,6 +300,63 @@ def test_language_of_odd_rows(odd, none):
     assert langid.identify(none).count() == 0
 
 
+def test_languages_equal_plain_naive_bayes(spark):
+    import math
+
+    rows = [(1, "the cat and the dog", "en"), (2, "der Hund und die Katze", "de"), (3, "le chat et le chien", "fr"), (5, "a dog", "en"), (7, "", "xx")]
+    asked = [(100, "the chat und dog"), (101, "Katze " * 500 + "the"), (102, "éé"), (103, "die")]
+    buckets = 64
+    langs, logp = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), buckets=buckets)
+    got = {r.doc_id: r for r in langid.predict(spark.createDataFrame(asked, "doc_id long, text string").repartition(2), langs, logp).collect()}
+    count, n_docs = {}, Counter(r[2] for r in rows)
+    for _, text, lang in rows:
+        own = count.setdefault(lang, Counter())
+        for g in langid.grams(text, buckets=buckets):
+            own.update(g.tolist())
+    assert langs == sorted(count)
+    for i, text in asked:
+        seen = [b for g in langid.grams(text, buckets=buckets) for b in g.tolist()]
+        total = {}
+        for lang, own in count.items():
+            total[lang] = math.log((n_docs[lang] + 0.5) / (len(rows) + 0.5 * len(count)))
+            total[lang] += sum(math.log((own[b] + 0.5) / (sum(own.values()) + 0.5 * buckets)) for b in seen)
+        best = max(total, key=total.get)
+        weight = sum(math.exp((v - total[best]) / math.sqrt(len(seen))) for v in total.values())
+        assert got[i].lang_pred == best and abs(got[i].score - 1 / weight) < 1e-4
+
+
+def test_many_languages_shrink_the_buckets(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MODEL_CELLS", 1 << 17)
+    rows = [(i, f"w{chr(97 + i % 26)}{chr(97 + i // 26)} " * 5, f"l{i:03}") for i in range(500)]
+    langs, logp = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(langs) == 500 and logp.shape == (257, 500)
+
+
+def test_quality_ranker_with_conflicting_labels_and_repeated_rows(spark, docs, labels):
+    odd_labels = labels.unionByName(labels.limit(20).withColumn("quality", 1 - F.col("quality")))
+    many = docs.unionByName(docs.where("doc_id % 3 = 0")).unionByName(docs.where("doc_id % 3 = 0").withColumn("text", F.lit("other")))
+    one = quality_ranker.rank(many, odd_labels).toPandas().groupby("doc_id").score.max()
+    two = quality_ranker.rank(many.repartition(5), odd_labels.orderBy(F.desc("quality")).repartition(3)).toPandas().groupby("doc_id").score.max()
+    assert abs(one - two).max() < 1e-9
+
+
+def test_preference_weights_minimise_the_logistic_loss():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 3))
+    good = x @ [2.0, -1.0, 0.0] + rng.normal(size=60) > 0
+    w = quality_ranker.fit(x, good)
+    # Plain gradient steps over the same pairs end at the same weights.
+    rng = np.random.default_rng(5)
+    plus, minus = np.flatnonzero(good), np.flatnonzero(~good)
+    n = 20 * max(len(plus), len(minus))
+    deal = lambda part: np.concatenate([rng.permutation(part) for _ in range(-(-n // len(part)))])[:n]
+    diff = x[deal(plus)] - x[deal(minus)]
+    v = np.zeros(3)
+    for _ in range(20_000):
+        v += 0.5 * (diff.T @ (1 / (1 + np.exp(diff @ v))) / n - quality_ranker.RIDGE * v)
+    assert abs(w - v).max() < 1e-3
+
+
 def test_quality_ranker_on_held_out_rows(docs, labels):
     got = quality_ranker.rank(docs, labels).toPandas().merge(labels.toPandas(), on="doc_id")
     test = got[got.held_out]
@@ -268,8 +417,6 @@ def test_fingerprints_follow_the_definition():
 
 
 def test_golay_keys_meet_for_up_to_four_bits():
-    import numpy as np
-
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 300).astype(np.int64)
     for bits in range(5):
@@ -282,8 +429,6 @@ def test_golay_keys_meet_for_up_to_four_bits():
 
 @pytest.mark.parametrize("block", [20_000, 5])
 def test_near_duplicates_equal_brute_force(spark, block):
-    import numpy as np
-
     rng = np.random.default_rng(7)
     base = rng.integers(0, 1 << 62, 20)
     fps = [int(b) for b in base] + [0]
@@ -334,6 +479,25 @@ def test_leaks_with_edits_short_items_and_odd_rows(spark, odd, none):
     assert decontaminate.clean(odd, items.where("false")).count() == 9
 
 
+def test_leaks_of_repeated_items_null_ids_and_two_texts_of_one_id(spark):
+    item = "a " * 16 + "b c d e f g h i"
+    rows = [(1, "a " * 24), (2, " ".join(f"x{i}" for i in range(30))), (3, " ".join(f"y{i}" for i in range(30))), (4, item)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    odd_items = [(1, item), (1, item), (2, rows[1][1]), (2, rows[2][1].upper()), (None, rows[1][1])]
+    items = spark.createDataFrame(odd_items, "item_id long, text string").selectExpr("*", "'x' AS item", "1 AS words", "2 AS size")
+    got = sorted((r.doc_id, r.item_id or -1, r.similarity) for r in decontaminate.leaks(table, items).collect())
+    assert got == [(2, -1, 1.0), (2, 2, 1.0), (3, 2, 1.0), (4, 1, 1.0)]
+    assert [r.doc_id for r in decontaminate.clean(table, items).collect()] == [1]
+
+
+def test_leaks_of_large_benchmarks_are_joined_by_shuffle(spark, docs, monkeypatch):
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    found = lambda: sorted((r.doc_id, r.item_id, r.start_word) for r in decontaminate.leaks(docs, items).collect())
+    one = found()
+    monkeypatch.setattr(decontaminate, "MAX_BROADCAST", 0)
+    assert found() == one and one
+
+
 def test_queries_of_the_operators_are_registered():
     import __spark_entry__ as entry
 

@@ -33,14 +33,39 @@ def canonical(url: Column) -> Column:
     return F.when(host != "", key)
 
 
+def resolve(value: Column, url: Column) -> Column:
+    """The absolute address that a link on page ``url`` means, null if it leads nowhere else (fragments, other schemes)."""
+    value = F.regexp_replace(value, "&(?:amp|#38|#[xX]26);", "&")
+    scheme = F.regexp_extract(url, r"(?s)^.*?([A-Za-z][A-Za-z0-9+.-]*)://", 1)
+    root = F.concat(scheme, F.lit("://"), F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1))
+    path = path_of(url)
+    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_replace(path, "[^/]*$", ""))
+    below = F.concat(folder, F.regexp_extract(value, "(?s)^([^?#]*)", 1))
+    steps = F.filter(F.split(below, "/"), lambda x, i: (i > 0) & (x != "."))
+    # Dot segments, innermost first: each ".." takes the step before it along.
+    walked = F.aggregate(
+        steps, F.array().cast("array<string>"),
+        lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x))),
+    )
+    relative = F.concat(root, F.lit("/"), F.array_join(walked, "/"), F.regexp_extract(value, "(?s)^[^?#]*(.*)$", 1))
+    return (
+        F.when((value == "") | value.startswith("#"), F.lit(None).cast("string"))
+        .when(value.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), value)
+        .when(value.startswith("//"), F.concat(scheme, F.lit(":"), value))
+        .when(value.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
+        .when(host_of(url) == "", F.lit(None).cast("string"))
+        .when(value.startswith("/"), F.concat(root, value))
+        .when(value.startswith("?"), F.concat(root, path, value))
+        .otherwise(relative)
+    )
+
+
 def targets(html: Column, url: Column) -> Column:
     """Addresses that a page names as its own or redirects to: canonical links, refresh headers and og:url."""
     tags = F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
     wanted = F.filter(tags, lambda t: t.rlike(r"(?is)rel\s*=\s*[\"']?canonical\b|http-equiv\s*=\s*[\"']?refresh\b|property\s*=\s*[\"']?og:url\b"))
     value = lambda t: F.trim(F.regexp_extract(t, r"(?is)(?:href|content)\s*=\s*[\"']?(?:\s*\d+\s*;\s*url\s*=\s*[\"']?)?([^\"'>\s]+)", 1))
-    root = F.concat(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://)", 1), host_of(url))
-    full = lambda v: F.when(v.contains("://"), v).when(v.startswith("//"), F.concat(F.lit("http:"), v)).when(v.startswith("/"), F.concat(root, v))
-    return F.filter(F.transform(wanted, lambda t: full(value(t))), lambda v: v.isNotNull())
+    return F.filter(F.transform(wanted, lambda t: resolve(value(t), url)), lambda v: v.isNotNull())
 
 
 def match_rules(places: DataFrame, rules: DataFrame) -> DataFrame:
@@ -68,7 +93,7 @@ def judge(pages: DataFrame, rules: DataFrame | None = None, default: str = "allo
 
     A url's own rule decides (the longest; of equals, allow).  Else its aliases do: pages are aliases if their urls
     are spellings of one address (``canonical``) or one names the other's address, or both name the same, as canonical
-    link or redirect, over any number of steps.  If the rules allow an address of such a set outright, its members
+    link or redirect, over any number of steps.  Links are resolved against the page's url.  If the rules allow an address of such a set outright, its members
     without a rule are allowed; else, if they block one, blocked; else ``default``.  ``alias_root`` is the smallest
     page_id of the set.  Rows that repeat a page_id are aliases of each other; rows with a null page_id have no
     aliases.  A null url, or one without ``://``, has empty host and path and fits no rule.  Null html names nothing.
@@ -87,21 +112,22 @@ def judge(pages: DataFrame, rules: DataFrame | None = None, default: str = "allo
     # Pages that share an address meet in its smallest page_id: sums that combine before the shuffle, then a join.
     keys = address.where("page_id is not null").select("page_id", canonical(F.col("url")).alias("key")).where("key is not null")
     shared = keys.groupBy("key").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last")
-    edges = keys.join(shared, "key").select(F.col("page_id").alias("a"), F.col("first").alias("b"))
+    # Sides that grow with the pages are joined by shuffle at any size.
+    edges = keys.join(shared.hint("merge"), "key").select(F.col("page_id").alias("a"), F.col("first").alias("b"))
     root = components(edges)
-    own_verdict = address.where("page_id is not null").join(ruled, ["host", "path"]).select("page_id", "verdict")
+    own_verdict = address.where("page_id is not null").join(ruled.hint("merge"), ["host", "path"]).select("page_id", "verdict")
     decided = (
-        own_verdict.join(root, own_verdict.page_id == root.node, "left")
+        own_verdict.join(root.hint("merge"), own_verdict.page_id == root.node, "left")
         .groupBy(F.coalesce("root", "page_id").alias("root"))
         .agg(F.bool_or(F.col("verdict") == "allow").alias("allowed"))
     )
-    linked = root.join(decided, "root", "left").select("node", F.col("root").alias("alias_root"), "allowed")
+    linked = root.join(decided.hint("merge"), "root", "left").select("node", F.col("root").alias("alias_root"), "allowed")
     # A page outside any set may still name an address with a rule.
-    alone = decided.join(root.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), F.col("root").alias("alias_root"), "allowed")
+    alone = decided.join(root.select(F.col("node").alias("root")).hint("merge"), "root", "left_anti").select(F.col("root").alias("node"), F.col("root").alias("alias_root"), "allowed")
     method = F.when(F.col("allowed"), "allow").when(~F.col("allowed"), "block").otherwise(default)
     return (
         seen.select("page_id", "host", "path")
-        .join(ruled, ["host", "path"], "left")
-        .join(linked.unionByName(alone), F.col("page_id") == F.col("node"), "left")
+        .join(ruled.hint("merge"), ["host", "path"], "left")
+        .join(linked.unionByName(alone).hint("merge"), F.col("page_id") == F.col("node"), "left")
         .select("page_id", "host", "path", "rule", F.coalesce("verdict", method).alias("verdict"), F.coalesce("alias_root", "page_id").alias("alias_root"))
     )
