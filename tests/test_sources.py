@@ -1,8 +1,9 @@
 """The adapter, the drop folder, text rules, grouping and the streams."""
 
 import json
-from datetime import datetime
+from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +11,8 @@ from witness import fixtures as X
 from witness.functions import text as T
 from witness.functions import vectors as V
 from witness.operators import adapt as A
-from witness.operators import assign, spatial
+from witness.operators import assign, fold, grade, spatial, store
+from witness.queries import evidence
 from witness.sources import drop_folder
 from witness.streaming import streams
 
@@ -53,6 +55,44 @@ def test_payloads_of_many_shapes(spark):
     assert len(j.text) == 4001 and notes(j)["text_truncated"] == "true"
 
 
+def test_values_are_told_apart_by_type_and_nothing_is_lost(spark):
+    got = adapted(
+        spark,
+        {"text": "[bracket] start of a report", "title": "{curly} title", "k": "[1] first", "n": 1.5, "yes": True, "none": None, "deep": {"x": 1}, "list": [1]},
+        {"text": "t", "annotations": {"hazard": "fire", "deep": {}, "n": 2}, "tags": {"sev": "high", "list": []}},
+        {"text": "t", "annotations": "note", "tags": "one"},
+        {"text": "t", "annotations": ["free", 3, None, [1], {"key": " k ", "value": {"a": 1}, "confidence": 7, "annotator": ""}, {"key": 5, "value": "x"}], "tags": ["a", 2, {"b": 1}]},
+        {"annotations": "only", "meta": "scalar"},
+        {"text": "t", "link": "https://a.org", "source_url": "https://b.org", "quoted_urls": ["u", 5, "[v]"]},
+        {"text": "t", "quoted_url": "[not json", "author": "ann", "user": "bob"},
+        {"text": ["x"], "body": "second alias", "meta": {"body": "inner", "k": "[in]", "station": 7}, "metadata": {"k": "later", "more": "m"}},
+    )
+    a, b, c, d, e, f, g, h = got
+    assert a.text == "{curly} title — [bracket] start of a report"
+    assert {k: v for k, v in notes(a).items() if k != "assumed_occurred_at"} == {"k": "[1] first", "n": "1.5", "yes": "true"}
+    assert {k: v for k, v in notes(b).items() if k != "assumed_occurred_at"} == {"hazard": "fire", "n": "2", "sev": "high"}
+    assert [(x.key, x.value) for x in c.annotations][:2] == [("annotation", "note"), ("tag", "one")]
+    assert [(x.key, x.value, x.confidence, x.annotator) for x in d.annotations][:5] == [
+        ("annotation", "free", None, "feed"), ("annotation", "3", None, "feed"), ("k", '{"a":1}', None, "feed"), ("tag", "a", None, "feed"), ("tag", "2", None, "feed")
+    ]
+    assert d.annotations[5].key == "assumed_occurred_at"
+    assert e.ok and e.text == "annotations: only; meta: scalar" and notes(e)["annotation"] == "only" and notes(e)["meta"] == "scalar"
+    assert f.url == "https://a.org" and f.quoted_urls == ["u", "[v]"] and [x.value for x in f.annotations if x.key == "source_url"] == ["https://b.org"]
+    assert g.quoted_urls == ["[not json"] and g.source == "ann" and g.author == "bob"
+    assert h.text == "second alias" and notes(h)["k"] == "[in]" and notes(h)["station"] == "7" and notes(h)["more"] == "m"
+
+
+def test_only_real_nuls_are_stripped(spark):
+    got = adapted(spark, '{"text":"a\\u0000\\u0000b"}', '{"text":"a\\\\u0000b"}', '{"te\\u0000xt":"c\\\\\\u0000d"}')
+    assert [r.text for r in got] == ["ab", "a\\u0000b", "c\\d"]
+    assert ["nul_bytes_stripped" in notes(r) for r in got] == [True, False, True]
+
+
+def test_terms_are_found_once_in_their_order(spark):
+    rows = spark.createDataFrame([("Flooding in TAWA and tawa, Karori",), (None,), ("",)], "t string")
+    assert [r[0] for r in rows.select(T.hits(F.col("t"), ("Tawa", "Karori", "Ngaio"))).collect()] == [["Tawa", "Karori"], [], []]
+
+
 def test_drop_folder_as_batch_and_stream(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
@@ -152,3 +192,71 @@ def test_tumbling_counts_batch_equals_stream(spark, item_stream):
     q = streams.tumbling_counts(stream).writeStream.format("memory").queryName("tumbled").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("tumbled").agg(F.sum("n")).first()[0] == items.count() + items.where("item_id % 3 = 1").count()
+
+
+def _vectors_in_order(spark):
+    rng = np.random.default_rng(6)
+    t, rows = datetime(2024, 1, 1), []
+    for k in range(150):
+        t += timedelta(minutes=int(rng.integers(1, 90)) if k % 40 else 24 * 60)
+        placed = k % 5 > 0
+        at = (-41.3 + 0.01 * int(rng.integers(0, 4)), 174.7) if placed else (None, None)
+        rows.append((k, "ab"[k % 7 == 0], t, *at, [float(x) for x in rng.normal(size=3) + 2 * np.eye(3)[rng.integers(0, 3)]]))
+    return rows, "item_id long, dataset_id string, occurred_at timestamp, lat double, lng double, v array<double>"
+
+
+def test_stream_grouping_equals_the_batch_in_order(spark, tmp_path):
+    rows, schema = _vectors_in_order(spark)
+    want = {r.item_id: r.group_id for r in assign.group_in_order(spark.createDataFrame(rows, schema)).collect()}
+    assert 10 < len(set(want.values())) < 120
+    for k in range(3):
+        spark.createDataFrame(rows[k * 50 : k * 50 + 50], schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"f={k}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    q = streams.group_stream(stream).writeStream.format("memory").queryName("grouped").trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    got = {r.item_id: r.bubble_id for r in spark.table("grouped").collect()}
+    assert got == want
+
+
+def test_live_bubbles_gate_distance_count_and_time():
+    live = assign.LiveBubbles(0.5, 1500.0, 6, 2)
+    v, w = np.array([1.0, 0.0]), np.array([0.0, 1.0])
+    assert live.place(1, 0.0, v, -41.3, 174.7) == (1, -2.0)
+    assert live.place(2, 60.0, v, -41.2, 174.7)[0] == 2  # too far away
+    assert live.place(3, 120.0, v, None, None) == (2, 1.0)  # of equals the one seen last
+    assert live.place(4, 180.0, w, -41.3, 174.7)[0] == 4
+    assert live.place(5, 240.0, v, -41.3, 174.7)[0] == 5  # only the two seen last compete, and 1 is the third
+    assert live.place(6, -3600.0, w, -41.3, 174.7) == (4, 1.0)  # an older item joins a newer bubble
+    assert sorted(live.forget(6 * 3600.0 + 100)) == [1] and sorted(live.bubbles) == [2, 4, 5]
+    assert live.place(7, 13 * 3600.0, v, -41.3, 174.7)[0] == 7
+
+
+def test_alert_stream_fires_on_the_transitions_of_the_batch(spark, tmp_path):
+    items = X.items(spark, SF)
+    verdicts = grade.replay(items, X.registry(spark), evidence.crosses(items).drop("cross_detail")).where("dataset_id = 'live'").cache()
+    want = {(r.item_id, r.from_grade, r.to_grade, r.alert_fired) for r in grade.transitions(verdicts).collect()}
+    cuts = [r[0] for r in verdicts.orderBy("at").select(F.col("at").cast("string")).collect()]
+    edges = [cuts[0], cuts[len(cuts) // 3], cuts[2 * len(cuts) // 3], "2100-01-01"]
+    for k in range(3):
+        verdicts.where((F.col("at") >= F.lit(edges[k])) & (F.col("at") < F.lit(edges[k + 1]))).coalesce(1).write.parquet(str(tmp_path / f"f={k}"))
+    stream = spark.readStream.schema(verdicts.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path))
+    q = streams.alert_stream(stream).writeStream.format("memory").queryName("alerts").trigger(availableNow=True).start()
+    q.awaitTermination(300)
+    got = {(r.item_id, r.from_grade, r.to_grade, r.alert_fired) for r in spark.table("alerts").collect()}
+    assert got == want and len(want) > 100
+
+
+def test_candidates_by_cell_equal_all_open_ones_that_have_begun(spark):
+    items = X.items(spark, SF).where("item_id % 2 = 0")
+    bubbles = fold.fold_bubbles(X.items(spark, SF), ["bubble_id", "dataset_id"]).cache()
+    got = {(r.item_id, r.bubble_id) for r in store.candidates(items, bubbles, candidate_limit=None).collect()}
+    every = store.candidates(items, bubbles, candidate_limit=10**6).join(bubbles.select("bubble_id", "first_seen"), "bubble_id")
+    want = {(r.item_id, r.bubble_id) for r in every.where("first_seen <= occurred_at + INTERVAL 6 HOURS").collect()}
+    assert got == want and len(want) > 500
+
+
+def test_redeliveries_go_for_good_without_a_delay(spark, item_stream):
+    items, stream = item_stream
+    q = streams.once(stream, None).writeStream.format("memory").queryName("once_for_good").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert spark.table("once_for_good").count() == items.select("dataset_id", "source", "external_id").distinct().count()

@@ -103,7 +103,8 @@ def place_of(text: Column) -> Column:
 def hits(text: Column, terms: tuple[str, ...]) -> Column:
     """The terms that occur in the text, in the order given."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    return F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(low, F.lower(t)))
+    # No lambda: this is generated code, in which the text is lower-cased once.
+    return F.array_except(F.array(*(F.when(low.contains(t.lower()), t) for t in terms)), F.array(F.lit(None).cast("string")))
 
 
 def sorted_hits(text: Column, terms: tuple[str, ...]) -> Column:

@@ -1,11 +1,14 @@
 """Reading arbitrary JSON reports as items and annotations.
 
-A payload comes as one array of (key, text) pairs in payload order, with containers lifted into it.  The first alias
-that gives a value wins and is consumed; what is left over becomes annotations.
+A payload becomes an array of (key, value, kind) in payload order, with containers lifted into it.  The first alias that
+gives a value wins and is consumed; what is left over becomes annotations.  Values are told apart by their JSON type, not
+by how they begin: a text may start with a bracket.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,46 +38,75 @@ MAX_TEXT, MAX_VALUE = 4000, 2000
 UNKNOWN = "unknown"
 
 
+_NUL = r"(?<!\\)((?:\\\\)*)\\u0000"  # the escape, not an escaped backslash before u0000
+_ENTRIES = "array<struct<key:string,value:string,kind:string>>"
+_NOTES = "array<struct<key:string,value:string,confidence:double,annotator:string>>"
+
+
 def strip_nul(json: Column) -> Column:
     """Without U+0000, raw or escaped."""
-    return F.replace(F.replace(json, F.lit("\x00"), F.lit("")), F.lit("\\u0000"), F.lit(""))
+    return F.regexp_replace(F.replace(json, F.lit("\x00"), F.lit("")), _NUL, "$1")
 
 
 def has_nul(json: Column) -> Column:
-    return F.contains(json, F.lit("\x00")) | F.contains(json, F.lit("\\u0000"))
-
-
-def as_map(json: Column) -> Column:
-    return F.from_json(json, "map<string,string>")
-
-
-def entries(json: Column) -> Column:
-    """(key, value) pairs of the top level, then of each container, in payload order; a key may come more than once."""
-    inner = [F.map_entries(as_map(F.get_json_object(json, f"$.{name}"))) for name in CONTAINERS]
-    empty = F.array().cast("array<struct<key:string,value:string>>")
-    return F.concat(*(F.coalesce(x, empty) for x in (F.map_entries(as_map(json)), *inner)))
-
-
-def first_of_each(pairs: Column) -> Column:
-    """The first pair of each key: the top level wins over containers, earlier containers over later ones."""
-    return F.filter(pairs, lambda e, i: F.array_position(F.transform(pairs, lambda x: x["key"]), e["key"]) == i + 1)
-
-
-def is_scalar(value: Column) -> Column:
-    return value.isNotNull() & ~value.rlike(r"^\s*[\[{]")
+    return F.contains(json, F.lit("\x00")) | json.rlike(_NUL)
 
 
-def take(pairs: Column, keys: tuple[str, ...], consumed: Column | None = None, good=None) -> Column:
-    """(rank, key, value) of the first alias with a non-blank scalar that ``good`` accepts; null without one."""
-    names = F.array(*map(F.lit, keys))
+def settle(df: DataFrame, **columns: Column) -> DataFrame:
+    """``withColumns`` whose results later steps refer to and don't spell out again, be it inside a lambda.
 
-    def fits(e: Column) -> Column:
-        ok = F.array_contains(names, e["key"]) & is_scalar(e["value"]) & (F.trim(e["value"]) != "")
-        ok = ok & ~F.array_contains(consumed, e["key"]) if consumed is not None else ok
-        return ok & good(F.trim(e["value"])) if good is not None else ok
-
-    rank = lambda e: F.struct(F.array_position(names, e["key"]).alias("rank"), e["key"].alias("key"), F.trim(e["value"]).alias("value"))
-    return F.array_min(F.transform(F.filter(pairs, fits), rank))
+    They come as the one row of an inline array, which the optimizer leaves in its place.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
+def kind_of(value: Column) -> Column:
+    """text, scalar (number or boolean), array, object, or null, of a variant."""
+    kind = F.schema_of_variant(value)
+    return (
+        F.when(kind == "STRING", "text").when(kind.startswith("ARRAY"), "array").when(kind.startswith("OBJECT"), "object")
+        .when(kind != "VOID", "scalar")
+    )
+
+
+def text_of(value: Column) -> Column:
+    """A variant's scalar as trimmed text, null for null and for arrays and objects."""
+    return F.when(kind_of(value).isin("text", "scalar"), F.trim(F.try_variant_get(value, "$", "string")))
+
+
+def pairs_of(values: Column, kinds: Column) -> Column:
+    """Entries of an object read twice: with its values as they are written, and with their types."""
+    return F.transform(
+        F.map_entries(values),
+        lambda e, i: F.struct(e["key"].alias("key"), e["value"].alias("value"), kind_of(F.get(kinds, i)).alias("kind")),
+    )
+
+
+def with_entries(df: DataFrame, json: str) -> DataFrame:
+    """Adds _e: the entries of the object in column ``json``; the top level wins over containers, earlier containers over
+    later ones, and of a key written twice the first counts."""
+    values = lambda c: F.from_json(c, "map<string,string>")
+    kinds = lambda c: F.map_values(F.from_json(c, "map<string,variant>"))
+    df = settle(df, _v=values(F.col(json)), _k=kinds(F.col(json)))
+    inner = {n: F.when(F.col("_v")[n].startswith("{"), F.col("_v")[n]) for n in CONTAINERS}
+    df = settle(df, _top=pairs_of(F.col("_v"), F.col("_k")), **{f"_v_{n}": values(c) for n, c in inner.items()}, **{f"_k_{n}": kinds(c) for n, c in inner.items()})
+    empty = F.array().cast(_ENTRIES)
+    lifted = [F.when(F.col(f"_v_{n}").isNotNull(), pairs_of(F.col(f"_v_{n}"), F.col(f"_k_{n}"))) for n in CONTAINERS]
+    df = settle(df, _all=F.concat(*(F.coalesce(x, empty) for x in (F.col("_top"), *lifted))))
+    df = settle(df, _names=F.transform("_all", lambda x: x["key"]))
+    return settle(df, _e=F.filter("_all", lambda x, i: F.array_position("_names", x["key"]) == i + 1))
+
+
+def take(entry: Callable[[str], Column], keys: tuple[str, ...], closed: Column | None = None, good: Callable[[Column], Column] | None = None) -> Column:
+    """(key, value) of the first alias with a non-blank scalar that ``good`` accepts; ``closed`` is a key already used."""
+    found = []
+    for key in keys:
+        value = F.trim(entry(key)["value"])
+        fits = entry(key)["kind"].isin("text", "scalar") & (value != "")
+        fits = fits & good(value) if good else fits
+        fits = fits & (F.coalesce(closed, F.lit("")) != key) if closed is not None else fits
+        found.append(F.when(fits, F.struct(F.lit(key).alias("key"), value.alias("value"))))
+    return F.coalesce(*found)
 
 
 def boolean_of(value: Column) -> Column:
@@ -88,18 +120,22 @@ def instant_of(value: Column) -> Column:
     return F.when(n > 1e11, F.timestamp_millis(n.cast("long"))).when(n > 1e9, F.timestamp_seconds(n)).when(n.isNull(), instant(value))
 
 
-def strings_of(value: Column) -> Column:
-    """The non-blank strings of a JSON array, or a single string as one."""
-    many = F.filter(F.transform(F.from_json(value, "array<string>"), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
-    return F.when(value.rlike(r"^\s*\["), many).when(F.trim(value) != "", F.array(F.trim(value))).otherwise(F.array().cast("array<string>"))
+def strings_of(value: Column, kind: Column, scalars: bool = False) -> Column:
+    """The non-blank strings of a JSON array (with ``scalars`` numbers and booleans too), or a single one."""
+    text = text_of if scalars else lambda v: F.when(kind_of(v) == "text", F.trim(F.try_variant_get(v, "$", "string")))
+    many = F.filter(F.transform(F.from_json(value, "array<variant>"), text), lambda x: x.isNotNull() & (x != ""))
+    single = kind.isin("text", "scalar") if scalars else kind == "text"
+    none = F.array().cast("array<string>")
+    return F.coalesce(F.when(kind == "array", many).when(single & (F.trim(value) != ""), F.array(F.trim(value))), none)
 
 
-def take_array(pairs: Column, keys: tuple[str, ...], consumed: Column) -> Column:
-    """(rank, key, value) of the first alias with any content; the value is JSON or a string, see ``strings_of``."""
-    names = F.array(*map(F.lit, keys))
-    fits = lambda e: F.array_contains(names, e["key"]) & ~F.array_contains(consumed, e["key"]) & (F.trim(e["value"]) != "")
-    rank = lambda e: F.struct(F.array_position(names, e["key"]).alias("rank"), e["key"].alias("key"), e["value"].alias("value"))
-    return F.array_min(F.transform(F.filter(pairs, fits), rank))
+def take_array(entry: Callable[[str], Column], keys: tuple[str, ...]) -> Column:
+    """(key, value, kind) of the first alias that is an array or a non-blank string, see ``strings_of``."""
+    return F.coalesce(*(
+        F.when((entry(k)["kind"] == "array") | ((entry(k)["kind"] == "text") & (F.trim(entry(k)["value"]) != "")),
+               F.struct(F.lit(k).alias("key"), entry(k)["value"].alias("value"), entry(k)["kind"].alias("kind")))
+        for k in keys
+    ))
 
 
 def _number(v: Column) -> Column:
@@ -113,102 +149,150 @@ def _spot(raw: Column) -> Column:
     return F.struct(F.coalesce(F.get(pair, F.lit(1)), named(ALIASES["lat"])).alias("lat"), F.coalesce(F.get(pair, F.lit(0)), named(ALIASES["lng"])).alias("lng"))
 
 
-def with_geo(df: DataFrame, pairs: str, consumed: str) -> DataFrame:
+def with_geo(df: DataFrame, entry: Callable[[str], Column]) -> DataFrame:
     """Adds _geo (lat, lng, confidence, dropped) and _geo_keys: by alias, else from a container in GeoJSON order; half
     or impossible pairs are dropped with a sentence."""
-    e, used = F.col(pairs), F.col(consumed)
-    df = df.withColumns({"_la": take(e, ALIASES["lat"], used, _number), "_lo": take(e, ALIASES["lng"], used, _number), "_co": take(e, ALIASES["geo_confidence"], used, _number)})
-    names = F.array(*map(F.lit, GEO_CONTAINERS))
-    boxes = F.filter(e, lambda x: F.array_contains(names, x["key"]) & ~F.array_contains(used, x["key"]))
-    told = F.transform(boxes, lambda x: F.struct(F.array_position(names, x["key"]).alias("rank"), x["key"].alias("key"), _spot(x["value"]).alias("at")))
-    df = df.withColumn("_box", F.array_min(F.filter(told, lambda x: x["at"]["lat"].isNotNull() & x["at"]["lng"].isNotNull())))
-    both = F.col("_la").isNotNull() & F.col("_lo").isNotNull()
-    boxed = ~both & F.col("_box").isNotNull()
+    boxes = []
+    for key in GEO_CONTAINERS:
+        at = _spot(entry(key)["value"])
+        box = F.when(entry(key)["kind"].isin("array", "object"), F.struct(F.lit(key).alias("key"), at.alias("at")))
+        boxes.append(F.when(box["at"]["lat"].isNotNull() & box["at"]["lng"].isNotNull(), box))
+    df = settle(
+        df, _la=take(entry, ALIASES["lat"], good=_number), _lo=take(entry, ALIASES["lng"], good=_number),
+        _co=take(entry, ALIASES["geo_confidence"], good=_number), _box=F.coalesce(*boxes),
+    )
+    boxed = ~(F.col("_la").isNotNull() & F.col("_lo").isNotNull()) & F.col("_box").isNotNull()
     pick = lambda c, n: F.when(boxed, F.col("_box.at")[n]).otherwise(F.col(f"{c}.value").try_cast("double"))
-    df = df.withColumns({"_y": pick("_la", "lat"), "_x": pick("_lo", "lng"), "_boxed": boxed})
+    df = settle(df, _y=pick("_la", "lat"), _x=pick("_lo", "lng"), _boxed=boxed)
     y, x = F.col("_y"), F.col("_x")
     fits = y.between(-90, 90) & x.between(-180, 180)
     word = lambda v: F.coalesce(v.cast("string"), F.lit("absent"))
     place = F.concat(F.lit("(lat="), word(y), F.lit(", lng="), word(x), F.lit(")"))
-    dropped = F.when(y.isNull() & x.isNull(), F.lit(None)).when(y.isNull() | x.isNull(), F.concat(F.lit("incomplete coordinates "), place)).when(~fits, F.concat(F.lit("coordinates out of range "), place))
-    conf = F.coalesce(F.col("_co.value").try_cast("double"), F.lit(1.0))
-    return df.withColumns({
-        "_geo": F.struct(F.when(fits, y).alias("lat"), F.when(fits, x).alias("lng"), F.when(fits, conf).alias("confidence"), dropped.alias("dropped")),
-        "_geo_keys": F.array_compact(F.array("_la.key", "_lo.key", "_co.key", F.when(F.col("_boxed"), F.col("_box.key")))),
-    })
+    dropped = (
+        F.when(y.isNull() & x.isNull(), F.lit(None))
+        .when(y.isNull() | x.isNull(), F.concat(F.lit("incomplete coordinates "), place))
+        .when(~fits, F.concat(F.lit("coordinates out of range "), place))
+    )
+    confidence = F.coalesce(F.col("_co.value").try_cast("double"), F.lit(1.0))
+    geo = F.struct(F.when(fits, y).alias("lat"), F.when(fits, x).alias("lng"), F.when(fits, confidence).alias("confidence"), dropped.alias("dropped"))
+    return settle(df, _geo=geo, _geo_keys=F.array("_la.key", "_lo.key", "_co.key", F.when(F.col("_boxed"), F.col("_box.key"))))
 
 
-def derive_text(pairs: Column, title: Column, body: Column, consumed: Column) -> Column:
+def derive_text(entries: Column, title: Column, body: Column, consumed: Column) -> Column:
     """Title and body, either alone, or the leftover scalars as a sentence in payload order."""
-    left = F.filter(pairs, lambda e: ~F.array_contains(consumed, e["key"]) & is_scalar(e["value"]) & (F.trim(e["value"]) != ""))
+    left = F.filter(entries, lambda e: ~F.array_contains(consumed, e["key"]) & e["kind"].isin("text", "scalar") & (F.trim(e["value"]) != ""))
     rendered = F.array_join(F.transform(left, lambda e: F.concat(humanise(e["key"]), F.lit(": "), F.trim(e["value"]))), "; ")
-    return F.coalesce(F.when(title.isNotNull() & body.isNotNull(), F.concat(strip_end(title), F.lit(" — "), body)), body, title, F.when(rendered != "", rendered))
+    both = F.when(title.isNotNull() & body.isNotNull(), F.concat(strip_end(title), F.lit(" — "), body))
+    return F.coalesce(both, body, title, F.when(rendered != "", rendered))
 
 
 def shorten(text: Column, most: int) -> Column:
     return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit("…"))).otherwise(text)
 
 
+def _note(key: Column, value: Column, annotator: Column | str = "feed", confidence: Column | None = None) -> Column:
+    who = F.lit(annotator) if isinstance(annotator, str) else annotator
+    sure = F.lit(None) if confidence is None else confidence
+    return F.struct(key.alias("key"), shorten(value, MAX_VALUE).alias("value"), sure.cast("double").alias("confidence"), who.alias("annotator"))
+
+
+def _scalar_notes(json: Column) -> Column:
+    """A note for each scalar of an object."""
+    pairs = F.transform(F.map_entries(F.from_json(json, "map<string,variant>")), lambda e: F.struct(e["key"].alias("key"), text_of(e["value"]).alias("value")))
+    return F.transform(F.filter(pairs, lambda e: e["value"].isNotNull()), lambda e: _note(e["key"], e["value"]))
+
+
+def _listed_note(item: Column) -> Column:
+    """What one member of a list of annotations says: an object with a key, or a scalar; null for anything else."""
+    field = lambda name, kind: F.try_variant_get(item, f"$.{name}", kind)
+    key = F.when(kind_of(field("key", "variant")) == "text", F.trim(field("key", "string")))
+    sure = field("confidence", "double")
+    value = F.coalesce(text_of(field("value", "variant")), F.to_json(field("value", "variant")), F.lit(""))
+    full = _note(key, value, F.coalesce(F.nullif(field("annotator", "string"), F.lit("")), F.lit("feed")), F.when(sure.between(0, 1), sure))
+    plain = text_of(item)
+    return F.when(F.coalesce(key, F.lit("")) != "", full).when(plain.isNotNull(), _note(F.lit("annotation"), plain))
+
+
+def explicit_notes(entry: Callable[[str], Column]) -> Column:
+    """Annotations that the payload gives as such (list, object or scalar), then its tags (the same)."""
+    notes, tags = entry("annotations"), entry("tags")
+    members = F.transform(F.from_json(notes["value"], "array<variant>"), _listed_note)
+    given = (
+        F.when(notes["kind"] == "array", F.filter(members, lambda n: n.isNotNull()))
+        .when(notes["kind"] == "object", _scalar_notes(notes["value"]))
+        .when(notes["kind"].isNotNull(), F.array(_note(F.lit("annotation"), F.trim(notes["value"]))))
+    )
+    each = F.transform(strings_of(tags["value"], tags["kind"], True), lambda t: _note(F.lit("tag"), t))
+    marked = F.when(tags["kind"] == "object", _scalar_notes(tags["value"])).when(tags["kind"].isNotNull(), each)
+    none = F.array().cast(_NOTES)
+    return F.concat(F.coalesce(given, none), F.coalesce(marked, none))
+
+
 def adapt(rows: DataFrame, now: str, payload: str = "payload") -> DataFrame:
     """Adds ok, reason, the item's columns and ``annotations`` (array of key, value, confidence, annotator).
 
     A bare string is a report of its own; anything but an object or a string is refused.  Nothing is lost: ``payload``
-    stays as it is.
+    stays as it is, and every scalar becomes a column or an annotation.
     """
-    raw = F.trim(strip_nul(F.col(payload)))
-    out = rows.withColumn("_raw", raw)
     raw = F.col("_raw")
-    out = out.withColumn("_object", raw.startswith("{") & as_map(raw).isNotNull())
-    bare = F.when(raw.startswith('"'), F.trim(F.get(F.from_json(F.concat(F.lit("["), raw, F.lit("]")), "array<string>"), F.lit(0))))
-    out = out.withColumns({"_all": F.when(F.col("_object"), entries(raw)).otherwise(F.array().cast("array<struct<key:string,value:string>>")), "_bare": bare})
-    out = out.withColumn("_e", first_of_each(F.col("_all")))
-    is_object, bare, e = F.col("_object"), F.col("_bare"), F.col("_e")
-    # The order of extraction is part of the rule: an alias consumed by one field is closed to the next.
+    out = settle(rows, _raw=F.trim(strip_nul(F.col(payload))))
+    out = settle(out, _json=F.when(raw.startswith("{"), raw), _bare=F.when(raw.startswith('"'), F.trim(F.get(F.from_json(F.concat(F.lit("["), raw, F.lit("]")), "array<string>"), F.lit(0)))))
+    out = with_entries(out, "_json")
+    out = settle(out, _f=F.map_from_entries(F.transform("_e", lambda x: F.struct(x["key"], F.struct(x["value"], x["kind"])))))
+    is_object, bare, entry = F.col("_v").isNotNull(), F.col("_bare"), lambda k: F.col("_f")[k]
     good = {"captured_at": lambda v: instant_of(v).isNotNull(), "occurred_at": lambda v: instant_of(v).isNotNull(), "synthetic": lambda v: boolean_of(v).isNotNull()}
-    out = out.withColumn("_u", F.array().cast("array<string>"))
-
-    def step(df: DataFrame, name: str, array: bool = False) -> DataFrame:
-        found = take_array(e, ALIASES[name], F.col("_u")) if array else take(e, ALIASES[name], F.col("_u"), good.get(name))
-        return df.withColumn(f"_f_{name}", found).withColumn("_u", F.array_compact(F.concat("_u", F.array(F.col(f"_f_{name}.key")))))
-
-    for name in ("source", "source_class", "captured_at", "occurred_at"):
-        out = step(out, name)
-    out = with_geo(out, "_e", "_u").withColumn("_u", F.concat("_u", "_geo_keys"))
-    for name in ("dataset_id", "external_id", "author", "url"):
-        out = step(out, name)
-    out = step(step(step(step(out, "quoted_urls", True), "synthetic"), "title"), "text")
-    out = out.withColumn("_used", F.concat("_u", F.array(F.lit("annotations"), F.lit("tags"), *map(F.lit, CONTAINERS))))
+    one = ("source", "source_class", "captured_at", "occurred_at", "dataset_id", "external_id", "url", "synthetic", "title", "text")
+    out = settle(out, **{f"_f_{n}": take(entry, ALIASES[n], good=good.get(n)) for n in one}, _f_quoted_urls=take_array(entry, ALIASES["quoted_urls"]))
+    # An alias that one field has consumed is closed to the next: of all lists only these two overlap.
+    out = settle(out, _f_author=take(entry, ALIASES["author"], F.col("_f_source.key")))
+    out = with_geo(out, entry)
+    used = F.array_compact(F.concat(F.array(*(f"_f_{n}.key" for n in (*one, "quoted_urls", "author"))), "_geo_keys"))
+    out = settle(out, _used=used, _given=explicit_notes(entry))
     value = lambda n: F.col(f"_f_{n}.value")
-    out = out.withColumn("_text", F.coalesce(bare, derive_text(e, value("title"), value("text"), F.col("_used"))))
-    one = lambda k: F.get(F.filter(e, lambda x: x["key"] == k), F.lit(0))["value"]
+    out = settle(out, _text=F.coalesce(bare, derive_text(F.col("_e"), value("title"), value("text"), F.col("_used"))))
+    left = F.filter("_e", lambda x: ~F.array_contains("_used", x["key"]) & ~x["key"].isin("annotations", "tags") & x["kind"].isin("text", "scalar"))
+    out = settle(out, _notes=F.concat("_given", F.transform(left, lambda x: _note(x["key"], F.trim(x["value"])))))
     ok = (is_object | bare.isNotNull()) & (F.coalesce(F.trim("_text"), F.lit("")) != "")
-    note = lambda key, val, who="feed", conf=None: F.struct(F.lit(key).alias("key") if isinstance(key, str) else key.alias("key"), shorten(val, MAX_VALUE).alias("value"), (conf if conf is not None else F.lit(None)).cast("double").alias("confidence"), (F.lit(who) if isinstance(who, str) else who).alias("annotator"))
-    explicit = F.from_json(one("annotations"), "array<struct<key:string,value:string,confidence:double,annotator:string>>")
-    listed = F.transform(F.filter(explicit, lambda a: F.trim(a["key"]) != ""), lambda a: note(F.trim(a["key"]), F.coalesce(a["value"], F.lit("")), F.coalesce(a["annotator"], F.lit("feed")), F.when(a["confidence"].between(0, 1), a["confidence"])))
-    tags = F.transform(strings_of(F.coalesce(one("tags"), F.lit(""))), lambda t: note("tag", t))
-    left = F.transform(F.filter(e, lambda x: ~F.array_contains(F.col("_used"), x["key"]) & is_scalar(x["value"])), lambda x: note(x["key"], F.trim(x["value"])))
+    note = lambda key, said, who="feed": _note(F.lit(key), said, who)
+    told = F.exists("_notes", lambda n: n["key"] == "source_url")
     extra = F.array_compact(F.array(
         F.when(F.length("_text") > MAX_TEXT, note("text_truncated", F.lit("true"))),
         F.when(F.col("_geo.dropped").isNotNull(), note("geo_dropped", F.col("_geo.dropped"), "rule")),
-        F.when(value("url").isNotNull(), note("source_url", value("url"))),
+        F.when(value("url").isNotNull() & ~told, note("source_url", value("url"))),
         F.when(boolean_of(value("synthetic")), note("synthetic", F.lit("true"))),
         F.when(value("occurred_at").isNull(), note("assumed_occurred_at", F.lit("true"), "rule")),
         F.when(value("captured_at").isNotNull(), note("declared_captured_at", value("captured_at"))),
         F.when(has_nul(F.col(payload)), note("nul_bytes_stripped", F.lit("true"), "rule")),
     ))
-    empty = F.array().cast("array<struct<key:string,value:string,confidence:double,annotator:string>>")
     captured = F.coalesce(instant_of(value("captured_at")), F.lit(now).cast("timestamp"))
-    reason = F.when(ok, F.lit(None)).when(~is_object & bare.isNull(), "Payload must be a JSON object or string").when(bare.isNotNull(), "Payload was an empty string").otherwise("Could not derive any text from the payload — send a `text` field, or any readable scalar value")
-    keep = [c for c in rows.columns]
-    # As the one row of an inline array: a later filter stays above it and isn't spelled out down to the payload.
-    return out.select(*keep, F.inline(F.array(F.struct(
-        ok.alias("ok"), reason.alias("reason"), F.coalesce(value("source"), F.lit(UNKNOWN)).alias("source"), F.coalesce(value("source_class"), F.lit(UNKNOWN)).alias("source_class"),
-        shorten(F.col("_text"), MAX_TEXT).alias("text"), F.coalesce(value("dataset_id"), F.lit("live")).alias("dataset_id"), value("external_id").alias("external_id"), value("author").alias("author"),
-        value("url").alias("url"), F.coalesce(strings_of(value("quoted_urls")), F.array().cast("array<string>")).alias("quoted_urls"), F.coalesce(boolean_of(value("synthetic")), F.lit(False)).alias("synthetic"),
-        F.coalesce(instant_of(value("occurred_at")), captured).alias("occurred_at"), captured.alias("captured_at"), value("occurred_at").isNull().alias("assumed_time"),
-        "_geo.lat", "_geo.lng", F.col("_geo.confidence").alias("geo_confidence"), F.col("_geo.dropped").alias("geo_dropped"),
-        F.concat(F.coalesce(listed, empty), F.coalesce(tags, empty), F.coalesce(left, empty), extra).alias("annotations"),
-    ))))
+    reason = (
+        F.when(ok, F.lit(None))
+        .when(~is_object & bare.isNull(), "Payload must be a JSON object or string")
+        .when(bare.isNotNull(), "Payload was an empty string")
+        .otherwise("Could not derive any text from the payload — send a `text` field, or any readable scalar value")
+    )
+    item = {
+        "ok": ok,
+        "reason": reason,
+        "source": F.coalesce(value("source"), F.lit(UNKNOWN)),
+        "source_class": F.coalesce(value("source_class"), F.lit(UNKNOWN)),
+        "text": shorten(F.col("_text"), MAX_TEXT),
+        "dataset_id": F.coalesce(value("dataset_id"), F.lit("live")),
+        "external_id": value("external_id"),
+        "author": value("author"),
+        "url": value("url"),
+        "quoted_urls": strings_of(value("quoted_urls"), F.col("_f_quoted_urls.kind")),
+        "synthetic": F.coalesce(boolean_of(value("synthetic")), F.lit(False)),
+        "occurred_at": F.coalesce(instant_of(value("occurred_at")), captured),
+        "captured_at": captured,
+        "assumed_time": value("occurred_at").isNull(),
+        "lat": F.col("_geo.lat"),
+        "lng": F.col("_geo.lng"),
+        "geo_confidence": F.col("_geo.confidence"),
+        "geo_dropped": F.col("_geo.dropped"),
+        "annotations": F.concat("_notes", extra),
+    }
+    return out.select(*rows.columns, F.inline(F.array(F.struct(*(c.alias(n) for n, c in item.items())))))
 
 
 def annotations(adapted: DataFrame, key: str) -> DataFrame:

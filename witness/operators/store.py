@@ -5,10 +5,10 @@ All take ``now`` or bounds as arguments; every limit comes after an order with a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from witness.functions.geo import haversine_m
+from witness.functions.geo import cells, haversine_m
 
 
 def items_in_window(items: DataFrame, start: str, end: str, dataset: str | None = None, limit: int | None = None) -> DataFrame:
@@ -139,23 +139,36 @@ def candidates(
 
     The most recently seen ``candidate_limit`` are taken before distance counts, as a busy region's rule demands. Open
     is a bound on last_seen alone, so an item's latest open bubbles are the open ones among its data set's latest: those
-    are found first, and no item meets more than that many. Without a limit, distance is looked up by cells.
+    are found first, and no item meets more than that many.
+
+    Without a limit (scale mode, a different result) a bubble must also have begun by ``hours`` after the item. Placed
+    items meet placed bubbles by cell and time bucket, and all others by time bucket alone.
     """
     b = bubbles.select(
-        "bubble_id", F.col("dataset_id").alias("_d"), "last_seen", F.col("lat").alias("b_lat"), F.col("lng").alias("b_lng"), *[c for c in ("centroid",) if c in bubbles.columns]
+        "bubble_id", F.col("dataset_id").alias("_d"), "first_seen", "last_seen", F.col("lat").alias("b_lat"), F.col("lng").alias("b_lng"), *[c for c in ("centroid",) if c in bubbles.columns]
     )
-    from pyspark.sql import Window
-
-    open_still = F.col("last_seen") >= F.col("occurred_at") - F.expr(f"INTERVAL {hours} HOURS")
+    items, gap = items.drop("bubble_id", "centroid"), F.expr(f"INTERVAL {hours} HOURS")
+    apart = haversine_m(F.col("lat"), F.col("lng"), F.col("b_lat"), F.col("b_lng"))
+    open_still = F.col("last_seen") >= F.col("occurred_at") - gap
     if candidate_limit is not None:
         order = Window.partitionBy("_d").orderBy(F.desc("last_seen"), F.desc("bubble_id"))
-        b = b.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= candidate_limit).drop("_k")
-    items, same = items.drop("bubble_id", "centroid"), F.col("dataset_id") == F.col("_d")
-    if candidate_limit is not None:  # the few bubbles are copied, so that a large data set's items go to many tasks
-        items, same = items.withColumn("_p", F.pmod(F.xxhash64("item_id"), F.lit(COPIES))), same & (F.col("_p") == F.col("_q"))
+        b = b.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= candidate_limit).drop("_k", "first_seen")
+        # The few bubbles are copied, so that a large data set's items go to many tasks.
+        items = items.withColumn("_p", F.pmod(F.xxhash64("item_id"), F.lit(COPIES)))
         b = b.withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
-    pairs = items.join(b, same & open_still).drop("_p", "_q")
-    apart = haversine_m(F.col("lat"), F.col("lng"), F.col("b_lat"), F.col("b_lng"))
+        pairs = items.join(b, (F.col("dataset_id") == F.col("_d")) & (F.col("_p") == F.col("_q")) & open_still).drop("_p", "_q")
+    else:
+        span = hours * 3600
+        bucket = lambda c: F.floor(F.unix_seconds(c) / span)
+        b = b.withColumn("_b", F.explode(F.sequence(bucket("first_seen") - 1, bucket("last_seen") + 1)))
+        timed = items.withColumn("_t", bucket("occurred_at"))
+        same = (F.col("dataset_id") == F.col("_d")) & (F.col("_t") == F.col("_b")) & open_still & (F.col("first_seen") <= F.col("occurred_at") + gap)
+        placed, b_placed = F.col("lat").isNotNull() & F.col("lng").isNotNull(), F.col("b_lat").isNotNull() & F.col("b_lng").isNotNull()
+        here = timed.where(placed).withColumn("_c", cells(F.col("lat"), F.col("lng"), metres))
+        around = b.where(b_placed).withColumn("_e", F.explode(cells(F.col("b_lat"), F.col("b_lng"), metres, True)))
+        by_cell = here.join(around, same & (F.col("_c") == F.col("_e"))).drop("_c", "_e")
+        loose = timed.where(~placed).join(b, same).unionByName(timed.where(placed).join(b.where(~b_placed), same))
+        pairs = by_cell.unionByName(loose).drop("_t", "_b", "first_seen")
     return pairs.withColumn("metres", apart).where(F.col("metres").isNull() | (F.col("metres") <= metres)).drop("_d")
 
 

@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from witness.functions.geo import cells, haversine_m
 
 
 def related(items: DataFrame, metres: float = 1500.0, hours: float = 24.0) -> DataFrame:
-    """a, b and b's columns: ordered pairs of one hazard, placed, near and close in time, joined by cell and time bucket."""
+    """a, b: ordered pairs of one hazard, placed, near and close in time, joined by cell and time bucket.
+
+    Only ids, places and times are dealt out, one side to the cells around, the other to the buckets around.
+    """
     span = int(hours * 3600)
-    placed = items.where("lat IS NOT NULL AND lng IS NOT NULL").withColumn("_t", F.unix_micros("occurred_at") / 1e6)
-    a = placed.select("hazard", cells(F.col("lat"), F.col("lng"), metres).alias("_c"), F.floor(F.col("_t") / span).alias("_b"), F.col("item_id").alias("a"), F.col("url").alias("a_url"), F.col("lat").alias("y"), F.col("lng").alias("x"), F.col("_t").alias("s"))
-    b = placed.select("*", F.explode(cells(F.col("lat"), F.col("lng"), metres, True)).alias("_c")).select(
-        "hazard", "_c", F.explode(F.expr(f"array(floor(_t / {span}) - 1, floor(_t / {span}), floor(_t / {span}) + 1)")).alias("_b"),
-        F.col("item_id").alias("b"), "lat", "lng", "_t", "author", "source_class", "quoted_urls", "occurred_at",
-    )
+    at = F.unix_micros("occurred_at") / 1e6
+    placed = items.where("lat IS NOT NULL AND lng IS NOT NULL").select("hazard", "item_id", "lat", "lng", at.alias("t"))
+    here, around = cells(F.col("lat"), F.col("lng"), metres), F.explode(cells(F.col("lat"), F.col("lng"), metres, True))
+    bucket = F.floor(F.col("t") / span)
+    a = placed.select("hazard", here.alias("_c"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_b"), F.col("item_id").alias("a"), F.col("lat").alias("y"), F.col("lng").alias("x"), F.col("t").alias("s"))
+    b = placed.select("hazard", around.alias("_c"), bucket.alias("_b"), F.col("item_id").alias("b"), "lat", "lng", "t")
     apart = haversine_m(F.col("y"), F.col("x"), F.col("lat"), F.col("lng"))
-    return a.join(b, ["hazard", "_c", "_b"]).where((F.col("a") != F.col("b")) & (F.abs(F.col("s") - F.col("_t")) <= span) & (apart <= metres))
+    near = a.join(b, ["hazard", "_c", "_b"]).where((F.col("a") != F.col("b")) & (F.abs(F.col("s") - F.col("t")) <= span) & (apart <= metres))
+    return near.select("a", "b")
 
 
 def assess(items: DataFrame, metres: float = 1500.0, hours: float = 24.0) -> DataFrame:
@@ -27,10 +31,13 @@ def assess(items: DataFrame, metres: float = 1500.0, hours: float = 24.0) -> Dat
     Among the related, in the order (occurred_at, item_id), an author counts once; authors are marked before reposts of
     the item are left out.  Kinds are the different source classes with the item's own.
     """
-    order = Window.partitionBy("a", "author").orderBy("occurred_at", "b")
-    once = related(items, metres, hours).withColumn("_k", F.row_number().over(order)).where(F.col("author").isNull() | (F.col("_k") == 1))
-    repost = F.coalesce(F.col("a_url").isNotNull() & F.array_contains("quoted_urls", F.col("a_url")), F.lit(False))
-    heard = once.where(~repost).groupBy("a").agg(F.collect_set("source_class").alias("_kinds"), F.count(F.lit(1)).alias("corroborating"))
+    near = related(items, metres, hours).join(items.select(F.col("item_id").alias("b"), "author", "source_class", "occurred_at", "quoted_urls"), "b")
+    # Each author's first one; those without an author are told apart by their own id.
+    who = F.coalesce(F.concat(F.lit("@"), "author"), F.col("b").cast("string")).alias("_who")
+    once = near.groupBy("a", who).agg(F.min(F.struct("occurred_at", "b", "source_class", "quoted_urls")).alias("m")).select("a", "m.*")
+    repost = F.coalesce(F.col("url").isNotNull() & F.array_contains("quoted_urls", F.col("url")), F.lit(False))
+    once = once.join(items.select(F.col("item_id").alias("a"), "url"), "a").where(~repost)
+    heard = once.groupBy("a").agg(F.collect_set("source_class").alias("_kinds"), F.count(F.lit(1)).alias("corroborating"))
     rows = items.join(heard, F.col("item_id") == F.col("a"), "left")
     kinds = F.size(F.array_union(F.array("source_class"), F.coalesce("_kinds", F.array().cast("array<string>"))))
     n = F.coalesce("corroborating", F.lit(0))

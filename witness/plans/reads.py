@@ -27,6 +27,17 @@ def scored_signals(members: DataFrame, origins: DataFrame, now: str) -> DataFram
     return folded.join(counted, "bubble_id").join(located(members).drop("lat", "lng"), "bubble_id").withColumn("score", F.round(fold.score(F.col("mass"), F.col("last_seen"), now), 9))
 
 
+def top_bubbles(members: DataFrame, now: str, limit: int = 500) -> DataFrame:
+    """bubble_id of the first ``limit`` bubbles by score."""
+    bubbles = fold.fold_bubbles(members, ["bubble_id", "dataset_id"]).withColumn("score", F.round(fold.score(F.col("mass"), F.col("last_seen"), now), 9))
+    return bubbles.orderBy(F.desc("score"), F.desc("last_seen"), F.desc("bubble_id")).limit(limit).select("bubble_id")
+
+
+def top_members(members: DataFrame, now: str, limit: int = 500) -> DataFrame:
+    """Members of those bubbles: all that a map of them needs, be it origins, facts, grades or history."""
+    return members.join(top_bubbles(members, now, limit), "bubble_id", "left_semi")
+
+
 def map_layer(
     members: DataFrame, origins: DataFrame, grades: DataFrame, now: str, frame: tuple | None = model.CITY_FRAME, min_credibility: int | None = None, limit: int = 500,
     as_at: str | None = None, strict: bool = False, events: DataFrame | None = None,
@@ -37,9 +48,7 @@ def map_layer(
     floor (ungraded ones fall), then those without a place apart, then the frame.  As at an earlier time a cluster shows
     its grade of then; before its first grade the present one, unless ``strict``.
     """
-    bubbles = fold.fold_bubbles(members, ["bubble_id", "dataset_id"]).withColumn("score", F.round(fold.score(F.col("mass"), F.col("last_seen"), now), 9))
-    top = bubbles.orderBy(F.desc("score"), F.desc("last_seen"), F.desc("bubble_id")).limit(limit).select("bubble_id")
-    known = members.join(top, "bubble_id", "left_semi")
+    known = top_members(members, now, limit)
     known = known.where(F.col("captured_at") <= F.lit(as_at).cast("timestamp")) if as_at else known
     shown = scored_signals(known, origins.join(known.select("item_id"), "item_id", "left_semi"), now)
     if as_at and events is not None:

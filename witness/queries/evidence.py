@@ -130,7 +130,10 @@ def crosses(items):
 
 
 def facts(spark, sf_dir):
-    items = X.items(spark, sf_dir)
+    return facts_of(spark, X.items(spark, sf_dir))
+
+
+def facts_of(spark, items):
     issue = fold.most_common(items, "bubble_id", "hazard").withColumnRenamed("hazard", "issue")
     return grade.cluster_facts(items, origins.author_origins(items), X.registry(spark), crosses(items), issue)
 
@@ -202,7 +205,10 @@ REPLAYED = (X.REGISTRY_SQL, CROSS_SQL, REPLAY_SQL)
 
 
 def events(spark, sf_dir):
-    items = X.items(spark, sf_dir)
+    return events_of(spark, X.items(spark, sf_dir))
+
+
+def events_of(spark, items):
     return grade.transitions(grade.replay(items, X.registry(spark), crosses(items).drop("cross_detail")))
 
 
@@ -242,7 +248,7 @@ def c19_tone(spark, sf_dir):
 
 
 def _reports(spark, sf_dir):
-    """Items of one in twenty users, so that the quadratic oracle stays small; the operator itself joins by cells."""
+    """Items as reports that carry an address, some quoting another."""
     return X.items(spark, sf_dir).withColumn("url", F.expr("concat('https://ex.org/', item_id % 400)")).withColumn(
         "quoted_urls", F.expr("CASE WHEN item_id % 4 = 0 THEN array(concat('https://ex.org/', (item_id + 90) % 400)) ELSE array() END"))
 
@@ -268,26 +274,22 @@ def c17_trust(spark, sf_dir):
 # ---------------------------------------------------------------- assignment
 
 
-def _late(spark, sf_dir):
-    return X.items(spark, sf_dir).where("item_id % 25 = 0")
-
-
 CAND_SQL = "cand AS (SELECT *, " + HAVERSINE_SQL.format(a="", b="b_") + """ AS metres FROM (
   SELECT i.item_id, i.lat, i.lng, b.bubble_id, b.last_seen, b.lat AS b_lat, b.lng AS b_lng, row_number() OVER (PARTITION BY i.item_id ORDER BY b.last_seen DESC, b.bubble_id DESC) AS k
-  FROM items i JOIN bubbles b ON i.dataset_id = b.dataset_id AND b.last_seen >= i.occurred_at - INTERVAL 6 HOUR WHERE i.item_id % 25 = 0) WHERE k <= 50)"""
+  FROM items i JOIN bubbles b ON i.dataset_id = b.dataset_id AND b.last_seen >= i.occurred_at - INTERVAL 6 HOUR) WHERE k <= 50)"""
 
 
 @query(sql(BUBBLES_SQL, CAND_SQL, select="SELECT item_id, bubble_id, round(metres, 3) AS metres FROM cand WHERE metres IS NULL OR metres <= 1500"))
 def j6_candidates(spark, sf_dir):
     bubbles = fold.fold_bubbles(X.items(spark, sf_dir), ["bubble_id", "dataset_id"])
-    return store.candidates(_late(spark, sf_dir), bubbles).select("item_id", "bubble_id", F.round("metres", 3).alias("metres"))
+    return store.candidates(X.items(spark, sf_dir), bubbles).select("item_id", "bubble_id", F.round("metres", 3).alias("metres"))
 
 
 @query(sql(BUBBLES_SQL, CAND_SQL, select="""SELECT item_id, arg_max(bubble_id, (s, last_seen, bubble_id)) AS bubble_id, max(s) >= 0.75 AS joined
   FROM (SELECT *, ((item_id * 31 + length(bubble_id) * 17 + epoch_us(last_seen) // 1000000) % 1000) / 1000.0::DOUBLE AS s FROM cand WHERE metres IS NULL OR metres <= 1500) GROUP BY 1"""))
 def g1_decide(spark, sf_dir):
     bubbles = fold.fold_bubbles(X.items(spark, sf_dir), ["bubble_id", "dataset_id"])
-    pairs = store.candidates(_late(spark, sf_dir), bubbles).withColumn("similarity", F.expr("((item_id * 31 + length(bubble_id) * 17 + unix_seconds(last_seen)) % 1000) / 1000.0D"))
+    pairs = store.candidates(X.items(spark, sf_dir), bubbles).withColumn("similarity", F.expr("((item_id * 31 + length(bubble_id) * 17 + unix_seconds(last_seen)) % 1000) / 1000.0D"))
     return assign.decide(pairs).select("item_id", "bubble_id", "joined")
 
 

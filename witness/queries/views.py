@@ -10,9 +10,10 @@ from witness.functions import vectors as V
 from witness.operators import adapt as A
 from witness.operators import fold, grade, origins, spatial, weather
 from witness.plans import reads
+from witness.plans.lineage import cut
 from witness.queries.base import BUBBLES_SQL, COORD_SQL, EDGES_SQL, coords, edges, query, r6, secs, sql
 from witness.queries.corpus import SCORED_SQL, _notes
-from witness.queries.evidence import AREA_SQL, AUTHOR_ORIGINS_SQL, GRADED, REPLAY_SQL, areas, events, facts
+from witness.queries.evidence import AREA_SQL, AUTHOR_ORIGINS_SQL, GRADED, REPLAY_SQL, areas, events_of, facts, facts_of
 from witness.sources import drop_folder, feeds
 from witness.streaming import streams
 
@@ -26,22 +27,27 @@ _RADIUS = "radius AS (SELECT s.bubble_id, CASE WHEN any_value(n_geo) > 1 THEN ro
 _MAP = (BUBBLES_SQL, SCORED_SQL, _TOP, *GRADED, _SHOWN.format(where=""), _RADIUS.format(where=""))
 
 
-def _grades(spark, sf_dir):
-    return grade.graded(facts(spark, sf_dir), X.AS_AT).select("bubble_id", "reliability", "credibility")
+def _grades(spark, items):
+    return grade.graded(facts_of(spark, items), X.AS_AT).select("bubble_id", "reliability", "credibility")
+
+
+def _top(spark, sf_dir, now):
+    """Members of the bubbles that a map can show, in a table of their own: what follows reads no others."""
+    return cut(reads.top_members(X.items(spark, sf_dir), now))
 
 
 @query(sql(*_MAP, select=f"""SELECT bubble_id, mass, independent_sources, reliability || credibility AS grade, round(lat, 6) AS lat, round(lng, 6) AS lng, radius_m FROM shown JOIN (SELECT bubble_id, reliability, credibility FROM graded) g USING (bubble_id) JOIN radius USING (bubble_id)
 WHERE credibility <= 4 AND lat IS NOT NULL AND lng BETWEEN {_FRAME[0]} AND {_FRAME[2]} AND lat BETWEEN {_FRAME[1]} AND {_FRAME[3]}"""))
 def r1_map_layer(spark, sf_dir):
-    items = X.items(spark, sf_dir)
-    placed, _ = reads.map_layer(items, origins.author_origins(items), _grades(spark, sf_dir), NOW, _FRAME, 4)
+    items = _top(spark, sf_dir, NOW)
+    placed, _ = reads.map_layer(items, origins.author_origins(items), _grades(spark, items), NOW, _FRAME, 4)
     return placed.select("bubble_id", "mass", "independent_sources", "grade", r6("lat"), r6("lng"), "radius_m")
 
 
 @query(sql(*_MAP, select="SELECT bubble_id, mass, reliability || credibility AS grade FROM shown JOIN (SELECT bubble_id, reliability, credibility FROM graded) g USING (bubble_id) WHERE lat IS NULL"))
 def r2_unmappable(spark, sf_dir):
-    items = X.items(spark, sf_dir)
-    return reads.map_layer(items, origins.author_origins(items), _grades(spark, sf_dir), NOW)[1]
+    items = _top(spark, sf_dir, NOW)
+    return reads.map_layer(items, origins.author_origins(items), _grades(spark, items), NOW)[1]
 
 
 _KNOWN = "WHERE i.captured_at <= TIMESTAMP '2024-01-15 12:00:00'"
@@ -51,8 +57,8 @@ _SCORED_AT = SCORED_SQL.replace("TIMESTAMP '2024-02-01'", "TIMESTAMP '2024-01-15
 @query(sql(BUBBLES_SQL, _SCORED_AT, _TOP, *GRADED, REPLAY_SQL, _SHOWN.format(where=_KNOWN), select="""SELECT s.bubble_id, s.mass, s.independent_sources, coalesce(t.g, g.reliability || g.credibility) AS grade FROM shown s JOIN graded g USING (bubble_id)
 LEFT JOIN (SELECT bubble_id, arg_max(to_grade, (att, item_id)) AS g FROM transitions WHERE att <= TIMESTAMP '2024-01-15 12:00:00' GROUP BY 1) t USING (bubble_id) WHERE s.lat IS NOT NULL"""))
 def r3_scored_signal_as_at(spark, sf_dir):
-    items = X.items(spark, sf_dir)
-    placed, _ = reads.map_layer(items, origins.author_origins(items), _grades(spark, sf_dir), X.AS_AT, None, as_at=X.AS_AT, events=events(spark, sf_dir))
+    items = _top(spark, sf_dir, X.AS_AT)
+    placed, _ = reads.map_layer(items, origins.author_origins(items), _grades(spark, items), X.AS_AT, None, as_at=X.AS_AT, events=events_of(spark, items))
     return placed.select("bubble_id", "mass", "independent_sources", "grade")
 
 
@@ -183,9 +189,13 @@ def r17_latest_alert(spark, sf_dir):
 # ---------------------------------------------------------------- adapter
 
 _PAYLOAD = """CASE event_id % 4
-  WHEN 0 THEN concat('{"source":"', event_type, '","timestamp":', unix_timestamp(CAST(ts AS TIMESTAMP)), ',"lat":', -41.3 + (user_id % 9) * 10, ',"lng":174.7,"title":"Report ', event_id, '.","text":"value ', value, '","k":', event_id % 7, '}')
-  WHEN 1 THEN concat('{"properties":{"feed":"f', user_id % 5, '","body":"seen ', event_id, '","level":"', event_type, '"},"geometry":{"type":"Point","coordinates":[174.8,-41.2]},"id":', event_id, '}')
-  WHEN 2 THEN concat('{"station":"s', user_id % 6, '","stage_m":', value, ',"latitude":-41.25,"synthetic":"', event_id % 8 = 2, '"}')
+  WHEN 0 THEN concat('{"source":"', event_type, '","timestamp":', unix_timestamp(CAST(ts AS TIMESTAMP)),
+    ',"lat":', -41.3 + (user_id % 9) * 10, ',"lng":174.7,"title":"[Report] ', event_id, '.","text":"{value} ', value,
+    '","k":"[k] ', event_id % 7, '","annotations":{"hazard":"h', user_id % 5, '"},"tags":{"sev":"', event_type, '"}}')
+  WHEN 1 THEN concat('{"properties":{"feed":"f', user_id % 5, '","body":"seen ', event_id, '","level":"', event_type,
+    '"},"geometry":{"type":"Point","coordinates":[174.8,-41.2]},"id":', event_id,
+    ',"annotations":["free ', event_id % 3, '",{"key":"rank","value":', event_id % 11, '}],"tags":["a",', event_id % 5, ']}')
+  WHEN 2 THEN concat('{"station":"{s', user_id % 6, '}","stage_m":', value, ',"latitude":-41.25,"synthetic":"', event_id % 8 = 2, '"}')
   ELSE CASE WHEN event_id % 3 = 0 THEN '[1,2]' WHEN event_id % 3 = 1 THEN '{"text":"  "}' ELSE concat('"bare report ', event_id, '"') END END"""
 
 
@@ -195,7 +205,7 @@ def _payloads(spark, sf_dir):
 
 @query("""SELECT event_id, NOT (event_id % 4 = 3 AND event_id % 3 < 2) AS ok,
   CASE event_id % 4 WHEN 0 THEN event_type WHEN 1 THEN 'f' || (user_id % 5) ELSE 'unknown' END AS source,
-  CASE event_id % 4 WHEN 0 THEN 'Report ' || event_id || ' — value ' || value WHEN 1 THEN 'seen ' || event_id WHEN 2 THEN 'station: s' || (user_id % 6) || '; stage m: ' || value
+  CASE event_id % 4 WHEN 0 THEN '[Report] ' || event_id || ' — {value} ' || value WHEN 1 THEN 'seen ' || event_id WHEN 2 THEN 'station: {s' || (user_id % 6) || '}; stage m: ' || value
     ELSE CASE WHEN event_id % 3 = 2 THEN 'bare report ' || event_id END END AS text,
   CASE WHEN event_id % 4 = 0 AND abs(-41.3 + (user_id % 9) * 10) <= 90 THEN round((-41.3 + (user_id % 9) * 10)::DOUBLE, 6) WHEN event_id % 4 = 1 THEN -41.2::DOUBLE END AS lat,
   CASE WHEN event_id % 4 = 1 THEN event_id::VARCHAR END AS external_id, event_id % 8 = 2 AS synthetic, event_id % 4 <> 0 AS assumed_time FROM events""")
@@ -205,9 +215,15 @@ def a1_adapt(spark, sf_dir):
 
 
 @query("""SELECT event_id, key, value FROM (
-  SELECT event_id, 'k' AS key, (event_id % 7)::VARCHAR AS value FROM events WHERE event_id % 4 = 0
+  SELECT event_id, 'k' AS key, '[k] ' || (event_id % 7) AS value FROM events WHERE event_id % 4 = 0
+  UNION ALL SELECT event_id, 'hazard', 'h' || (user_id % 5) FROM events WHERE event_id % 4 = 0
+  UNION ALL SELECT event_id, 'sev', event_type FROM events WHERE event_id % 4 = 0
+  UNION ALL SELECT event_id, 'annotation', 'free ' || (event_id % 3) FROM events WHERE event_id % 4 = 1
+  UNION ALL SELECT event_id, 'rank', (event_id % 11)::VARCHAR FROM events WHERE event_id % 4 = 1
+  UNION ALL SELECT event_id, 'tag', 'a' FROM events WHERE event_id % 4 = 1
+  UNION ALL SELECT event_id, 'tag', (event_id % 5)::VARCHAR FROM events WHERE event_id % 4 = 1
   UNION ALL SELECT event_id, 'level', event_type FROM events WHERE event_id % 4 = 1
-  UNION ALL SELECT event_id, 'station', 's' || (user_id % 6) FROM events WHERE event_id % 4 = 2
+  UNION ALL SELECT event_id, 'station', '{s' || (user_id % 6) || '}' FROM events WHERE event_id % 4 = 2
   UNION ALL SELECT event_id, 'stage_m', value::VARCHAR FROM events WHERE event_id % 4 = 2
   UNION ALL SELECT event_id, 'synthetic', 'true' FROM events WHERE event_id % 8 = 2
   UNION ALL SELECT event_id, 'assumed_occurred_at', 'true' FROM events WHERE event_id % 4 IN (1, 2) OR (event_id % 4 = 3 AND event_id % 3 = 2))""")
@@ -216,9 +232,11 @@ def a11_annotations(spark, sf_dir):
     return a.where("key <> 'geo_dropped'").select(F.col("node_id").alias("event_id"), "key", "value")
 
 
-@query()
+@query("""SELECT doc_id, CASE WHEN length(t) > 4000 THEN left(t, 4000) || '…' ELSE t END AS text, true AS told
+  FROM (SELECT doc_id, trim('ab\\u0000 ' || regexp_replace(coalesce(text, ''), '[^A-Za-z0-9 .,]', '', 'g')) AS t FROM documents)""")
 def a2_strip_nul(spark, sf_dir):
-    d = X.read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit('{"text":"a\\u0000b '), F.left(F.md5("text"), F.lit(8)), F.lit('"}')).alias("payload"))
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9 .,]", "")
+    d = X.read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit('{"text":"a\\u0000b\\\\u0000 '), plain, F.lit('"}')).alias("payload"))
     return A.adapt(d, NOW).select("doc_id", "text", F.exists("annotations", lambda a: a["key"] == "nul_bytes_stripped").alias("told"))
 
 

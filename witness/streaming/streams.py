@@ -4,18 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from witness.operators import dedupe, store
+from witness.operators import assign, dedupe, store
 
 KEY = ["dataset_id", "source", "external_id"]
 
 
-def once(items: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Redeliveries within ``delay`` go; state is dropped after it, so pair this with ``append_new`` against the store."""
+def once(items: DataFrame, delay: str | None = "1 hour") -> DataFrame:
+    """First arrivals of a stream.
+
+    Redeliveries within ``delay`` go, and its state is dropped after it: pair this with ``append_new`` against the
+    store.  Without a delay the state keeps every key for good, as large as their number, and no store is compared.
+    """
+    if delay is None:
+        return items.dropDuplicates(KEY)
     return items.withWatermark("captured_at", delay).dropDuplicatesWithinWatermark(KEY)
 
 
@@ -23,71 +31,84 @@ def append_new(batch: DataFrame, store_path: str, key: list[str] = KEY) -> DataF
     """Of a micro-batch the items that the stored table doesn't have yet, first arrival of each; they are appended.
 
     Meant for ``foreachBatch`` with one writer: a batch that is run again finds its rows stored and appends nothing.
+    The store lies in folders by data set, of which only those of the batch are read, and of these the key columns.
     """
     spark = batch.sparkSession
     rows = dedupe.first_of(batch, key, ["captured_at", "item_id"])
     try:
-        rows = dedupe.new_items(rows, spark.read.schema(batch.schema).parquet(store_path), key)
-    except Exception as e:  # the first batch finds no table
-        if "PATH_NOT_FOUND" not in str(e):
+        stored = spark.read.schema(batch.schema).parquet(store_path)
+        here = [r.dataset_id for r in batch.select("dataset_id").distinct().collect()]  # a handful of names
+        rows = dedupe.new_items(rows, stored.where(F.col("dataset_id").isin(here)).select(*key), key)
+    except AnalysisException as e:  # the first batch finds no table
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
-    rows.write.mode("append").parquet(store_path)
+    rows.write.mode("append").partitionBy("dataset_id").parquet(store_path)
     return rows
 
 
 class Grouper(StatefulProcessor):
-    """Live bubbles of one (dataset, shard) as state; each dies six hours after it was last seen."""
+    """The live bubbles of one (dataset, shard) as state, by the rules of ``assign.LiveBubbles``.
+
+    A bubble goes once the watermark has passed its last report by ``hours``; a timer sees to that where the key gets
+    no more rows.
+    """
 
-    def __init__(self, threshold: float = 0.75, hours: int = 6):
-        self.threshold, self.hours = threshold, hours
+    def __init__(self, threshold: float, metres: float, hours: float, limit: int):
+        self.rules = (threshold, metres, hours, limit)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.live = handle.getMapState("live", "bubble_id long", "last long, n long, centroid array<double>", ttlDurationMs=None)
+        self.handle = handle
+        self.live = handle.getMapState("live", "bubble_id long", "last double, n long, centre array<double>, lat double, lng double, n_geo long")
+
+    def _read(self) -> assign.LiveBubbles:
+        found = assign.LiveBubbles(*self.rules)
+        for k, v in self.live.iterator():
+            found.bubbles[k[0]] = assign.Bubble(v[0], v[1], np.array(v[2], float), *v[3:])
+        return found
+
+    def _expire(self, live: assign.LiveBubbles, watermark_ms: int) -> None:
+        for k in live.forget(watermark_ms / 1000):
+            if self.live.containsKey((k,)):
+                self.live.removeKey((k,))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
+        if live.bubbles:
+            self.handle.registerTimer(int(1000 * (min(b.last for b in live.bubbles.values()) + live.span)) + 1)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
-        items = pd.concat(list(rows)).sort_values(["occurred_at", "item_id"])
-        live = {k[0]: [v[0], v[1], np.array(v[2], float)] for k, v in self.live.iterator()}
-        touched, out = set(), []
-        for r in items.itertuples():
-            v, at = np.asarray(r.v, float), int(r.occurred_at.timestamp())
-            best, top = None, -2.0
-            # No upper bound: an older item may join a newer bubble.
-            for b, (last, _, c) in sorted(live.items(), key=lambda x: (x[1][0], x[0]), reverse=True):
-                if last < at - self.hours * 3600:
-                    continue
-                norm = np.linalg.norm(v) * np.linalg.norm(c)
-                s = float(v @ c / norm) if norm else 0.0
-                if s > top:
-                    best, top = b, s
-            if best is None or top < self.threshold:
-                best = int(r.item_id)
-                live[best] = [at, 0, v]
-            last, n, c = live[best]
-            live[best] = [max(last, at), n + 1, (c * n + v) / (n + 1)]
-            touched.add(best)
-            out.append((r.item_id, best, top))
-        clock = max((x[0] for x in live.values()), default=0)
-        for b, (last, n, c) in live.items():
-            if last < clock - 2 * self.hours * 3600:
-                if self.live.containsKey((b,)):
-                    self.live.removeKey((b,))
-            elif b in touched:
-                self.live.updateValue((b,), (last, n, c.tolist()))
+        live, touched, out = self._read(), set(), []
+        for r in pd.concat(list(rows)).sort_values(["at", "item_id"]).itertuples(index=False):
+            bubble, top = live.place(int(r.item_id), r.at, np.asarray(r.v, float), *assign.place_or_none(r.lat, r.lng))
+            touched.add(bubble)
+            out.append((r.item_id, bubble, top))
+        for k in touched:
+            b = live.bubbles[k]
+            self.live.updateValue((k,), (b.last, b.n, b.centre.tolist(), b.lat, b.lng, b.n_geo))
+        self._expire(live, timerValues.getCurrentWatermarkInMs())
         yield pd.DataFrame(out, columns=["item_id", "bubble_id", "similarity"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._expire(self._read(), timerValues.getCurrentWatermarkInMs())
+        yield pd.DataFrame({"item_id": pd.Series(dtype="int64"), "bubble_id": pd.Series(dtype="int64"), "similarity": pd.Series(dtype="float64")})
+
     def close(self) -> None:
         pass
 
 
-def group_stream(items: DataFrame, threshold: float = 0.75, hours: int = 6, shards: list[str] | None = None) -> DataFrame:
+def group_stream(
+    items: DataFrame, threshold: float = assign.THRESHOLD, hours: float = assign.HOURS, shards: list[str] | None = None,
+    metres: float = assign.METRES, limit: int = 50, delay: str = "6 hours",
+) -> DataFrame:
     """item_id, bubble_id, similarity as items arrive, one state per dataset and ``shards`` columns.
 
-    ``shards`` must be columns across which items never group, such as a coarse region; needs the RocksDB state store.
+    ``shards`` must be columns across which items never group, such as a coarse region.  An item up to ``delay`` late
+    still joins or opens a bubble.  Needs the RocksDB state store.
     """
-    return items.select("dataset_id", *(shards or []), "item_id", "occurred_at", "v").groupBy("dataset_id", *(shards or [])).transformWithStateInPandas(
-        Grouper(threshold, hours), "item_id long, bubble_id long, similarity double", "Append", "None"
+    rows = items.withWatermark("occurred_at", delay).select(
+        "dataset_id", *(shards or []), "item_id", "occurred_at", (F.unix_micros("occurred_at") / 1e6).alias("at"), "lat", "lng", "v"
+    )
+    return rows.groupBy("dataset_id", *(shards or [])).transformWithStateInPandas(
+        Grouper(threshold, metres, hours, limit), "item_id long, bubble_id long, similarity double", "Append", "EventTime"
     )
 
 
