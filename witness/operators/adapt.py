@@ -40,6 +40,7 @@ UNKNOWN = "unknown"
 
 _NUL = r"(?<!\\)((?:\\\\)*)\\u0000"  # the escape, not an escaped backslash before u0000
 _ENTRIES = "array<struct<key:string,value:string,kind:string>>"
+_KINDS = (("STRING", "text"), ("BIGINT", "scalar"), ("DOUBLE", "scalar"), ("DECIMAL", "scalar"), ("BOOLEAN", "scalar"), ("ARRAY", "array"), ("OBJECT", "object"))
 _NOTES = "array<struct<key:string,value:string,confidence:double,annotator:string>>"
 
 
@@ -62,11 +63,8 @@ def settle(df: DataFrame, **columns: Column) -> DataFrame:
 
 def kind_of(value: Column) -> Column:
     """text, scalar (number or boolean), array, object, or null, of a variant."""
-    kind = F.schema_of_variant(value)
-    return (
-        F.when(kind == "STRING", "text").when(kind.startswith("ARRAY"), "array").when(kind.startswith("OBJECT"), "object")
-        .when(kind != "VOID", "scalar")
-    )
+    name = F.substring_index(F.substring_index(F.schema_of_variant(value), "<", 1), "(", 1)
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in _KINDS for x in pair)), name)
 
 
 def text_of(value: Column) -> Column:
@@ -97,16 +95,33 @@ def with_entries(df: DataFrame, json: str) -> DataFrame:
     return settle(df, _e=F.filter("_all", lambda x, i: F.array_position("_names", x["key"]) == i + 1))
 
 
-def take(entry: Callable[[str], Column], keys: tuple[str, ...], closed: Column | None = None, good: Callable[[Column], Column] | None = None) -> Column:
-    """(key, value) of the first alias with a non-blank scalar that ``good`` accepts; ``closed`` is a key already used."""
-    found = []
-    for key in keys:
-        value = F.trim(entry(key)["value"])
-        fits = entry(key)["kind"].isin("text", "scalar") & (value != "")
-        fits = fits & good(value) if good else fits
-        fits = fits & (F.coalesce(closed, F.lit("")) != key) if closed is not None else fits
-        found.append(F.when(fits, F.struct(F.lit(key).alias("key"), value.alias("value"))))
-    return F.coalesce(*found)
+def with_candidates(df: DataFrame) -> DataFrame:
+    """Adds _c: the entries that are some field's alias, as (field, rank, key, value, kind)."""
+    known = [(key, name, rank) for name, keys in (*ALIASES.items(), ("box", GEO_CONTAINERS)) for rank, key in enumerate(keys)]
+    known = {key: (name, rank) for key, name, rank in known}  # "author" is the author's first; see ``adapt``
+    field = F.create_map(*(F.lit(x) for k, (name, _) in known.items() for x in (k, name)))
+    rank = F.create_map(*(F.lit(x) for k, (_, n) in known.items() for x in (k, n)))
+    named = lambda e: F.struct(
+        F.try_element_at(field, e["key"]).alias("field"), F.try_element_at(rank, e["key"]).alias("rank"),
+        e["key"].alias("key"), F.trim(e["value"]).alias("value"), e["kind"].alias("kind"),
+    )
+    return settle(df, _c=F.filter(F.transform("_e", named), lambda c: c["field"].isNotNull()))
+
+
+def take(field: str, good: Callable[[Column], Column] | None = None, closed: Column | None = None) -> Column:
+    """(key, value) of a field's first alias with a non-blank scalar that ``good`` accepts; ``closed`` is a key already used."""
+
+    def fits(c: Column) -> Column:
+        ok = (c["field"] == field) & c["kind"].isin("text", "scalar") & (c["value"] != "")
+        ok = ok & (c["key"] != F.coalesce(closed, F.lit(""))) if closed is not None else ok
+        return ok & good(c["value"]) if good is not None else ok
+
+    return _first(F.filter("_c", fits), "key", "value")
+
+
+def _first(candidates: Column, *names: str) -> Column:
+    best = F.array_min(F.transform(candidates, lambda c: F.struct(c["rank"].alias("rank"), *(c[n].alias(n) for n in names))))
+    return F.when(best.isNotNull(), F.struct(*(best[n].alias(n) for n in names)))
 
 
 def boolean_of(value: Column) -> Column:
@@ -129,13 +144,10 @@ def strings_of(value: Column, kind: Column, scalars: bool = False) -> Column:
     return F.coalesce(F.when(kind == "array", many).when(single & (F.trim(value) != ""), F.array(F.trim(value))), none)
 
 
-def take_array(entry: Callable[[str], Column], keys: tuple[str, ...]) -> Column:
-    """(key, value, kind) of the first alias that is an array or a non-blank string, see ``strings_of``."""
-    return F.coalesce(*(
-        F.when((entry(k)["kind"] == "array") | ((entry(k)["kind"] == "text") & (F.trim(entry(k)["value"]) != "")),
-               F.struct(F.lit(k).alias("key"), entry(k)["value"].alias("value"), entry(k)["kind"].alias("kind")))
-        for k in keys
-    ))
+def take_array(field: str) -> Column:
+    """(key, value, kind) of a field's first alias that is an array or a non-blank string, see ``strings_of``."""
+    some = lambda c: (c["kind"] == "array") | ((c["kind"] == "text") & (c["value"] != ""))
+    return _first(F.filter("_c", lambda c: (c["field"] == field) & some(c)), "key", "value", "kind")
 
 
 def _number(v: Column) -> Column:
@@ -144,23 +156,19 @@ def _number(v: Column) -> Column:
 
 def _spot(raw: Column) -> Column:
     """(lat, lng) that a container's JSON holds: a position, a geometry, or an object with coordinates by alias."""
-    pair = F.from_json(F.when(raw.rlike(r"^\s*\["), raw).otherwise(F.get_json_object(raw, "$.coordinates")), "array<double>")
-    named = lambda keys: F.coalesce(*(F.get_json_object(raw, f"$.{k}").try_cast("double") for k in keys))
+    pair = F.from_json(F.when(raw.startswith("["), raw).otherwise(F.get_json_object(raw, "$.coordinates")), "array<double>")
+    fields = F.from_json(F.when(raw.startswith("{"), raw), "map<string,string>")
+    named = lambda keys: F.coalesce(*(fields[k].try_cast("double") for k in keys))
     return F.struct(F.coalesce(F.get(pair, F.lit(1)), named(ALIASES["lat"])).alias("lat"), F.coalesce(F.get(pair, F.lit(0)), named(ALIASES["lng"])).alias("lng"))
 
 
-def with_geo(df: DataFrame, entry: Callable[[str], Column]) -> DataFrame:
+def with_geo(df: DataFrame) -> DataFrame:
     """Adds _geo (lat, lng, confidence, dropped) and _geo_keys: by alias, else from a container in GeoJSON order; half
     or impossible pairs are dropped with a sentence."""
-    boxes = []
-    for key in GEO_CONTAINERS:
-        at = _spot(entry(key)["value"])
-        box = F.when(entry(key)["kind"].isin("array", "object"), F.struct(F.lit(key).alias("key"), at.alias("at")))
-        boxes.append(F.when(box["at"]["lat"].isNotNull() & box["at"]["lng"].isNotNull(), box))
-    df = settle(
-        df, _la=take(entry, ALIASES["lat"], good=_number), _lo=take(entry, ALIASES["lng"], good=_number),
-        _co=take(entry, ALIASES["geo_confidence"], good=_number), _box=F.coalesce(*boxes),
-    )
+    held = F.filter("_c", lambda c: (c["field"] == "box") & c["kind"].isin("array", "object"))
+    boxes = F.transform(held, lambda c: F.struct(c["rank"].alias("rank"), c["key"].alias("key"), _spot(c["value"]).alias("at")))
+    df = settle(df, _boxes=boxes, _la=take("lat", _number), _lo=take("lng", _number), _co=take("geo_confidence", _number))
+    df = settle(df, _box=_first(F.filter("_boxes", lambda b: b["at"]["lat"].isNotNull() & b["at"]["lng"].isNotNull()), "key", "at"))
     boxed = ~(F.col("_la").isNotNull() & F.col("_lo").isNotNull()) & F.col("_box").isNotNull()
     pick = lambda c, n: F.when(boxed, F.col("_box.at")[n]).otherwise(F.col(f"{c}.value").try_cast("double"))
     df = settle(df, _y=pick("_la", "lat"), _x=pick("_lo", "lng"), _boxed=boxed)
@@ -241,12 +249,15 @@ def adapt(rows: DataFrame, now: str, payload: str = "payload") -> DataFrame:
     out = settle(out, _f=F.map_from_entries(F.transform("_e", lambda x: F.struct(x["key"], F.struct(x["value"], x["kind"])))))
     is_object, bare, entry = F.col("_v").isNotNull(), F.col("_bare"), lambda k: F.col("_f")[k]
     good = {"captured_at": lambda v: instant_of(v).isNotNull(), "occurred_at": lambda v: instant_of(v).isNotNull(), "synthetic": lambda v: boolean_of(v).isNotNull()}
-    one = ("source", "source_class", "captured_at", "occurred_at", "dataset_id", "external_id", "url", "synthetic", "title", "text")
-    out = settle(out, **{f"_f_{n}": take(entry, ALIASES[n], good=good.get(n)) for n in one}, _f_quoted_urls=take_array(entry, ALIASES["quoted_urls"]))
-    # An alias that one field has consumed is closed to the next: of all lists only these two overlap.
-    out = settle(out, _f_author=take(entry, ALIASES["author"], F.col("_f_source.key")))
-    out = with_geo(out, entry)
-    used = F.array_compact(F.concat(F.array(*(f"_f_{n}.key" for n in (*one, "quoted_urls", "author"))), "_geo_keys"))
+    one = ("source_class", "captured_at", "occurred_at", "dataset_id", "external_id", "url", "synthetic", "title", "text")
+    out = settle(with_candidates(out), _f_named=take("source"), **{f"_f_{n}": take(n, good.get(n)) for n in one}, _f_quoted_urls=take_array("quoted_urls"))
+    # An alias that one field has consumed is closed to the next. Of all lists only two overlap: a source's last alias is
+    # an author's first.
+    own = F.filter("_c", lambda c: (c["key"] == ALIASES["source"][-1]) & c["kind"].isin("text", "scalar") & (c["value"] != ""))
+    out = settle(out, _f_source=F.coalesce("_f_named", _first(own, "key", "value")))
+    out = settle(out, _f_author=take("author", closed=F.col("_f_source.key")))
+    out = with_geo(out)
+    used = F.array_compact(F.concat(F.array(*(f"_f_{n}.key" for n in (*one, "source", "quoted_urls", "author"))), "_geo_keys"))
     out = settle(out, _used=used, _given=explicit_notes(entry))
     value = lambda n: F.col(f"_f_{n}.value")
     out = settle(out, _text=F.coalesce(bare, derive_text(F.col("_e"), value("title"), value("text"), F.col("_used"))))
