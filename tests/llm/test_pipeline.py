@@ -75,3 +75,50 @@ def test_mixing_stage(outputs):
     for s in size:
         assert got.get(s, 0) == int(target[s] + 1e-6)
     assert (outputs[5].taken <= 2 * outputs[5]["size"]).all()
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, _row string, _id long, fp long, size string, taken long, kept_text string, item_id long"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null and empty texts, null ids, repeated rows, one very long text and columns named like the stages' own."""
+    tail = ("r", 1, 2, "s", -1, "k", 3)
+    prose = " ".join(f"word{i} of the day" for i in range(60))
+    rows = [
+        (1, None, None, None, None, *tail), (2, "", "en", "a", 0, *tail), (3, " \n", "en", "", 2, *tail),
+        (4, "lorem ipsum dolor " * 60_000, "en", "b", 1, *tail), (5, prose, "en", "b", 1, *tail), (5, prose, "en", "b", 1, *tail),
+        (6, prose + " and more", "en", "b", 1, *tail), (None, prose, "de", "a", 1, *tail), (None, None, None, None, None, *tail), (8, "short", "fr", "a", 5, *tail),
+    ]
+    return spark.createDataFrame(rows, ODD).repartition(3)
+
+
+@pytest.mark.parametrize("name", [n for n, _ in P.STAGES])
+def test_stages_on_odd_rows_and_none(spark, odd, name):
+    stage = dict(P.STAGES)[name]
+    out = stage(spark, odd, SF)
+    got = sorted((r.doc_id or 0 for r in out.collect()))
+    if name == "mixing":
+        assert out.columns == [c for c in odd.columns if c not in ("size", "taken")] + ["size", "source_size", "target", "taken"]
+        assert all(r.taken > 0 and r._row == "r" for r in out.collect()) and set(got) <= {0, 4, 5, 6, 8}
+    else:
+        assert out.columns == odd.columns and all(r.taken == -1 and r.kept_text == "k" for r in out.collect())
+    if name == "simhash near-dedup":  # of repeated rows one; rows without an id or without words stay
+        assert got == [0, 0, 1, 2, 3, 4, 5, 8]
+    if name == "suffix-array dedup":
+        assert got == sorted(r.doc_id or 0 for r in odd.collect())
+        text = {r.doc_id: r.text for r in out.collect()}
+        assert text[1] is None and text[5] == "" and text[6].strip() == "and more" and text[8] == "short" and len(text[4]) < 300
+    if name == "benchmark decontamination":
+        assert got == sorted(r.doc_id or 0 for r in odd.collect())
+    assert stage(spark, odd.where("false"), SF).count() == 0
+
+
+def test_run_leaves_only_its_result_behind(spark, outputs):
+    import pathlib
+
+    folder = pathlib.Path(P.shared_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir()) if folder.exists() else set()
+    docs = P.run(spark, SF)
+    assert sorted(r.doc_id for r in docs.collect()) == sorted(outputs[5].doc_id)
+    assert len(set(folder.iterdir()) - before) == 1
