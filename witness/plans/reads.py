@@ -70,29 +70,62 @@ def capture_start(members: DataFrame) -> DataFrame:
     return members.agg(F.min("captured_at").alias("captured_at"))
 
 
-def provenance(members: DataFrame, origins: DataFrame, bubble: str, as_at: str | None = None) -> DataFrame:
-    """Rows behind one cluster: item, origin, both clocks; nothing known later than ``as_at``."""
+def _joined_by(edges: DataFrame | None, items: DataFrame) -> DataFrame:
+    """``items`` with the weight and reason of their membership, null where no edge says."""
+    if edges is None:
+        return items.withColumns({"weight": F.lit(None).cast("double"), "reason": F.lit(None).cast("string")})
+    member = edges.where("rel = 'member_of'").select(F.col("from_id").alias("item_id"), "weight", "reason")
+    return items.join(member, "item_id", "left")
+
+
+def provenance(members: DataFrame, origins: DataFrame, bubble: str, as_at: str | None = None, edges: DataFrame | None = None) -> DataFrame:
+    """Rows behind one cluster: item, origin, both clocks, why it is a member; nothing known later than ``as_at``."""
     own = members.where(F.col("bubble_id") == bubble)
     own = own.where(F.col("captured_at") <= F.lit(as_at).cast("timestamp")) if as_at else own
-    return own.join(origins.select("item_id", "origin_id"), "item_id").select("item_id", "origin_id", "source", "author", "occurred_at", "captured_at")
+    rows = _joined_by(edges, own.join(origins.select("item_id", "origin_id"), "item_id"))
+    return rows.select("item_id", "origin_id", "source", "author", "occurred_at", "captured_at", "weight", "reason")
+
+
+def origin_sets(rows: DataFrame) -> DataFrame:
+    """origin_id, items: origins of a cluster's provenance that hold more than one item, with their items."""
+    found = rows.groupBy("origin_id").agg(F.sort_array(F.collect_list("item_id")).alias("items"))
+    return found.where(F.size("items") > 1)
 
 
-def signal_detail(members: DataFrame, origins: DataFrame, events: DataFrame, bubble: str, as_at: str | None = None) -> DataFrame:
-    """One row: counts, provenance and grade history oldest first."""
-    rows = provenance(members, origins, bubble, as_at)
+def signal_detail(
+    members: DataFrame, origins: DataFrame, events: DataFrame, bubble: str, as_at: str | None = None, edges: DataFrame | None = None
+) -> DataFrame:
+    """One row: counts, provenance, collapsed origins and grade history oldest first."""
+    rows = provenance(members, origins, bubble, as_at, edges)
     history = events.where(F.col("bubble_id") == bubble)
     history = history.where(F.col("at") <= F.lit(as_at).cast("timestamp")) if as_at else history
     past = history.agg(F.sort_array(F.collect_list(F.struct("at", "item_id", "to_grade"))).alias("history"))
-    head = rows.agg(F.count(F.lit(1)).alias("items"), F.countDistinct("origin_id").alias("independent_sources"), F.sort_array(F.collect_list(F.struct("occurred_at", "item_id", "origin_id", "source"))).alias("provenance"))
-    told = F.when(F.col("items") == 0, F.raise_error(F.lit("no such cluster, or nothing known of it then")).cast("long")).otherwise(F.col("items"))
-    return head.join(F.broadcast(past)).withColumn("items", told)
-
-
-def bubble_detail(members: DataFrame, annotations: DataFrame, bubble: str) -> DataFrame:
-    """Members of one bubble newest first, each with all of its annotations."""
-    own = members.where(F.col("bubble_id") == bubble)
-    notes = annotations.join(own.select(F.col("item_id").alias("node_id")), "node_id", "left_semi").groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("key", "value"))).alias("annotations"))
-    return own.join(notes, F.col("item_id") == F.col("node_id"), "left").drop("node_id").orderBy(F.desc("occurred_at"), F.desc("item_id"))
+    sets = origin_sets(rows).agg(F.sort_array(F.collect_list(F.struct("origin_id", "items"))).alias("origins"))
+    line = F.struct("occurred_at", "item_id", "origin_id", "source", "weight", "reason")
+    head = rows.agg(
+        F.count(F.lit(1)).alias("items"), F.countDistinct("origin_id").alias("independent_sources"), F.sort_array(F.collect_list(line)).alias("provenance")
+    )
+    missing = F.raise_error(F.lit("no such cluster, or nothing known of it then")).cast("long")
+    told = F.when(F.col("items") == 0, missing).otherwise(F.col("items"))
+    return head.join(F.broadcast(past)).join(F.broadcast(sets)).withColumn("items", told)  # one row each
+
+
+def bubble_detail(members: DataFrame, annotations: DataFrame, bubble: str, edges: DataFrame | None = None) -> DataFrame:
+    """Members of one bubble newest first, with all their columns (the payload among them), all of their annotations
+    and why they are members."""
+    own = _joined_by(edges, members.where(F.col("bubble_id") == bubble))
+    about = annotations.join(own.select(F.col("item_id").alias("node_id")), "node_id", "left_semi")
+    notes = about.groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("key", "value"))).alias("annotations"))
+    found = own.join(notes, F.col("item_id") == F.col("node_id"), "left").drop("node_id")
+    return found.orderBy(F.desc("occurred_at"), F.desc("item_id"))
+
+
+def alerts_in_place(feed: DataFrame, members: DataFrame, issues: DataFrame) -> DataFrame:
+    """A page of the alert feed with what it is about and where: ``issue`` and place from today's members (null where
+    none is placed); counts and grade stay those of the event."""
+    shown = feed.select("bubble_id").distinct()
+    where = located(members.join(shown, "bubble_id", "left_semi")).select("bubble_id", "lat", "lng")
+    return feed.join(issues.select("bubble_id", "issue"), "bubble_id", "left").join(where, "bubble_id", "left")
 
 
 def board(members: DataFrame, now: str, start: str, end: str, limit: int = 500) -> DataFrame:

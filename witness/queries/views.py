@@ -12,8 +12,8 @@ from witness.operators import fold, grade, origins, spatial, weather
 from witness.plans import reads
 from witness.plans.lineage import cut
 from witness.queries.base import BUBBLES_SQL, COORD_SQL, EDGES_SQL, coords, edges, query, r6, secs, sql
-from witness.queries.corpus import SCORED_SQL, _notes
-from witness.queries.evidence import AREA_SQL, AUTHOR_ORIGINS_SQL, GRADED, REPLAY_SQL, areas, events_of, facts, facts_of
+from witness.queries.corpus import NOTES_SQL, SCORED_SQL, _notes
+from witness.queries.evidence import AREA_SQL, AUTHOR_ORIGINS_SQL, GRADED, REPLAY_SQL, REPLAYED, areas, events, events_of, facts, facts_of
 from witness.sources import drop_folder, feeds
 from witness.streaming import streams
 
@@ -81,16 +81,43 @@ def _biggest(items):
     return items.groupBy("bubble_id").count().orderBy(F.desc("count"), "bubble_id").first().bubble_id
 
 
-@query(sql(AUTHOR_ORIGINS_SQL, select=f"SELECT item_id, origin_id, source, author FROM origins WHERE bubble_id = {_BIGGEST}"))
+def _why(items):
+    """Membership with the weight and reason of each decision."""
+    return edges(items).withColumns({"weight": F.expr("1.0D / (1 + from_id % 7)"), "reason": F.expr("concat('decided on ', from_id % 7)")})
+
+
+@query(sql(EDGES_SQL, AUTHOR_ORIGINS_SQL, select=f"""SELECT item_id, origin_id, source, author,
+    CASE WHEN from_id IS NOT NULL THEN round(1.0::DOUBLE / (1 + item_id % 7), 6) END AS weight, CASE WHEN from_id IS NOT NULL THEN 'decided on ' || (item_id % 7) END AS reason
+  FROM origins LEFT JOIN edges ON from_id = item_id WHERE bubble_id = {_BIGGEST}"""))
 def r6_provenance(spark, sf_dir):
     items = X.items(spark, sf_dir)
-    return reads.provenance(items, origins.author_origins(items), _biggest(items)).select("item_id", "origin_id", "source", "author")
+    rows = reads.provenance(items, origins.author_origins(items), _biggest(items), edges=_why(items))
+    return rows.select("item_id", "origin_id", "source", "author", r6("weight"), "reason")
+
+
+@query(sql(AUTHOR_ORIGINS_SQL, select=f"""SELECT origin_id, list_sort(list(item_id))::VARCHAR AS items FROM origins WHERE bubble_id = {_BIGGEST}
+  GROUP BY 1 HAVING count(*) > 1"""))
+def r6_origin_sets(spark, sf_dir):
+    items = X.items(spark, sf_dir)
+    found = reads.origin_sets(reads.provenance(items, origins.author_origins(items), _biggest(items)))
+    return found.select("origin_id", F.concat(F.lit("["), F.array_join(F.col("items").cast("array<string>"), ", "), F.lit("]")).alias("items"))
+
+
+@query(sql(*REPLAYED, AUTHOR_ORIGINS_SQL, select=f"""SELECT count(*) AS items, count(DISTINCT origin_id) AS independent_sources,
+    (SELECT count(*) FROM transitions WHERE bubble_id = {_BIGGEST})::INT AS n_history,
+    (SELECT count(*) FROM (SELECT origin_id FROM origins WHERE bubble_id = {_BIGGEST} GROUP BY 1 HAVING count(*) > 1))::INT AS n_collapsed
+  FROM origins WHERE bubble_id = {_BIGGEST}"""))
+def r6_detail_counts(spark, sf_dir):
+    found = r6_signal_detail(spark, sf_dir)
+    return found.select("items", "independent_sources", F.size("history").alias("n_history"), F.size("origins").alias("n_collapsed"))
 
 
 @query()
 def r6_signal_detail(spark, sf_dir):
     items = X.items(spark, sf_dir)
-    return reads.signal_detail(items, origins.author_origins(items), events(spark, sf_dir), _biggest(items))
+    big = _biggest(items)
+    own = items.where(F.col("bubble_id") == big)
+    return reads.signal_detail(own, origins.author_origins(own), events_of(spark, own), big, edges=_why(items))
 
 
 @query(sql(EDGES_SQL, COORD_SQL, select="SELECT i.item_id, c.x, e.to_id AS bubble FROM items i LEFT JOIN coords c USING (item_id) LEFT JOIN edges e ON e.from_id = i.item_id WHERE i.dataset_id = 'live' AND i.occurred_at BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20' ORDER BY i.occurred_at, i.item_id LIMIT 2000"))
@@ -107,10 +134,28 @@ def r8_board(spark, sf_dir):
     return reads.board(X.items(spark, sf_dir), NOW, "2024-01-20", "2024-01-31")
 
 
-@query()
+@query(sql(EDGES_SQL, NOTES_SQL, select=f"""SELECT item_id, source, '{{"item":' || item_id || '}}' AS payload,
+    CASE WHEN from_id IS NOT NULL THEN 'decided on ' || (item_id % 7) END AS reason, coalesce(n.n, 0)::INT AS n_annotations
+  FROM items LEFT JOIN edges ON from_id = item_id LEFT JOIN (SELECT node_id, count(*) AS n FROM notes GROUP BY 1) n ON node_id = item_id WHERE bubble_id = {_BIGGEST}"""))
 def r9_bubble_detail(spark, sf_dir):
     items = X.items(spark, sf_dir)
-    return reads.bubble_detail(items, _notes(items), _biggest(items)).select("item_id", "source", "annotations")
+    raw = items.withColumn("payload", F.to_json(F.struct(F.col("item_id").alias("item"))))
+    found = reads.bubble_detail(raw, _notes(items), _biggest(items), _why(items))
+    return found.select("item_id", "source", "payload", "reason", F.coalesce(F.size("annotations"), F.lit(0)).alias("n_annotations"))
+
+
+_MAIN_HAZARD = """issues AS (SELECT bubble_id, hazard AS issue FROM (SELECT bubble_id, hazard, row_number() OVER (PARTITION BY bubble_id ORDER BY count(*) DESC, hazard) AS k
+  FROM items GROUP BY 1, 2) WHERE k = 1)"""
+
+
+@query(sql(*REPLAYED, _MAIN_HAZARD, select="""SELECT a.item_id, a.bubble_id, a.origins, a.items, issue, lat, lng FROM
+  (SELECT item_id, bubble_id, origins::BIGINT AS origins, items FROM transitions WHERE alert_worthy AND att > TIMESTAMP '2024-01-15 12:00:00' ORDER BY att DESC, item_id DESC LIMIT 100) a
+  LEFT JOIN issues USING (bubble_id) LEFT JOIN (SELECT bubble_id, round(avg(lat), 6) AS lat, round(avg(lng), 6) AS lng FROM items GROUP BY 1) USING (bubble_id)"""))
+def c16_alerts_in_place(spark, sf_dir):
+    items = X.items(spark, sf_dir)
+    issues = fold.most_common(items, "bubble_id", "hazard").withColumnRenamed("hazard", "issue")
+    found = reads.alerts_in_place(grade.alert_feed(events(spark, sf_dir), X.AS_AT), items, issues)
+    return found.select("item_id", "bubble_id", "origins", "items", "issue", r6("lat"), r6("lng"))
 
 
 _SPEED = "speeds AS (SELECT bubble_id, any_value(dataset_id) AS dataset_id, count(*) AS mass, max(occurred_at) AS last_seen, count(*) FILTER (occurred_at >= n - INTERVAL 1 HOUR) AS velocity FROM (SELECT *, max(occurred_at) OVER (PARTITION BY bubble_id) AS n FROM items) GROUP BY 1)"
@@ -375,11 +420,14 @@ def s14_load_feeds(spark, sf_dir):
     return feeds.load_feeds(posts, "1970-01-01 00:01:40").select("post_id", "text", "source", "source_class")
 
 
-@query(sql(select="SELECT item_id::VARCHAR AS record_id, CASE source_class WHEN 'click' THEN 'media' WHEN 'view' THEN 'official_feed' WHEN 'error' THEN 'error' ELSE 'social' END AS source_class, 2 + (item_id % 2 = 0)::INT + (item_id % 3)::INT AS n_annotations FROM items"))
+@query(sql(select="""SELECT item_id::VARCHAR AS record_id, CASE source_class WHEN 'click' THEN 'media' WHEN 'view' THEN 'official_feed' WHEN 'error' THEN 'error' ELSE 'social' END AS source_class, 2 + (item_id % 2 = 0 OR item_id % 5 = 0)::INT + (item_id % 7 = 0)::INT + (item_id % 3)::INT AS n_annotations,
+  CASE WHEN item_id % 7 = 0 THEN 'https://ex.org/i/' || item_id END AS image, CASE WHEN item_id % 5 = 0 THEN 'matched' WHEN item_id % 2 = 0 THEN hazard END AS place FROM items"""))
 def s17_upload_items(spark, sf_dir):
     r = X.items(spark, sf_dir).selectExpr("string(item_id) AS record_id", "source", "CASE source_class WHEN 'click' THEN 'news' WHEN 'view' THEN 'official' WHEN 'error' THEN 'error' ELSE 'social' END AS source_kind", "'t' AS text", "false AS text_generated", "occurred_at AS observed_at", "lat", "lng", "geo_confidence AS confidence", "external_id", "author",
-                                          "string(null) AS url", "array() AS quoted_urls", "CASE WHEN item_id % 2 = 0 THEN place END AS location_text", "string(null) AS method", "array_repeat('l', CAST(item_id % 3 AS INT)) AS limitations")
-    return feeds.to_upload_items(r, "live").select("record_id", "source_class", F.size("annotations").alias("n_annotations"))
+                                          "string(null) AS url", "array() AS quoted_urls", "CASE WHEN item_id % 2 = 0 THEN hazard END AS location_text", "CASE WHEN item_id % 5 = 0 THEN 'matched' END AS matched_place", "CASE WHEN item_id % 7 = 0 THEN concat('https://ex.org/i/', item_id) END AS media_url", "string(null) AS method", "array_repeat('l', CAST(item_id % 3 AS INT)) AS limitations")
+    said = lambda key, name: F.get(F.filter("annotations", lambda a: a["key"] == key), F.lit(0))["value"].alias(name)
+    found = feeds.to_upload_items(r, "live")
+    return found.select("record_id", "source_class", F.size("annotations").alias("n_annotations"), said("image_url", "image"), said("location_text", "place"))
 
 
 @query(sql(select="""SELECT item_id, floor(t / 1000000)::BIGINT AS at_s, floor(greatest(t, least(t + lag, e - 30000000)) / 1000000)::BIGINT AS heard_s FROM (SELECT item_id, epoch_us(occurred_at) + e - 300000000 - (SELECT epoch_us(max(occurred_at)) FROM items) AS t, (3 + (item_id * 7) % 6) * 60000000 AS lag, e FROM items, (SELECT epoch_us(TIMESTAMP '2024-02-01') AS e))"""))
@@ -456,6 +504,12 @@ def v3_dense_embedding(spark, sf_dir):
     return V.dense_embedding(sparse, "doc_id").select("doc_id", r6(V.cosine(F.col("embedding"), base), "cosine"))
 
 
+@query("SELECT doc_id AS node_id, 'embedding_model' AS key, 'lexical' AS value, 'rule' AS annotator FROM documents WHERE regexp_matches(coalesce(text, ''), '[A-Za-z0-9]')")
+def v3_embedder_notes(spark, sf_dir):
+    docs = X.read(spark, sf_dir, "documents").where(F.coalesce("text", F.lit("")).rlike("[A-Za-z0-9]"))
+    return V.embedder_notes(docs, "doc_id", "lexical")
+
+
 # ---------------------------------------------------------------- batch twins of streams
 
 

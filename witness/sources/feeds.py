@@ -209,9 +209,12 @@ def load_feeds(posts: DataFrame, cutoff: str | None = None) -> DataFrame:
 
 
 def to_upload_items(records: DataFrame, dataset_id: str, synthetic: bool = False) -> DataFrame:
-    """Records as items with their annotations: place wording, method, whether the text was composed, limitations."""
+    """Records as items with their annotations: place wording (the matched place first), image, method, whether the text
+    was composed, limitations."""
     a = lambda k, v: F.when(v.isNotNull(), F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")))
-    notes = F.array_compact(F.array(a("location_text", F.col("location_text")), a("location_method", F.coalesce("method", F.lit("none"))), a("text_generated", F.col("text_generated"))))
+    place = F.coalesce("matched_place", "location_text") if "matched_place" in records.columns else F.col("location_text")
+    image = F.col("media_url") if "media_url" in records.columns else F.lit(None)
+    notes = F.array_compact(F.array(a("location_text", place), a("image_url", image), a("location_method", F.coalesce("method", F.lit("none"))), a("text_generated", F.col("text_generated"))))
     limits = F.transform(F.coalesce("limitations", F.array().cast("array<string>")), lambda v: F.struct(F.lit("limitation").alias("key"), v.alias("value")))
     classes = F.create_map(*(F.lit(x) for kv in KIND_CLASS.items() for x in kv))
     return records.select("record_id", "text", "source", F.coalesce(F.try_element_at(classes, F.col("source_kind")), F.col("source_kind")).alias("source_class"), F.col("observed_at").alias("occurred_at"), "external_id", "author", "url", "quoted_urls", "lat", "lng",
