@@ -158,11 +158,14 @@ def urls(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"""https?://[^\s<>"')]+"""), F.lit(0)))
 
 
+# Units of measurement, and the pattern of a house number before a word that is none of them.
+UNITS = "mm|cm|m|km|kpa|psi|l|ml|hr|hrs|hour|hours|min|mins|deg|inch|in|ft"
+HOUSE_NUMBER = rf"\b\d{{1,5}}[A-Za-z]?(?:\s*[-/]\s*\d{{1,5}}[A-Za-z]?)?\s+(?=[A-Za-z])(?!(?i:{UNITS})\b)"
+
+
 def redact_house_numbers(text: Column) -> Column:
     """House numbers before a word go; numbers of a measurement stay."""
-    units = "mm|cm|m|km|kpa|psi|l|ml|hr|hrs|hour|hours|min|mins|deg|inch|in|ft"
-    pattern = rf"\b\d{{1,5}}[A-Za-z]?(?:\s*[-/]\s*\d{{1,5}}[A-Za-z]?)?\s+(?=[A-Za-z])(?!(?i:{units})\b)"
-    return F.trim(F.regexp_replace(F.regexp_replace(text, pattern, ""), r"\s{2,}", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(text, HOUSE_NUMBER, ""), r"\s{2,}", " "))
 
 
 def strip_html(html: Column) -> Column:
@@ -176,9 +179,12 @@ def decode_entities(text: Column) -> Column:
     return out
 
 
+# How links to videos and pictures look.
+VIDEO_LINK, PHOTO_LINK = r"(?i)(v\.redd\.it|youtube\.com|youtu\.be|\.mp4\b)", r"(?i)\.(jpg|jpeg|png|gif|webp)\b"
+
+
 def media_of_post(content: Column, link: Column) -> Column:
-    video = content.rlike(r"(?i)(v\.redd\.it|youtube\.com|youtu\.be|\.mp4\b)")
-    photo = content.rlike(r"(?i)\.(jpg|jpeg|png|gif|webp)\b")
+    video, photo = content.rlike(VIDEO_LINK), content.rlike(PHOTO_LINK)
     return F.when(video, "video").when(photo, "photo").when(link.isNotNull(), "link").otherwise("none")
 
 

@@ -23,6 +23,7 @@ CREDIBILITY_LABELS = {
 }
 TONES = {1: "confirmed", 2: "corroborated", 3: "corroborated", 4: "unclear", 5: "doubtful"}
 #: In the order that breaks ties, with the hours in which attention halves and the phrases that tell.
+# Issue types with their half-lives and phrases.
 ISSUES: dict[str, tuple[int, tuple[str, ...]]] = {
     "flooding": (3, ("flood", "flooding", "flooded", "surface water", "water over", "water is over", "water up", "water across",
                      "water right across", "water is pouring", "water pouring", "under water", "underwater", "submerged",
@@ -45,6 +46,7 @@ ISSUES: dict[str, tuple[int, tuple[str, ...]]] = {
 OTHER_ISSUE = "other"
 OTHER_HALF_LIFE = 12
 #: Official sources graded A from the start: (id, kind).
+# The sources that are registered from the start.
 REGISTRY = (
     ("metservice", "official"),
     ("geonet", "official"),

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from witness import model
+from witness.functions.text import hits
 from witness.functions.geo import words_of_hours
 from witness.operators.store import with_reliability
 
@@ -41,10 +42,7 @@ def issue_types(texts: DataFrame, by: str, text: str = "text") -> DataFrame:
 
     Each text is searched by itself: a class's phrases are counted over the bubble by which of them occurred.
     """
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    marks = []
-    for issue, (_, words) in model.ISSUES.items():
-        marks.append(F.struct(F.lit(issue).alias("issue"), F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(low, w)).alias("words")))
+    marks = [F.struct(F.lit(issue).alias("issue"), hits(F.col(text), words).alias("words")) for issue, (_, words) in model.ISSUES.items()]
     rank = F.create_map(*(F.lit(x) for k, i in enumerate(model.ISSUES) for x in (i, k)))
     counted = (
         texts.select(by, F.explode(F.array(*marks)).alias("m")).select(by, "m.issue", F.explode("m.words").alias("w"))

@@ -232,7 +232,8 @@ def j8_grade_as_of(spark, sf_dir):
     return store.last_before(events(spark, sf_dir), X.AS_AT).select("bubble_id", "to_grade", "items")
 
 
-@query()
+@query(sql(select="""SELECT s AS source, CASE WHEN lower(trim(s)) IN ('metservice', 'geonet', 'gw-hilltop') THEN 'A' END AS reliability, count(*) AS count
+  FROM (SELECT CASE item_id % 4 WHEN 0 THEN 'metservice' WHEN 1 THEN 'GeoNet ' WHEN 2 THEN 'gw-hilltop' ELSE source END AS s FROM items) GROUP BY 1, 2"""))
 def c18_seeded_registry(spark, sf_dir):
     """Which of the sources in hand the seeded registry knows; the driver's sources stand in by a prefix."""
     items = X.items(spark, sf_dir).withColumn("source", F.expr("element_at(array('metservice', 'GeoNet ', 'gw-hilltop', source), CAST(item_id % 4 + 1 AS INT))"))

@@ -182,11 +182,12 @@ def r11_trend_bands(spark, sf_dir):
     return reads.trend_bands(_speeds(X.items(spark, sf_dir)))
 
 
-@query(sql(AUTHOR_ORIGINS_SQL, select="SELECT place, CASE WHEN count(*) > 24 THEN round(100.0::DOUBLE * count(DISTINCT origin_id) / count(*))::INT END AS percent FROM origins WHERE item_id % 7 = 0 OR place <> 'place3' OR item_id < 300 GROUP BY 1"))
+@query(sql(AUTHOR_ORIGINS_SQL, select="""SELECT place, strftime(occurred_at, '%Y-%m-%d') AS day, CASE WHEN count(*) > 24 THEN round(100.0::DOUBLE * count(DISTINCT origin_id) / count(*))::INT END AS percent
+  FROM origins GROUP BY 1, 2"""))
 def r12_independence_meter(spark, sf_dir):
-    o = origins.author_origins(X.items(spark, sf_dir)).where("item_id % 7 = 0 OR place <> 'place3' OR item_id < 300")
-    n = o.groupBy("place").agg(F.countDistinct("origin_id").alias("o"), F.count(F.lit(1)).alias("n"))
-    return n.select("place", reads.independence_meter(F.col("o"), F.col("n")).alias("percent"))
+    o = origins.author_origins(X.items(spark, sf_dir)).withColumn("day", F.date_format("occurred_at", "yyyy-MM-dd"))
+    n = o.groupBy("place", "day").agg(F.countDistinct("origin_id").alias("o"), F.count(F.lit(1)).alias("n"))
+    return n.select("place", "day", reads.independence_meter(F.col("o"), F.col("n")).alias("percent"))
 
 
 _NAMED = "named AS (SELECT bubble_id, CASE user_id % 15 % 3 WHEN 0 THEN 'north' ELSE 'south' END AS area FROM (SELECT bubble_id, min(user_id % 15) AS user_id FROM items GROUP BY 1) WHERE user_id % 15 % 2 = 0)"
@@ -407,7 +408,9 @@ def _cap(spark, sf_dir):
     return X.items(spark, sf_dir).selectExpr("""concat('<alert xmlns="urn:oasis:names:tc:emergency:cap:1.2"><identifier>c', item_id % 700, '</identifier><sent>2024-01-05</sent><info><event>', hazard, '</event><headline>h</headline><severity>', event_type, '</severity><onset>o', item_id % 3, '</onset><area><areaDesc>', CASE WHEN item_id % 4 = 0 THEN 'Wellington' ELSE 'Otago' END, '</areaDesc><polygon>1,2 3,4 5,6</polygon></area></info><info><event>second</event></info></alert>') AS xml""", "concat('u', item_id) AS url")
 
 
-@query()
+@query(sql(select="""SELECT 'c' || (item_id % 700) AS identifier, e AS event, CASE WHEN k = 1 THEN event_type END AS severity, CASE WHEN k = 1 THEN CASE WHEN item_id % 4 = 0 THEN 'Wellington' ELSE 'Otago' END ELSE '' END AS area,
+    CASE WHEN k = 1 THEN 3 ELSE 0 END AS polygon_points, k = 1 AND item_id % 4 = 0 AS relevant
+  FROM (SELECT *, unnest([1, 2]) AS k, unnest([hazard, 'second']) AS e FROM items)"""))
 def s13_cap_history(spark, sf_dir):
     return feeds.cap_history(_cap(spark, sf_dir)).select("identifier", "event", "severity", "area", "polygon_points", "relevant")
 
@@ -445,29 +448,31 @@ def l6_search_catalogue(spark, sf_dir):
     return weather.search_catalogue(c, text="brand#3", queryable=True).select("p_partkey")
 
 
-@query()
+@query(sql(select="""SELECT 'g' || (user_id % 3) AS site, floor(epoch(occurred_at))::BIGINT AS at_s, CASE WHEN item_id % 50 <> 0 THEN value END AS value,
+    item_id % 50 = 0 AS gap, 'mm' AS units FROM items"""))
 def l7_gauge_readings(spark, sf_dir):
     x = X.items(spark, sf_dir).selectExpr("""concat('<Hilltop><Measurement SiteName="g', user_id % 3, '"><DataSource><ItemInfo ItemNumber="1"><ItemName>Flow</ItemName><Units>m3/s</Units></ItemInfo><ItemInfo ItemNumber="2"><ItemName>Stage</ItemName><Units>mm</Units></ItemInfo></DataSource><Data><E><T>', date_format(occurred_at, "yyyy-MM-dd'T'HH:mm:ss"), '</T><I1>1</I1><I2>', CASE WHEN item_id % 50 = 0 THEN 'gap' ELSE string(value) END, '</I2></E></Data></Measurement></Hilltop>') AS xml""")
-    return weather.gauge_readings(x, "stage")
+    return weather.gauge_readings(x, "stage").select("site", secs("at").alias("at_s"), "value", (F.col("text") == "gap").alias("gap"), "units")
 
 
-@query(sql(select="SELECT 'g' || (user_id % 3) AS site, floor(epoch(max(occurred_at)))::BIGINT AS latest_s, max(occurred_at) < TIMESTAMP '2024-01-30 23:00:00' - INTERVAL 1 HOUR AS stale FROM items WHERE user_id % 3 <> 1 OR item_id < 9000 GROUP BY 1"))
+@query(sql(select="SELECT 'g' || (user_id % 3) AS site, floor(epoch(max(occurred_at)))::BIGINT AS latest_s, max(occurred_at) < TIMESTAMP '2024-01-30 23:00:00' - INTERVAL 1 HOUR AS stale FROM (SELECT user_id, occurred_at - INTERVAL (CASE WHEN user_id % 3 = 1 THEN 50 ELSE 0 END) HOUR AS occurred_at FROM items) GROUP BY 1"))
 def l8_stale_gauges(spark, sf_dir):
-    r = X.items(spark, sf_dir).where("user_id % 3 <> 1 OR item_id < 9000").selectExpr("concat('g', user_id % 3) AS site", "occurred_at AS at")
+    r = X.items(spark, sf_dir).selectExpr("concat('g', user_id % 3) AS site", "CASE WHEN user_id % 3 = 1 THEN occurred_at - INTERVAL 50 HOURS ELSE occurred_at END AS at")
     return weather.stale_gauges(r, "2024-01-30 23:00:00", 1.0).select("site", secs("latest").alias("latest_s"), "stale")
 
 
-_RAIN = "rain AS (SELECT strftime(occurred_at, '%Y-%m-%d') AS day, 'g' || (user_id % 3) AS gauge, round(sum(value), 6) AS mm FROM items WHERE item_id % 20 = 0 GROUP BY 1, 2), peaks AS (SELECT strftime(occurred_at, '%Y-%m-%d') AS day, max(value) AS river_peak FROM items WHERE event_type = 'error' AND value > 99 GROUP BY 1)"
+_RAIN = "rain AS (SELECT strftime(occurred_at, '%Y-%m-%d') AS day, 'g' || (user_id % 3) AS gauge, round(sum(CASE WHEN day(occurred_at) % 3 = 0 THEN value ELSE 0 END), 6) AS mm FROM items GROUP BY 1, 2), peaks AS (SELECT strftime(occurred_at, '%Y-%m-%d') AS day, max(value) AS river_peak FROM items WHERE event_type = 'error' AND value > 99 GROUP BY 1)"
 
 
 @query(sql(_RAIN, select="""SELECT d.day, round(g0, 6) AS g0, round(g1, 6) AS g1, round(g2, 6) AS g2, river_peak, river_peak IS NOT NULL AS corroborated_by_river FROM (SELECT day, sum(mm) FILTER (gauge = 'g0') AS g0, sum(mm) FILTER (gauge = 'g1') AS g1, sum(mm) FILTER (gauge = 'g2') AS g2 FROM rain GROUP BY 1) d LEFT JOIN peaks USING (day)
-WHERE greatest(coalesce(g0, 0), coalesce(g1, 0), coalesce(g2, 0)) >= 300"""))
+WHERE greatest(coalesce(g0, 0), coalesce(g1, 0), coalesce(g2, 0)) >= 25"""))
 def l9_extreme_rain_days(spark, sf_dir):
     items = X.items(spark, sf_dir)
     day = F.date_format("occurred_at", "yyyy-MM-dd").alias("day")
-    rain = items.where("item_id % 20 = 0").select(day, F.expr("concat('g', user_id % 3) AS gauge"), "value").groupBy("day", "gauge").agg(F.round(F.sum("value"), 6).alias("mm"))
+    fell = F.expr("CASE WHEN day(occurred_at) % 3 = 0 THEN value ELSE 0 END AS value")
+    rain = items.select(day, F.expr("concat('g', user_id % 3) AS gauge"), fell).groupBy("day", "gauge").agg(F.round(F.sum("value"), 6).alias("mm"))
     peaks = items.where("event_type = 'error' AND value > 99").groupBy(day).agg(F.max("value").alias("river_peak"))
-    d = weather.extreme_rain_days(rain, peaks, ["g0", "g1", "g2"], 300.0)
+    d = weather.extreme_rain_days(rain, peaks, ["g0", "g1", "g2"])
     return d.select("day", r6("g0"), r6("g1"), r6("g2"), "river_peak", "corroborated_by_river")
 
 
@@ -477,19 +482,19 @@ def l10_unique_warnings(spark, sf_dir):
     return weather.warning_counts(weather.unique_warnings(w))
 
 
-@query(sql(select="SELECT day, count(*) AS mentions FROM (SELECT url, min(day) AS day FROM (SELECT CASE WHEN item_id % 5 <> 0 THEN 'u' || (item_id % 1500) END AS url, strftime(occurred_at, '%Y-%m-%d') AS day FROM items WHERE item_id % 3 = 0) WHERE url IS NOT NULL GROUP BY 1) GROUP BY 1 HAVING count(*) >= 3"))
+@query(sql(select="SELECT day, count(*) AS mentions FROM (SELECT url, min(day) AS day FROM (SELECT CASE WHEN item_id % 5 <> 0 THEN 'u' || (item_id % 1500) END AS url, strftime(occurred_at, '%Y-%m-%d') AS day FROM items) WHERE url IS NOT NULL GROUP BY 1) GROUP BY 1 HAVING count(*) >= 3"))
 def l11_likely_warning_days(spark, sf_dir):
-    m = X.items(spark, sf_dir).where("item_id % 3 = 0").selectExpr("CASE WHEN item_id % 5 <> 0 THEN concat('u', item_id % 1500) END AS url", "date_format(occurred_at, 'yyyy-MM-dd') AS day")
+    m = X.items(spark, sf_dir).selectExpr("CASE WHEN item_id % 5 <> 0 THEN concat('u', item_id % 1500) END AS url", "date_format(occurred_at, 'yyyy-MM-dd') AS day")
     return weather.likely_warning_days(m)
 
 
-@query()
+@query(sql(select="SELECT item_id, round((-41.35 + (user_id % 30) * 0.01)::DOUBLE, 6) AS lat, round((174.7 + (user_id % 40) * 0.01)::DOUBLE, 6) AS lng FROM items"))
 def l3_flat_rows(spark, sf_dir):
     f = _quake_features(spark, sf_dir)
     return spatial.flat_rows(f).select("item_id", r6("lat"), r6("lng"))
 
 
-@query()
+@query(sql(select="SELECT item_id, round((lng + 174.9 + 174.8) / 3, 6) AS lng, round((lat - 41.1 - 41.3) / 3, 6) AS lat, round(lng, 6) AS first_lng FROM items WHERE lat IS NOT NULL"))
 def v8_vertex_mean(spark, sf_dir):
     ring = F.concat(F.lit("[[["), F.col("lng").cast("string"), F.lit(","), F.col("lat").cast("string"), F.lit("],[174.9,-41.1],[174.8,-41.3]]]"))
     rows = X.items(spark, sf_dir).where("lat IS NOT NULL").select("item_id", spatial.vertex_mean(ring).alias("m"), spatial.first_vertex(ring).alias("f"))
@@ -518,7 +523,7 @@ def w7_tumbling_counts(spark, sf_dir):
     return streams.tumbling_counts(X.items(spark, sf_dir)).select("dataset_id", secs("start").alias("start_s"), "n")
 
 
-@query(sql(EDGES_SQL, select="SELECT item_id FROM items WHERE item_id % 3 = 0 AND item_id NOT IN (SELECT from_id FROM edges)"))
+@query(sql(EDGES_SQL, select="SELECT item_id FROM items WHERE item_id NOT IN (SELECT from_id FROM edges)"))
 def w6_sweep(spark, sf_dir):
     items = X.items(spark, sf_dir)
-    return streams.sweep(items.where("item_id % 3 = 0"), edges(items)).select("item_id")
+    return streams.sweep(items, edges(items)).select("item_id")
