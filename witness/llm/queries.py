@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from witness.llm import (
+    centroids,
     decontaminate,
     langid,
     lm_score,
@@ -87,3 +88,8 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_quality_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_ranker.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op13_vantage_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
