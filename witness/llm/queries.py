@@ -16,6 +16,7 @@ from witness.llm import (
     quality_ranker,
     quality_rules,
     simhash,
+    source_audit,
     suffix_dedup,
     token_counts,
     url_filter,
@@ -93,3 +94,11 @@ def op9_quality_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op13_vantage_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_source_audit"] = source_audit.ORACLE.replace("{docs}", "documents")
