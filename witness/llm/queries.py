@@ -11,6 +11,7 @@ from witness.llm import (
     centroids,
     decontaminate,
     langid,
+    license_scan,
     lm_score,
     mixing,
     quality_ranker,
@@ -102,3 +103,8 @@ def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op11_source_audit"] = source_audit.ORACLE.replace("{docs}", "documents")
+
+
+@query
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
