@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 NOW = "2024-02-01 00:00:00"
 AS_AT = "2024-01-15 12:00:00"
+#: Of pseudonyms in the queries.
+SALT = "salt"
 HAZARDS = ("flooding", "wind", "slip", "fire", "other")
 #: (source, reliability) of the test registry; other sources are unknown.
 REGISTRY = (("src0", "A"), ("src1", "A"), ("src2", "A"), ("src3", "B"), ("src4", "C"), ("src5", "F"))

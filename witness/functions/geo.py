@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import cos, radians
+from math import pi, sin
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,20 +29,39 @@ def in_frame(lat: Column, lng: Column, frame: tuple[float, float, float, float])
     return lng.between(west, east) & lat.between(south, north)
 
 
-def cell_steps(radius_m: float, max_abs_lat: float = 60.0) -> tuple[float, float]:
-    """Cell height and width in degrees that are no smaller than ``radius_m`` up to ``max_abs_lat``."""
-    high = radius_m / 111_000.0
-    return high, high / max(cos(radians(max_abs_lat)), 0.01)
+def _columns(band: Column, step: float) -> Column:
+    """Into how many columns the globe is cut in a band of latitude: as many as are at least ``step`` high and wide."""
+    far = F.least(F.lit(90.0), F.greatest(F.abs(band), F.abs(band + 1)) * step)
+    return F.greatest(F.lit(1).cast("long"), F.floor(360.0 * F.cos(F.radians(far)) / step))
 
 
-def cells(lat: Column, lng: Column, radius_m: float, around: bool = False, max_abs_lat: float = 60.0) -> Column:
-    """The point's cell, or with ``around`` an array of the 3 x 3 cells that hold all points within the radius."""
-    dy, dx = cell_steps(radius_m, max_abs_lat)
-    y, x = F.floor(lat / dy), F.floor(lng / dx)
+def _in_band(columns: Column, band: Column, n: Column) -> Column:
+    return F.transform(columns, lambda c: F.struct(band.alias("y"), F.pmod(c, n).alias("x")))
+
+
+def cells(lat: Column, lng: Column, radius_m: float, around: bool = False) -> Column:
+    """The point's cell, or with ``around`` an array of all cells that may hold points within the radius of it.
+
+    Cells are bands of latitude, each cut into columns by its own width, so that neighbours are few at any latitude.
+    Columns go round the globe: cells meet at 180 degrees, and near a pole a circle covers all of a band.
+    """
+    # A degree of latitude has some 200 m more than this; that outweighs rounding.
+    step = radius_m / 111_000.0
+    band = F.floor(lat / step)
     if not around:
-        return F.struct(y.alias("y"), x.alias("x"))
-    near = [F.struct((y + i).alias("y"), (x + j).alias("x")) for i in (-1, 0, 1) for j in (-1, 0, 1)]
-    return F.when(lat.isNotNull() & lng.isNotNull(), F.array(*near))
+        n = _columns(band, step)
+        return F.struct(band.alias("y"), F.pmod(F.floor((lng + 180.0) / 360.0 * n), n).alias("x"))
+    angle = radius_m / EARTH_M
+    over_pole = F.abs(F.radians(lat)) + angle >= pi / 2 - 1e-6
+    reach = F.when(over_pole, 180.0).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.lit(sin(angle)) / F.cos(F.radians(lat)))))) * (1 + 1e-9) + 1e-9
+    near = []
+    for k in (-1, 0, 1):
+        n = _columns(band + k, step)
+        low, high = F.floor((lng - reach + 180.0) / 360.0 * n), F.floor((lng + reach + 180.0) / 360.0 * n)
+        all_of = high - low + 1 >= n
+        found = F.sequence(F.when(all_of, F.lit(0).cast("long")).otherwise(low), F.when(all_of, n - 1).otherwise(high))
+        near.append(_in_band(found, band + k, n))
+    return F.when(lat.isNotNull() & lng.isNotNull(), F.concat(*near))
 
 
 def words_of_distance(metres: Column) -> Column:

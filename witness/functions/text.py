@@ -68,11 +68,10 @@ PLACE_TERMS = (
 )
 # Warning levels by phrase, first match wins.
 WARNING_LEVELS = (("red warning", "red"), ("orange warning", "orange"), ("watch", "watch"), ("warning", "warning"))
+# Communities of the keep rule, and accounts that republish a feed.
 LOCAL_SUBS = ("wellington",)
 NATIONAL_SUBS = ("newzealand", "casualnz")
-#: Accounts that republish a feed.
 RELAYS = {"journeysbot@g2s.mountainmoss.nz": "NZTA Journeys"}
-AUTHOR_SALT = "impact-lab-wlg-t4"
 
 
 def first_rule(text: Column, rules: tuple, default: str | None) -> Column:
@@ -144,7 +143,7 @@ def warning_level(text: Column) -> Column:
     return found
 
 
-def pseudonym(handle: Column, salt: str = AUTHOR_SALT) -> Column:
+def pseudonym(handle: Column, salt: str) -> Column:
     digest = F.sha2(F.concat(F.lit(f"{salt}:"), F.lower(handle)), 256)
     return F.when(handle != "", F.concat(F.lit("anon-"), F.left(digest, F.lit(12))))
 

@@ -119,6 +119,11 @@ def assign_origins(items: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(first, ["bubble_id", "_r"]).select("bubble_id", "item_id", "origin_id")
 
 
+def linked_origins(items: DataFrame) -> DataFrame:
+    """The same from the links among just these items."""
+    return assign_origins(items, links(items))
+
+
 def author_origins(items: DataFrame) -> DataFrame:
     """The same from authorship alone, which needs no chaining: one aggregation and one join."""
     key = F.when(F.trim(F.col("author")) != "", F.concat_ws("|", "source", F.lower(F.trim(F.col("author"))))).otherwise(F.concat(F.lit("#"), F.col("item_id").cast("string")))

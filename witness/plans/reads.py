@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,10 @@ from witness.functions.geo import haversine_m, in_frame
 from witness.operators import fold, store
 from witness.operators.spatial import inside
 
+#: Members to their origins (bubble_id, item_id, origin_id), such as ``origins.author_origins`` or ``origins.linked_origins``.
+#: Reads call it on the members that they may know, never on all: a later item can join sets that were apart.
+OriginsOf = Callable[[DataFrame], DataFrame]
+
 
 def located(members: DataFrame) -> DataFrame:
     """bubble_id, lat, lng, radius_m: the mean of placed members and how far the farthest is; no radius for one."""
@@ -39,18 +45,18 @@ def top_members(members: DataFrame, now: str, limit: int = 500) -> DataFrame:
 
 
 def map_layer(
-    members: DataFrame, origins: DataFrame, grades: DataFrame, now: str, frame: tuple | None = model.CITY_FRAME, min_credibility: int | None = None, limit: int = 500,
+    members: DataFrame, origins_of: OriginsOf, grades: DataFrame, now: str, frame: tuple | None = model.CITY_FRAME, min_credibility: int | None = None, limit: int = 500,
     as_at: str | None = None, strict: bool = False, events: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(placed, unplaceable) clusters.
 
-    The top ``limit`` bubbles by score, then members as known at ``as_at`` (bubbles left empty go), then the credibility
+    The top ``limit`` bubbles by score, then members as known at ``as_at`` (bubbles left empty go) and their origins, then the credibility
     floor (ungraded ones fall), then those without a place apart, then the frame.  As at an earlier time a cluster shows
     its grade of then; before its first grade the present one, unless ``strict``.
     """
     known = top_members(members, now, limit)
     known = known.where(F.col("captured_at") <= F.lit(as_at).cast("timestamp")) if as_at else known
-    shown = scored_signals(known, origins.join(known.select("item_id"), "item_id", "left_semi"), now)
+    shown = scored_signals(known, origins_of(known), now)
     if as_at and events is not None:
         then = store.last_before(events, as_at).select("bubble_id", F.concat("reliability", F.col("credibility").cast("string")).alias("_then"), F.col("credibility").alias("_c"))
         graded = shown.join(then, "bubble_id", "left").join(grades, "bubble_id", "left")
@@ -78,11 +84,12 @@ def _joined_by(edges: DataFrame | None, items: DataFrame) -> DataFrame:
     return items.join(member, "item_id", "left")
 
 
-def provenance(members: DataFrame, origins: DataFrame, bubble: str, as_at: str | None = None, edges: DataFrame | None = None) -> DataFrame:
-    """Rows behind one cluster: item, origin, both clocks, why it is a member; nothing known later than ``as_at``."""
+def provenance(members: DataFrame, origins_of: OriginsOf, bubble: str, as_at: str | None = None, edges: DataFrame | None = None) -> DataFrame:
+    """Rows behind one cluster: item, origin, both clocks, why it is a member; nothing known later than ``as_at``, and
+    origins that follow from what was known then."""
     own = members.where(F.col("bubble_id") == bubble)
     own = own.where(F.col("captured_at") <= F.lit(as_at).cast("timestamp")) if as_at else own
-    rows = _joined_by(edges, own.join(origins.select("item_id", "origin_id"), "item_id"))
+    rows = _joined_by(edges, own.drop("origin_id").join(origins_of(own).select("item_id", "origin_id"), "item_id"))
     return rows.select("item_id", "origin_id", "source", "author", "occurred_at", "captured_at", "weight", "reason")
 
 
@@ -93,10 +100,10 @@ def origin_sets(rows: DataFrame) -> DataFrame:
 
 
 def signal_detail(
-    members: DataFrame, origins: DataFrame, events: DataFrame, bubble: str, as_at: str | None = None, edges: DataFrame | None = None
+    members: DataFrame, origins_of: OriginsOf, events: DataFrame, bubble: str, as_at: str | None = None, edges: DataFrame | None = None
 ) -> DataFrame:
     """One row: counts, provenance, collapsed origins and grade history oldest first."""
-    rows = provenance(members, origins, bubble, as_at, edges)
+    rows = provenance(members, origins_of, bubble, as_at, edges)
     history = events.where(F.col("bubble_id") == bubble)
     history = history.where(F.col("at") <= F.lit(as_at).cast("timestamp")) if as_at else history
     past = history.agg(F.sort_array(F.collect_list(F.struct("at", "item_id", "to_grade"))).alias("history"))

@@ -383,10 +383,10 @@ def t8_warning_level(spark, sf_dir):
     return X.texts(spark, sf_dir).select("doc_id", T.warning_level(t).alias("level"))
 
 
-@query(sql(select=f"SELECT item_id, 'anon-' || left(sha256('{T.AUTHOR_SALT}:' || lower(upper(author))), 12) AS salted, 'anon:' || left(sha256(author), 12) AS plain FROM items"))
+@query(sql(select=f"SELECT item_id, 'anon-' || left(sha256('{X.SALT}:' || lower(upper(author))), 12) AS salted, 'anon:' || left(sha256(author), 12) AS plain FROM items"))
 def t9_pseudonym(spark, sf_dir):
     a = F.col("author")
-    return X.items(spark, sf_dir).select("item_id", T.pseudonym(F.upper(a)).alias("salted"), T.plain_pseudonym(a).alias("plain"))
+    return X.items(spark, sf_dir).select("item_id", T.pseudonym(F.upper(a), X.SALT).alias("salted"), T.plain_pseudonym(a).alias("plain"))
 
 
 @query(texts("SELECT doc_id, array_to_string(list_distinct_ordered, '|') AS links FROM (SELECT doc_id, list_filter(u, lambda x, i: list_position(u, x) = i) AS list_distinct_ordered FROM (SELECT doc_id, regexp_extract_all(text || ' ' || text, 'https?://[^\\s<>\"'')]+') AS u FROM texts))"))

@@ -40,14 +40,14 @@ def _top(spark, sf_dir, now):
 WHERE credibility <= 4 AND lat IS NOT NULL AND lng BETWEEN {_FRAME[0]} AND {_FRAME[2]} AND lat BETWEEN {_FRAME[1]} AND {_FRAME[3]}"""))
 def r1_map_layer(spark, sf_dir):
     items = _top(spark, sf_dir, NOW)
-    placed, _ = reads.map_layer(items, origins.author_origins(items), _grades(spark, items), NOW, _FRAME, 4)
+    placed, _ = reads.map_layer(items, origins.author_origins, _grades(spark, items), NOW, _FRAME, 4)
     return placed.select("bubble_id", "mass", "independent_sources", "grade", r6("lat"), r6("lng"), "radius_m")
 
 
 @query(sql(*_MAP, select="SELECT bubble_id, mass, reliability || credibility AS grade FROM shown JOIN (SELECT bubble_id, reliability, credibility FROM graded) g USING (bubble_id) WHERE lat IS NULL"))
 def r2_unmappable(spark, sf_dir):
     items = _top(spark, sf_dir, NOW)
-    return reads.map_layer(items, origins.author_origins(items), _grades(spark, items), NOW)[1]
+    return reads.map_layer(items, origins.author_origins, _grades(spark, items), NOW)[1]
 
 
 _KNOWN = "WHERE i.captured_at <= TIMESTAMP '2024-01-15 12:00:00'"
@@ -58,7 +58,7 @@ _SCORED_AT = SCORED_SQL.replace("TIMESTAMP '2024-02-01'", "TIMESTAMP '2024-01-15
 LEFT JOIN (SELECT bubble_id, arg_max(to_grade, (att, item_id)) AS g FROM transitions WHERE att <= TIMESTAMP '2024-01-15 12:00:00' GROUP BY 1) t USING (bubble_id) WHERE s.lat IS NOT NULL"""))
 def r3_scored_signal_as_at(spark, sf_dir):
     items = _top(spark, sf_dir, X.AS_AT)
-    placed, _ = reads.map_layer(items, origins.author_origins(items), _grades(spark, items), X.AS_AT, None, as_at=X.AS_AT, events=events_of(spark, items))
+    placed, _ = reads.map_layer(items, origins.author_origins, _grades(spark, items), X.AS_AT, None, as_at=X.AS_AT, events=events_of(spark, items))
     return placed.select("bubble_id", "mass", "independent_sources", "grade")
 
 
@@ -91,7 +91,7 @@ def _why(items):
   FROM origins LEFT JOIN edges ON from_id = item_id WHERE bubble_id = {_BIGGEST}"""))
 def r6_provenance(spark, sf_dir):
     items = X.items(spark, sf_dir)
-    rows = reads.provenance(items, origins.author_origins(items), _biggest(items), edges=_why(items))
+    rows = reads.provenance(items, origins.author_origins, _biggest(items), edges=_why(items))
     return rows.select("item_id", "origin_id", "source", "author", r6("weight"), "reason")
 
 
@@ -99,7 +99,7 @@ def r6_provenance(spark, sf_dir):
   GROUP BY 1 HAVING count(*) > 1"""))
 def r6_origin_sets(spark, sf_dir):
     items = X.items(spark, sf_dir)
-    found = reads.origin_sets(reads.provenance(items, origins.author_origins(items), _biggest(items)))
+    found = reads.origin_sets(reads.provenance(items, origins.author_origins, _biggest(items)))
     return found.select("origin_id", F.concat(F.lit("["), F.array_join(F.col("items").cast("array<string>"), ", "), F.lit("]")).alias("items"))
 
 
@@ -117,7 +117,7 @@ def r6_signal_detail(spark, sf_dir):
     items = X.items(spark, sf_dir)
     big = _biggest(items)
     own = items.where(F.col("bubble_id") == big)
-    return reads.signal_detail(own, origins.author_origins(own), events_of(spark, own), big, edges=_why(items))
+    return reads.signal_detail(own, origins.author_origins, events_of(spark, own), big, edges=_why(items))
 
 
 @query(sql(EDGES_SQL, COORD_SQL, select="SELECT i.item_id, c.x, e.to_id AS bubble FROM items i LEFT JOIN coords c USING (item_id) LEFT JOIN edges e ON e.from_id = i.item_id WHERE i.dataset_id = 'live' AND i.occurred_at BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20' ORDER BY i.occurred_at, i.item_id LIMIT 2000"))
@@ -374,7 +374,7 @@ def s8_water_faults(spark, sf_dir):
 @query()
 def s9_bluesky(spark, sf_dir):
     p = _escaped(X.texts(spark, sf_dir)).selectExpr("""concat('{"uri":"at://did/app/', doc_id, '","author":{"handle":"H', doc_id % 50, '"},"record":{"text":', json_text, ',"createdAt":"2024-01-05T00:00:00Z"},"embed":{"$type":"app.bsky.embed.', element_at(array('images', 'video', 'external', 'x'), CAST(doc_id % 4 + 1 AS INT)), '","external":{"uri":"https://ex.org/a/', doc_id % 9, '"}}}') AS post""")
-    return feeds.bluesky_posts(p, NOW).select("record_id", "media", "url", "quoted_urls", "author", "hazard", "location_text")
+    return feeds.bluesky_posts(p, NOW, X.SALT).select("record_id", "media", "url", "quoted_urls", "author", "hazard", "location_text")
 
 
 def _atom(spark, sf_dir):
@@ -383,7 +383,7 @@ def _atom(spark, sf_dir):
 
 @query()
 def s10_atom(spark, sf_dir):
-    return feeds.atom_posts(_atom(spark, sf_dir), NOW, "Wellington").select("record_id", "text", "author", "url", "media", "observed_at")
+    return feeds.atom_posts(_atom(spark, sf_dir), NOW, "Wellington", X.SALT).select("record_id", "text", "author", "url", "media", "observed_at")
 
 
 def _harvested(spark, sf_dir):

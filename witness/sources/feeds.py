@@ -108,7 +108,7 @@ def water_faults(features: DataFrame, now: str, frame: tuple = model.CITY_FRAME)
                    limitations=_array("Street numbers removed to avoid publishing personal information."))
 
 
-def bluesky_posts(posts: DataFrame, now: str) -> DataFrame:
+def bluesky_posts(posts: DataFrame, now: str, salt: str) -> DataFrame:
     """Posts with text and uri; media by the embed, place and links by the words, handles as pseudonyms."""
     g = lambda path: _get(path, "post")
     text, uri, handle = F.trim(g("$.record.text")), g("$.uri"), g("$.author.handle")
@@ -119,7 +119,7 @@ def bluesky_posts(posts: DataFrame, now: str) -> DataFrame:
     outside = g("$.embed.external.uri")
     return _record(posts.where((text != "") & uri.isNotNull()), record_id=F.concat(F.lit("bluesky:"), uri), source_kind=F.lit("social"), source=F.lit("bluesky-search"), external_id=uri, text=text, text_generated=F.lit(False),
                    observed_at=F.coalesce(T.instant(g("$.record.createdAt")), F.lit(now).cast("timestamp")), lat=place["lat"], lng=place["lng"], confidence=place["confidence"], method=F.when(place.isNotNull(), "place-name"),
-                   location_text=place["place"], hazard=T.hazard_of(text), media=T.media_of_embed(kind), url=link, quoted_urls=F.array_compact(F.concat(T.urls(text), F.array(outside))), author=T.pseudonym(handle),
+                   location_text=place["place"], hazard=T.hazard_of(text), media=T.media_of_embed(kind), url=link, quoted_urls=F.array_compact(F.concat(T.urls(text), F.array(outside))), author=T.pseudonym(handle, salt),
                    limitations=_array("Unverified public social media post — a signal to investigate, not confirmed fact."))
 
 
@@ -133,7 +133,7 @@ def _entries(docs: DataFrame, schema: str, path: str, column: str = "xml") -> Da
     return docs.select("*", F.explode(F.from_xml(bare, schema, options)[path.split(".")[0]] if "." not in path else F.from_xml(bare, schema, options)[path.split(".")[0]][path.split(".")[1]]).alias("e"))
 
 
-def atom_posts(docs: DataFrame, now: str, group: str) -> DataFrame:
+def atom_posts(docs: DataFrame, now: str, group: str, salt: str) -> DataFrame:
     """Entries of a forum's Atom feed: title — body, unless the body only says who submitted it."""
     e = _entries(docs, ATOM, "entry")
     title, content = T.decode_entities(F.trim("e.title")), T.decode_entities(F.coalesce("e.content", F.lit("")))
@@ -144,7 +144,7 @@ def atom_posts(docs: DataFrame, now: str, group: str) -> DataFrame:
     links = F.filter(T.urls(content), lambda u: ~u.contains("reddit.com"))
     return _record(e.where("e.title IS NOT NULL AND e.id IS NOT NULL"), record_id=F.concat(F.lit("reddit:"), "e.id"), source_kind=F.lit("social"), source=F.lit(f"reddit-r-{group.lower()}"), external_id=F.col("e.id"), text=F.left(text, F.lit(2000)),
                    text_generated=F.lit(False), observed_at=F.coalesce(T.instant(F.col("e.updated")), T.instant(F.col("e.published")), F.lit(now).cast("timestamp")), lat=place["lat"], lng=place["lng"], confidence=place["confidence"],
-                   method=F.when(place.isNotNull(), "place-name"), location_text=place["place"], hazard=T.hazard_of(search), media=T.media_of_post(content, link), url=link, quoted_urls=links, author=T.pseudonym(F.trim("e.author.name")),
+                   method=F.when(place.isNotNull(), "place-name"), location_text=place["place"], hazard=T.hazard_of(search), media=T.media_of_post(content, link), url=link, quoted_urls=links, author=T.pseudonym(F.trim("e.author.name"), salt),
                    limitations=_array("Unverified public social media post — a signal to investigate, not confirmed fact."))
 
 
