@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from witness import model
 from witness.functions.text import hits
 from witness.functions.geo import words_of_hours
+from witness.operators.running import numbered, running
 from witness.operators.store import with_reliability
 
 
@@ -178,25 +179,28 @@ def cluster_facts(members: DataFrame, origins: DataFrame, registry: DataFrame, c
     )
 
 
-def replay(members: DataFrame, registry: DataFrame, cross_checks: DataFrame) -> DataFrame:
+def replay(members: DataFrame, registry: DataFrame, cross_checks: DataFrame, merges: DataFrame | None = None) -> DataFrame:
     """The verdict after each arrival, in the order (captured_at, item_id): one row per item.
 
-    Origins here are different (source, author)s seen so far, a running count of first appearances; items without an
-    author count each.  Chained links of wording can also lower a count and need the state of the stream.
+    With ``merges`` (``origins.merges``) origins are those of all links among the items so far; an arrival that joins
+    sets lowers their number.  Without, they are different (source, author)s, a count of first appearances, where items
+    without an author count each.  Facts run in two levels, so a bubble of any size is spread over tasks.
     """
-    arrival = Window.partitionBy("bubble_id").orderBy("captured_at", "item_id")
-    sofar = arrival.rowsBetween(Window.unboundedPreceding, 0)
     who = F.when(F.trim(F.col("author")) != "", F.concat_ws("|", "source", F.lower(F.trim(F.col("author")))))
-    rows = with_reliability(members, registry).withColumn("_who", who)
-    first = F.row_number().over(Window.partitionBy("bubble_id", "_who").orderBy("captured_at", "item_id")) == 1
-    placed = F.col("lat").isNotNull() & F.col("lng").isNotNull()
+    rows = with_reliability(members, registry)
+    if merges is None:
+        rows = rows.withColumn("_who", F.coalesce(who, F.concat(F.lit("#"), F.col("item_id").cast("string"))))
+        first = rows.groupBy("bubble_id", "_who").agg(F.min_by("item_id", F.struct("captured_at", "item_id")).alias("item_id")).select("item_id", F.lit(1).alias("_new"))
+        rows = rows.join(first, "item_id", "left").na.fill(0, ["_new"])
+    else:
+        rows = rows.join(merges, "item_id", "left").withColumn("_new", 1 - F.coalesce("merged", F.lit(0)))
+    placed = (F.col("lat").isNotNull() & F.col("lng").isNotNull()).cast("int")
+    order = numbered(rows.select("bubble_id", "dataset_id", "item_id", "captured_at", "reliability", placed.alias("_placed"), "_new"), ["captured_at", "item_id"])
+    sofar = running(order, ["bubble_id"], {
+        "items": ("sum", F.lit(1)), "origins": ("sum", "_new"), "_best": ("min", "reliability"), "_any": ("max", "_placed"),
+    })
     return (
-        rows.withColumn("_new", F.when(F.col("_who").isNull() | first, 1).otherwise(0))
-        .withColumns({
-            "items": F.count(F.lit(1)).over(sofar), "origins": F.sum("_new").over(sofar),
-            "reliability": F.coalesce(F.min("reliability").over(sofar), F.lit("F")),
-            "location": F.when(F.max(placed).over(sofar), "placed").otherwise("unknown"),
-        })
+        sofar.withColumns({"reliability": F.coalesce("_best", F.lit("F")), "location": F.when(F.col("_any") > 0, "placed").otherwise("unknown")})
         .join(cross_checks, "bubble_id", "left").na.fill({"cross_check": "no_applicable_layer"})
         .withColumn("credibility", floored(F.col("reliability"), credibility(F.col("location"), F.lit("stated"), F.col("origins"), F.col("cross_check"))))
         .withColumn("alert_worthy", (F.col("location") != "unknown") & (F.col("cross_check") != "inconsistent"))

@@ -48,3 +48,31 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )
+
+
+def spanning_forest(edges: DataFrame, weight: str = "w", max_rounds: int = 60) -> DataFrame:
+    """a, b, w: a minimum spanning forest of weighted edges between longs; of equal weights the smaller (a, b) goes first.
+
+    Kept to weights up to w, the forest spans the components of all edges up to w: nodes minus forest edges is the number
+    of components at any time, if weights are times.  In each round every component takes its lightest edge to another
+    one, and components that are joined by those become one, so rounds are few; all is aggregated before it is shuffled.
+    """
+    far = F.struct(weight, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = cut(edges.where("a <> b").select(far.alias("e")).distinct().select(F.col("e.a").alias("u"), F.col("e.b").alias("v"), "e"))
+    forest = None
+    for _ in range(max_rounds):
+        ends = rest.select("u", F.struct("e", "u", "v").alias("x")).unionByName(rest.select(F.col("v").alias("u"), F.struct("e", "u", "v").alias("x")))
+        picked = cut(ends.groupBy("u").agg(F.min("x").alias("x")).select("x.*").distinct())
+        if picked.isEmpty():
+            break
+        forest = picked.select("e.*") if forest is None else forest.unionByName(picked.select("e.*"))
+        root = components(picked, "u", "v")
+        r = lambda c: root.select(F.col("node").alias(c), F.col("root").alias(f"_{c}"))
+        moved = rest.join(r("u"), "u", "left").join(r("v"), "v", "left").select(F.coalesce("_u", "u").alias("x"), F.coalesce("_v", "v").alias("y"), "e").where("x <> y")
+        # Between two components only the lightest edge can count.
+        light = cut(moved.groupBy(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).agg(F.min("e").alias("e")))
+        drop_cut(rest)
+        rest = light
+    else:
+        raise RuntimeError(f"a spanning forest was not found in {max_rounds} rounds")
+    return forest if forest is not None else rest.select("e.*")

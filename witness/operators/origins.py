@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from witness.functions.vectors import cosine
-from witness.operators.graph import components
+from witness.operators.graph import components, spanning_forest
 
 SAME_WORDING = 0.85
 RESTATED_OVERLAP, RESTATED_COSINE = 0.5, 0.95
@@ -22,15 +22,21 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != ""))
 
 
-def overlapping(items: DataFrame, least: float) -> DataFrame:
+def _first(order: tuple[str, ...]) -> Column:
+    """The id of the first row by ``order``."""
+    return F.min_by("item_id", F.struct(*order, "item_id"))
+
+
+def overlapping(items: DataFrame, least: float, order: tuple[str, ...] = ()) -> DataFrame:
     """bubble_id, a, b (a < b), overlap: pairs of a bubble whose token sets have a Jaccard overlap of ``least`` or more.
 
     Two such sets share a token among the rarest of each, so only those are joined; no pair is made of items that share
-    common words alone.  Exact: every pair is checked on the whole sets.
+    common words alone.  Exact: every pair is checked on the whole sets.  Items with equal sets are linked to the first
+    of them by ``order``.
     """
-    sets = items.select("bubble_id", "item_id", tokens(F.col("text")).alias("t"))
+    sets = items.select("bubble_id", "item_id", *order, tokens(F.col("text")).alias("t"))
     # Equal sets are one row here and are linked without pairs among themselves.
-    same = sets.groupBy("bubble_id", F.array_sort("t").alias("t")).agg(F.min("item_id").alias("item_id")).where("size(t) > 0")
+    same = sets.groupBy("bubble_id", F.array_sort("t").alias("t")).agg(_first(order).alias("item_id")).where("size(t) > 0")
     flat = same.select("bubble_id", "item_id", F.explode("t").alias("w"))
     rare = flat.groupBy("bubble_id", "w").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy("bubble_id", "item_id").orderBy("n", "w")
@@ -59,8 +65,8 @@ def overlapping(items: DataFrame, least: float) -> DataFrame:
     return checked.unionByName(twins)
 
 
-def wording_links(items: DataFrame) -> DataFrame:
-    return overlapping(items, SAME_WORDING)
+def wording_links(items: DataFrame, order: tuple[str, ...] = ()) -> DataFrame:
+    return overlapping(items, SAME_WORDING, order)
 
 
 def restatement_links(items: DataFrame) -> DataFrame:
@@ -88,11 +94,11 @@ def quote_links(items: DataFrame) -> DataFrame:
     return own.join(quoted, ["bubble_id", "u"]).where("a <> b").select("bubble_id", "a", "b", "u").distinct()
 
 
-def author_links(items: DataFrame) -> DataFrame:
-    """Each item of a (source, author) with the first; items without an author are never linked by it."""
+def author_links(items: DataFrame, order: tuple[str, ...] = ()) -> DataFrame:
+    """Each item of a (source, author) with the first by ``order``; items without an author are never linked by it."""
     who = F.lower(F.trim(F.col("author")))
-    named = items.where(F.trim(F.col("author")) != "").select("bubble_id", "item_id", "source", who.alias("who"))
-    first = named.groupBy("bubble_id", "source", "who").agg(F.min("item_id").alias("a"))
+    named = items.where(F.trim(F.col("author")) != "").select("bubble_id", "item_id", *order, "source", who.alias("who"))
+    first = named.groupBy("bubble_id", "source", "who").agg(_first(order).alias("a"))
     return named.join(first, ["bubble_id", "source", "who"]).where("item_id <> a").select("bubble_id", "a", F.col("item_id").alias("b"), "who")
 
 
@@ -108,6 +114,29 @@ def links(items: DataFrame, with_embedding: bool = False) -> DataFrame:
     return found
 
 
+def arrival_links(items: DataFrame) -> DataFrame:
+    """bubble_id, a, b, later: links of all rules but restatement, and which of the two arrives later (captured_at, item_id).
+
+    Links among copies or of an author all lead to their first arrival, so links whose later end has arrived by some time
+    make the origins of what is known then.
+    """
+    order = ("captured_at",)
+    found = wording_links(items, order).select("bubble_id", "a", "b").unionByName(quote_links(items).select("bubble_id", "a", "b"))
+    found = found.unionByName(author_links(items, order).select("bubble_id", "a", "b"))
+    at = lambda c: items.select(F.col("item_id").alias(c), F.struct("captured_at", "item_id").alias(f"_{c}"))
+    both = found.join(at("a"), "a").join(at("b"), "b")
+    return both.select("bubble_id", "a", "b", F.greatest("_a", "_b").alias("later"))
+
+
+def merges(items: DataFrame) -> DataFrame:
+    """item_id, merged: how many sets of linked items an arrival makes one with itself, less the first; only where some.
+
+    A spanning forest of the links by arrival has as many edges up to a time as there are then items less origins.
+    """
+    found = spanning_forest(arrival_links(items).select("a", "b", F.col("later").alias("w")))
+    return found.groupBy(F.col("w.item_id").alias("item_id")).agg(F.count(F.lit(1)).alias("merged"))
+
+
 def assign_origins(items: DataFrame, found: DataFrame) -> DataFrame:
     """bubble_id, item_id, origin_id: the earliest item (of equals the smallest id) of each set of linked items.
 

@@ -217,6 +217,32 @@ def c15_transitions(spark, sf_dir):
     return events(spark, sf_dir).select("item_id", "from_grade", "to_grade", "alert_fired")
 
 
+def reports(spark, sf_dir):
+    """All documents as reports of bubbles by language and first letter, where copies meet; a fifth has no place."""
+    cross = "CASE ascii(bubble_id) % 3 WHEN 0 THEN 'consistent' WHEN 1 THEN 'inconsistent' END"
+    posts = _all_texts(spark, sf_dir).selectExpr(
+        "concat(left(lower(coalesce(text, '')), 1), ':', bubble_id) AS bubble_id", "item_id", "'live' AS dataset_id", "source", "author", "concat('https://www.Ex.org/p/', item_id % 40, '/') AS url",
+        "CASE WHEN item_id % 4 = 0 THEN array(concat('http://ex.org/P/', (item_id + 5) % 40), concat('ex.org/p/', (item_id + 11) % 40)) ELSE array() END AS quoted_urls", "text", "occurred_at",
+        "timestamp_seconds(item_id * 7919 % 1000003) AS captured_at", "CASE WHEN item_id % 5 > 0 THEN -41.0D END AS lat", "174.0D AS lng",
+    )
+    return posts, posts.select("bubble_id").distinct().withColumn("cross_check", F.expr(cross)).where("cross_check IS NOT NULL")
+
+
+def chained_replay(spark, sf_dir):
+    posts, checks = reports(spark, sf_dir)
+    return grade.replay(posts, X.registry(spark), checks, origins.merges(posts))
+
+
+@query()
+def c15_chained_transitions(spark, sf_dir):
+    return grade.transitions(chained_replay(spark, sf_dir)).select("bubble_id", "item_id", "from_grade", "to_grade", "alert_fired", "items", "origins")
+
+
+@query()
+def o7_origins_by_arrival(spark, sf_dir):
+    return chained_replay(spark, sf_dir).select("bubble_id", "item_id", "items", "origins")
+
+
 @query(sql(*REPLAYED, select="SELECT item_id, bubble_id, origins::BIGINT AS origins, items FROM transitions WHERE alert_worthy AND att > TIMESTAMP '2024-01-15 12:00:00' ORDER BY att DESC, item_id DESC LIMIT 100"))
 def c16_alert_feed(spark, sf_dir):
     return grade.alert_feed(events(spark, sf_dir), X.AS_AT).select("item_id", "bubble_id", "origins", "items")

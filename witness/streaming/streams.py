@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import timedelta
+from math import ceil
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -11,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from witness.operators import assign, dedupe, store
+from witness.operators import assign, dedupe, origins, store
 
 KEY = ["dataset_id", "source", "external_id"]
 
@@ -142,6 +145,137 @@ def alert_stream(verdicts: DataFrame) -> DataFrame:
     )
 
 
+def prefix(tokens: list[str], least: float) -> list[str]:
+    """Of a set's tokens in an order that all sets share those of which two sets with a Jaccard overlap of ``least`` must
+    have one in common."""
+    n = len(tokens)
+    return sorted(tokens, key=lambda t: (crc32(t.encode()), t))[: n - ceil(n * least - 1e-9) + 1] if n else []
+
+
+class Witnesses(StatefulProcessor):
+    """What a bubble's verdict follows from, item by item: sets of linked items as a forest of parents, the tokens of each
+    item and where they occur, addresses and who quotes them, authors, and the facts of the last verdict."""
+
+    def __init__(self, ttl_ms: int | None):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        table = lambda name, key, value: handle.getMapState(name, key, value, self.ttl_ms)
+        self.parents = handle.getMapState("parents", "item_id long", "parent long")
+        self.words = table("words", "item_id long", "tokens array<string>")
+        self.postings = table("postings", "token string", "items array<long>")
+        self.addresses = table("addresses", "url string", "items array<long>")
+        self.quotes = table("quotes", "url string", "items array<long>")
+        self.authors = table("authors", "who string", "item_id long")
+        self.facts = handle.getValueState("facts", "items long, origins long, best string, placed boolean, grade string, worthy boolean")
+
+    @staticmethod
+    def _get(state, key, default):
+        return state.getValue((key,))[0] if state.containsKey((key,)) else default
+
+    def _find(self, k: int) -> int:
+        path = []
+        while (up := self._get(self.parents, k, k)) != k:
+            path.append(k)
+            k = up
+        for x in path:
+            self.parents.updateValue((x,), (k,))
+        return k
+
+    def _linked(self, r) -> Iterator[int]:
+        """Earlier items that share this one's wording, address or author; the item is entered on the way."""
+        tokens = set(r.tokens)
+        near = {k for t in prefix(list(tokens), origins.SAME_WORDING) for k in self._get(self.postings, t, [])}
+        for k in near:
+            other = set(self._get(self.words, k, []))
+            if other and len(tokens & other) / len(tokens | other) >= origins.SAME_WORDING:
+                yield k
+        for t in prefix(list(tokens), origins.SAME_WORDING):
+            self.postings.updateValue((t,), ([*self._get(self.postings, t, []), r.item_id],))
+        if tokens:
+            self.words.updateValue((r.item_id,), (sorted(tokens),))
+        for q in set(r.quoted):
+            yield from self._get(self.addresses, q, [])
+            self.quotes.updateValue((q,), ([*self._get(self.quotes, q, []), r.item_id],))
+        if r.url is not None:
+            yield from self._get(self.quotes, r.url, [])
+            self.addresses.updateValue((r.url,), ([*self._get(self.addresses, r.url, []), r.item_id],))
+        if r.who is not None:
+            if self.authors.containsKey((r.who,)):
+                yield self._get(self.authors, r.who, None)
+            else:
+                self.authors.updateValue((r.who,), (r.item_id,))
+
+    def _take(self, key, rows: pd.DataFrame) -> list[tuple]:
+        n, found, best, placed, grade, worthy = self.facts.get() if self.facts.exists() else (0, 0, "F", False, None, False)
+        out = []
+        for r in rows.sort_values(["captured_at", "item_id"]).itertuples(index=False):
+            self.parents.updateValue((r.item_id,), (r.item_id,))
+            n, found = n + 1, found + 1
+            for k in self._linked(r):
+                a, b = self._find(r.item_id), self._find(k)
+                if a != b:
+                    self.parents.updateValue((max(a, b),), (min(a, b),))
+                    found -= 1
+            best = min(best, r.reliability) if isinstance(r.reliability, str) else best
+            placed = placed or bool(r.placed)
+            now = f"{best}{_credibility(placed, found, r.cross_check, best)}"
+            up = placed and r.cross_check != "inconsistent"
+            if now != grade or (up and not worthy):
+                out.append((key[0], r.item_id, grade, now, up, n, found))
+            grade, worthy = now, up
+        self.facts.update((n, found, best, placed, grade, worthy))
+        return out
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame(self._take(key, pd.concat(list(rows))), columns=[c.split()[0] for c in _TRANSITION.split(", ")])
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self._take(key, initialState)
+
+    def close(self) -> None:
+        pass
+
+
+_TRANSITION = "bubble_id string, item_id long, from_grade string, to_grade string, alert_fired boolean, items long, origins long"
+
+
+def _credibility(placed: bool, n_origins: int, cross: str, best: str) -> int:
+    """The rule table of ``grade.credibility`` and its floor, for items whose time is known."""
+    if not placed:
+        return 6
+    if cross == "inconsistent":
+        return 5
+    c = 4 - (n_origins >= 2) - (cross == "consistent")
+    return 3 if c == 4 and best == "A" else c
+
+
+def witness_stream(
+    items: DataFrame, registry: DataFrame, cross_checks: DataFrame, known: DataFrame | None = None, ttl: timedelta | None = None
+) -> DataFrame:
+    """Grade transitions of bubbles as their items arrive: bubble_id, item_id, from_grade, to_grade, alert_fired, items,
+    origins; the same as ``grade.transitions`` over ``grade.replay`` with ``origins.merges``.
+
+    ``known`` are members that the store has already: state begins with them and they raise no row.  Items of a batch are
+    taken by (captured_at, item_id), so batches must come in that order.  With ``ttl`` an item links to those entered
+    within it only, and state of items goes after it; without, state grows with a bubble.  Needs the RocksDB state store.
+    """
+
+    def rows(df: DataFrame) -> DataFrame:
+        who = F.when(F.trim(F.col("author")) != "", F.concat_ws("|", "source", F.lower(F.trim(F.col("author")))))
+        told = store.with_reliability(df, registry).join(cross_checks.select("bubble_id", "cross_check"), "bubble_id", "left")
+        return told.select(
+            "bubble_id", "item_id", "captured_at", "reliability", (F.col("lat").isNotNull() & F.col("lng").isNotNull()).alias("placed"), who.alias("who"),
+            F.coalesce("cross_check", F.lit("no_applicable_layer")).alias("cross_check"), origins.tokens(F.col("text")).alias("tokens"), origins.plain_url(F.col("url")).alias("url"),
+            F.transform(F.coalesce("quoted_urls", F.array().cast("array<string>")), origins.plain_url).alias("quoted"),
+        )
+
+    begin = rows(known).groupBy("bubble_id") if known is not None else None
+    return rows(items).groupBy("bubble_id").transformWithStateInPandas(
+        Witnesses(int(ttl.total_seconds() * 1000) if ttl else None), _TRANSITION, "Append", "ProcessingTime" if ttl else "None", begin
+    )
+
+
 def sweep(batch: DataFrame, edges: DataFrame) -> DataFrame:
     """Items of a batch that intake couldn't place in a bubble."""
     return store.pending(batch, edges)
