@@ -52,6 +52,16 @@ def test_pairs_by_cell_equal_all_pairs(globe, metres):
     assert {r.place: r.n for r in got.collect()} == {k: sum(a == k for a, _ in want) for k in {a for a, _ in want}}
 
 
+def test_distance_is_unknown_without_a_place(globe):
+    unplaced = globe.where("lat IS NULL OR lng IS NULL")
+    assert {r[0] for r in unplaced.select(geo.haversine_m(F.col("lat"), F.col("lng"), F.lit(1.0), F.lit(1.0))).collect()} == {None}
+    # An item without a place meets every open bubble.
+    bubbles = globe.withColumns({"first_seen": F.col("occurred_at"), "last_seen": F.col("occurred_at")})
+    assert store.candidates(unplaced, bubbles, candidate_limit=5).groupBy("item_id").count().agg(F.min("count"), F.max("count")).first() == (5, 5)
+    centre = reads.located(globe.withColumn("bubble_id", F.lit("b")).where("item_id < 60 OR lat IS NULL")).first()
+    assert centre.radius_m < 10_000
+
+
 def test_a_circle_meets_few_cells(globe):
     for metres in (200.0, 1500.0):
         met = globe.select(F.size(geo.cells(F.col("lat"), F.col("lng"), metres, True)).alias("n"), "lat").where("abs(lat) < 86")

@@ -14,13 +14,14 @@ def haversine_m(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Colum
     """Great-circle metres; null if a coordinate is."""
     dlat, dlng = F.radians(lat2 - lat1), F.radians(lng2 - lng1)
     h = F.pow(F.sin(dlat / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(dlng / 2), 2)
-    return 2 * EARTH_M * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
+    # Not ``least``, which passes over nulls.
+    return 2 * EARTH_M * F.asin(F.sqrt(F.when(h > 1, 1.0).otherwise(h)))
 
 
-HAVERSINE_SQL = (
-    "2 * 6371000.0::DOUBLE * asin(sqrt(least(1.0::DOUBLE, pow(sin(radians({b}lat - {a}lat) / 2), 2)"
-    " + cos(radians({a}lat)) * cos(radians({b}lat)) * pow(sin(radians({b}lng - {a}lng) / 2), 2))))"
+_H_SQL = (
+    "pow(sin(radians({b}lat - {a}lat) / 2), 2) + cos(radians({a}lat)) * cos(radians({b}lat)) * pow(sin(radians({b}lng - {a}lng) / 2), 2)"
 )
+HAVERSINE_SQL = f"2 * 6371000.0::DOUBLE * asin(sqrt(CASE WHEN {_H_SQL} > 1 THEN 1 ELSE {_H_SQL} END))"
 
 
 def in_frame(lat: Column, lng: Column, frame: tuple[float, float, float, float]) -> Column:

@@ -133,10 +133,13 @@ COPIES = 64
 
 
 def candidates(
-    items: DataFrame, bubbles: DataFrame, hours: int = 6, metres: float = 1500.0, candidate_limit: int | None = 50
+    items: DataFrame, bubbles: DataFrame, hours: int = 6, metres: float = 1500.0, candidate_limit: int | None = 50, keep_far: bool = False
 ) -> DataFrame:
     """Bubbles that each item could join: same data set, seen in the ``hours`` before it or later, near if both are placed.
 
+    These are the bubbles of one time for all items; ``arrivals.candidates`` has them as each item found them.  With
+    ``keep_far`` those beyond the distance stay, told by ``far`` (only with a limit).
+
     The most recently seen ``candidate_limit`` are taken before distance counts, as a busy region's rule demands. Open
     is a bound on last_seen alone, so an item's latest open bubbles are the open ones among its data set's latest: those
     are found first, and no item meets more than that many.
@@ -169,7 +172,13 @@ def candidates(
         by_cell = here.join(around, same & (F.col("_c") == F.col("_e"))).drop("_c", "_e")
         loose = timed.where(~placed).join(b, same).unionByName(timed.where(placed).join(b.where(~b_placed), same))
         pairs = by_cell.unionByName(loose).drop("_t", "_b", "first_seen")
-    return pairs.withColumn("metres", apart).where(F.col("metres").isNull() | (F.col("metres") <= metres)).drop("_d")
+    return within_reach(pairs.withColumn("metres", apart).drop("_d"), metres, keep_far)
+
+
+def within_reach(pairs: DataFrame, metres: float, keep_far: bool = False) -> DataFrame:
+    """Pairs whose ``metres`` are unknown or in reach; or all, with whether they are ``far``."""
+    far = F.coalesce(F.col("metres") > metres, F.lit(False))
+    return pairs.withColumn("far", far) if keep_far else pairs.where(~far)
 
 
 def last_before(events: DataFrame, as_at: str, by: str = "bubble_id") -> DataFrame:

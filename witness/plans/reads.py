@@ -19,7 +19,9 @@ OriginsOf = Callable[[DataFrame], DataFrame]
 
 def located(members: DataFrame) -> DataFrame:
     """bubble_id, lat, lng, radius_m: the mean of placed members and how far the farthest is; no radius for one."""
-    centre = members.groupBy("bubble_id").agg(F.avg("lat").alias("c_lat"), F.avg("lng").alias("c_lng"), F.count("lat").alias("_n"))
+    both = F.col("lat").isNotNull() & F.col("lng").isNotNull()
+    mean = lambda c: F.avg(F.when(both, F.col(c))).alias(f"c_{c}")
+    centre = members.groupBy("bubble_id").agg(mean("lat"), mean("lng"), F.count_if(both).alias("_n"))
     far = members.join(centre, "bubble_id").groupBy("bubble_id").agg(
         F.first("c_lat").alias("lat"), F.first("c_lng").alias("lng"), F.first("_n").alias("_n"), F.max(haversine_m(F.col("lat"), F.col("lng"), F.col("c_lat"), F.col("c_lng"))).alias("_far")
     )

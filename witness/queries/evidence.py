@@ -8,7 +8,7 @@ from witness import fixtures as X
 from witness import model
 from witness.functions.geo import HAVERSINE_SQL, haversine_m
 from witness.functions.text import fingerprint, independence_key
-from witness.operators import assign, fold, grade, origins, spatial, store, trust
+from witness.operators import arrivals, assign, fold, grade, origins, spatial, store, trust
 from witness.queries.base import BUBBLES_SQL, ORACLES, QUERIES, query, r6, secs, sql
 
 # ---------------------------------------------------------------- origins
@@ -320,14 +320,41 @@ def g1_decide(spark, sf_dir):
     return assign.decide(pairs).select("item_id", "bubble_id", "joined")
 
 
-@query()
+_SIMILAR = "(item_id * 31 + length(bubble_id) * 17) % 100 / 100.0"
+_METRES_WORDS = "CASE WHEN metres IS NULL THEN 'distance unknown' ELSE CASE WHEN metres < 1000 THEN printf('%.0fm', metres) ELSE printf('%.1fkm', metres / 1000) END || ' apart' END"
+
+
+@query(sql(BUBBLES_SQL, CAND_SQL, f"""decided AS (SELECT item_id, max(s) FILTER (far) AS blocked, arg_max(s, (s, last_seen, bubble_id)) FILTER (NOT far) AS s, arg_max(coalesce(metres, -1), (s, last_seen, bubble_id)) FILTER (NOT far) AS m
+  FROM (SELECT *, {_SIMILAR}::DOUBLE AS s, coalesce(metres > 1500, false) AS far FROM cand) GROUP BY 1)""", select=f"""SELECT item_id, CASE WHEN s >= 0.75 THEN 'cosine ' || printf('%.2f', s) || ' ≥ 0.75, ' || {_METRES_WORDS}
+  WHEN blocked > coalesce(s, -1) THEN 'new bubble: best match (cosine ' || printf('%.2f', blocked) || ') is too far away' WHEN s IS NOT NULL THEN 'new bubble: best cosine ' || printf('%.2f', s) || ' < 0.75'
+  ELSE 'new bubble: no active bubble in reach' END AS why FROM (SELECT i.item_id, d.s, d.blocked, CASE WHEN d.m >= 0 THEN d.m END AS metres FROM items i LEFT JOIN decided d USING (item_id))"""))
 def g2_decision_sentence(spark, sf_dir):
     bubbles = fold.fold_bubbles(X.items(spark, sf_dir), ["bubble_id", "dataset_id"])
     items = X.items(spark, sf_dir)
-    pairs = store.candidates(items, bubbles).withColumn("similarity", F.expr("((item_id * 31 + length(bubble_id) * 17) % 1000) / 1000.0D"))
+    pairs = store.candidates(items, bubbles, keep_far=True).withColumn("similarity", F.expr(_SIMILAR).cast("double"))
     d = items.select("item_id").join(assign.decide(pairs), "item_id", "left")
-    blocked = F.when(F.col("similarity").isNotNull(), 0.5)
-    return d.select("item_id", assign.decision_sentence(F.col("joined"), F.col("similarity"), F.col("metres"), blocked).alias("why"))
+    return d.select("item_id", assign.decision_sentence(F.col("joined"), F.col("similarity"), F.col("metres"), F.col("blocked")).alias("why"))
+
+
+# The members of a bubble of the test items lie within six hours, so thirteen hold all of those that can be open.
+ARRIVED_SQL = "arrived AS (SELECT *, " + HAVERSINE_SQL.format(a="", b="b_") + """ AS metres FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY last_seen DESC, bubble_id DESC) AS k FROM (
+    SELECT i.item_id, any_value(i.lat) AS lat, any_value(i.lng) AS lng, m.bubble_id, max(m.occurred_at) AS last_seen, avg(m.lat) AS b_lat, avg(m.lng) AS b_lng, any_value(i.occurred_at) AS seen_from
+    FROM items i JOIN items m ON i.dataset_id = m.dataset_id AND m.occurred_at >= i.occurred_at - INTERVAL 13 HOUR AND (m.captured_at, m.item_id) < (i.captured_at, i.item_id) GROUP BY i.item_id, m.bubble_id)
+  WHERE last_seen >= seen_from - INTERVAL 6 HOUR) WHERE k <= 50)"""
+
+
+@query(sql(ARRIVED_SQL, select="SELECT item_id, bubble_id, floor(epoch(last_seen))::BIGINT AS seen, round(metres, 3) AS metres FROM arrived WHERE metres IS NULL OR metres <= 1500"))
+def j6_candidates_at_arrival(spark, sf_dir):
+    return arrivals.candidates(X.items(spark, sf_dir)).select("item_id", "bubble_id", secs("last_seen").alias("seen"), F.round("metres", 3).alias("metres"))
+
+
+@query()
+def g1_decide_at_arrival(spark, sf_dir):
+    """By real vectors: the cosine of each item's with the centroid of the bubble as it then was."""
+    members = _with_vectors(spark, sf_dir)
+    found = assign.decide(arrivals.with_similarity(arrivals.candidates(members, keep_far=True), members))
+    return found.select("item_id", "bubble_id", r6("similarity"), "joined", r6("blocked"))
 
 
 def _with_vectors(spark, sf_dir):
