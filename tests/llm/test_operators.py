@@ -96,6 +96,34 @@ def test_links_are_resolved_against_their_page(spark):
     assert got[100] == ["https://Host.org/r?a=1&b=2"] and got[101] == [] and got[102] == []
 
 
+def test_links_in_comments_odd_attributes_bases_dots_and_ports(spark):
+    page = "http://h.org/a/b.html"
+    link = lambda href, more="": f'<link rel="canonical"{more} href="{href}">'
+    cases = [
+        (link("http://q.net/k", ' data-href="/no"'), ["http://q.net/k"]),
+        ('<link data-rel="canonical" href="/no"><meta data-property="og:url" content="/no">', []),
+        (f"<!-- {link('/no')} -->{link('/yes')}<!-- {link('/open')}", ["http://h.org/yes"]),
+        (f'<base target="_top"><base href="/c/d/">{link("e")}{link("../f")}<base href="/later/">', ["http://h.org/c/d/e", "http://h.org/c/f"]),
+        (f'<base href="https://else.com/x/y">{link("z")}', ["https://else.com/x/z"]),
+        (link("/a/../b") + link("http://y.io/a/./c/../../b?q=/../x") + link("//y.io/a/.."), ["http://h.org/b", "http://y.io/b?q=/../x", "http://y.io/"]),
+        (link("http://y.io:80/p") + link("https://y.io:443") + link("https://y.io:80/p") + link("http://y.io:/p"), ["http://y.io/p", "https://y.io", "https://y.io:80/p", "http://y.io/p"]),
+        ('<link rel="alternate canonical" href="/two">', ["http://h.org/two"]),
+        ("<p>" * 100_000 + "<!--" + "x" * 300_000 + "-->" + link("/far"), ["http://h.org/far"]),
+        (None, None),
+    ]
+    df = spark.createDataFrame([(k, page, h) for k, (h, _) in enumerate(cases)], "k int, url string, html string")
+    got = {r.k: r.t for r in df.select("k", url_filter.targets(F.col("html"), F.col("url")).alias("t")).collect()}
+    for k, (_, want) in enumerate(cases):
+        assert got[k] == want, (k, got[k], want)
+    same = [("http://y.io:80/a/../b/", "https://www.y.io/b"), ("https://Y.io:443", "http://y.io/."), ("http://y.io:8080/", "http://y.io:8080")]
+    for x, y in same + [("http://y.io:443/", "http://y.io")]:
+        a, b = spark.createDataFrame([(x,), (y,)], "u string").select(url_filter.canonical(F.col("u"))).collect()
+        assert (a == b) == ((x, y) in same), (x, y)
+    # A dotted link leads to a blocked address.
+    rows = [(1, "https://ok.com/1", link("http://b.net/x/../y")), (2, "https://ok.com/2", link("http://b.net:80/z"))]
+    assert {r.verdict for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"block"}
+
+
 def test_urls_of_linked_pages_equal_plain_code(spark):
     """Chains, loops and stars of links over generated pages, repeated ids, long pages and clashing columns."""
     import random

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,51 +23,93 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def scheme_of(url: Column) -> Column:
+    return F.regexp_extract(url, r"(?s)^.*?([A-Za-z][A-Za-z0-9+.-]*)://", 1)
+
+
+def without_port(host: Column, scheme: Column) -> Column:
+    """The host without a port that its scheme has anyway, or an empty one."""
+    low = F.lower(scheme)
+    return F.when(low == "http", F.regexp_replace(host, ":(?:80)?$", "")).when(low == "https", F.regexp_replace(host, ":(?:443)?$", "")).otherwise(host)
+
+
+def _walked(path: Column) -> Column:
+    steps = F.filter(F.split(path, "/"), lambda x, i: (i > 0) & (x != "."))
+    done = F.aggregate(
+        steps, F.array().cast("array<string>"),
+        lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x))),
+        lambda done: F.concat(F.lit("/"), F.array_join(done, "/")),
+    )
+    return F.regexp_replace(F.concat(done, F.when(path.rlike(r"/\.{1,2}$"), "/").otherwise("")), "^//$", "/")
+
+
+def without_dots(path: Column) -> Column:
+    """An absolute path without its dot segments: each ``..`` takes the step before it along."""
+    return _let(path, lambda p: F.when(p.rlike(r"/\.{1,2}(?:/|$)"), _walked(p)).otherwise(p))
+
+
 def canonical(url: Column) -> Column:
     """A key shared by spellings of one address, null without a host.
 
-    Scheme, ``www.`` and ``m.``, fragment, tracking parameters and a closing slash don't count.
+    Scheme and its own port, ``www.`` and ``m.``, dot segments, fragment, tracking parameters and a closing slash don't
+    count.
     """
-    host = F.regexp_replace(host_of(url), r"^(?:www|m)\.(?=[^.]+\.)", "")
+    host = F.regexp_replace(without_port(host_of(url), scheme_of(url)), r"^(?:www|m)\.(?=[^.]+\.)", "")
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
     query = F.array_join(F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike("^(?:utm_[a-z]+|ref)="))), "&")
-    key = F.concat(host, F.regexp_replace(path_of(url), "/+$", ""), F.lit("?"), query)
+    key = F.concat(host, F.regexp_replace(without_dots(path_of(url)), "/+$", ""), F.lit("?"), query)
     return F.when(host != "", key)
 
 
 def resolve(value: Column, url: Column) -> Column:
-    """The absolute address that a link on page ``url`` means, null if it leads nowhere else (fragments, other schemes)."""
-    value = F.regexp_replace(value, "&(?:amp|#38|#[xX]26);", "&")
-    scheme = F.regexp_extract(url, r"(?s)^.*?([A-Za-z][A-Za-z0-9+.-]*)://", 1)
-    root = F.concat(scheme, F.lit("://"), F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1))
-    path = path_of(url)
-    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_replace(path, "[^/]*$", ""))
-    below = F.concat(folder, F.regexp_extract(value, "(?s)^([^?#]*)", 1))
-    steps = F.filter(F.split(below, "/"), lambda x, i: (i > 0) & (x != "."))
-    # Dot segments, innermost first: each ".." takes the step before it along.
-    walked = F.aggregate(
-        steps, F.array().cast("array<string>"),
-        lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x))),
-    )
-    relative = F.concat(root, F.lit("/"), F.array_join(walked, "/"), F.regexp_extract(value, "(?s)^[^?#]*(.*)$", 1))
-    return (
-        F.when((value == "") | value.startswith("#"), F.lit(None).cast("string"))
-        .when(value.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), value)
-        .when(value.startswith("//"), F.concat(scheme, F.lit(":"), value))
-        .when(value.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
-        .when(host_of(url) == "", F.lit(None).cast("string"))
-        .when(value.startswith("/"), F.concat(root, value))
-        .when(value.startswith("?"), F.concat(root, path, value))
-        .otherwise(relative)
-    )
+    """The absolute address that a link on page ``url`` means, without dot segments and a port that goes without saying;
+    null if it leads nowhere else (fragments, other schemes)."""
+    return _let(_absolute(F.regexp_replace(value, "&(?:amp|#38|#[xX]26);", "&"), url), _mended)
+
+
+def _absolute(value: Column, url: Column) -> Column:
+    no, other = F.lit(None).cast("string"), "^[A-Za-z][A-Za-z0-9+.-]*:"
+    root = F.regexp_extract(url, r"(?s)^.*?([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    folder = F.regexp_replace(F.concat(path_of(url), F.when(path_of(url) == "", "/").otherwise("")), "[^/]*$", "")
+    return _let(value, lambda v: (
+        F.when((v == "") | v.startswith("#"), no).when(v.rlike(f"{other}//"), v).when(v.rlike(other), no)
+        .when(v.startswith("//"), F.concat(scheme_of(url), F.lit(":"), v)).when(host_of(url) == "", no)
+        .when(v.startswith("/"), F.concat(root, v)).when(v.startswith("?"), F.concat(root, path_of(url), v)).otherwise(F.concat(root, folder, v))
+    ))
+
+
+def _mended(url: Column) -> Column:
+    """Without dot segments and the scheme's own port; only what has some is put together anew."""
+    head, host = F.regexp_extract(url, r"(?s)^(.*?://)", 1), F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
+    anew = F.concat(head, without_port(host, scheme_of(url)), without_dots(path_of(url)), F.regexp_extract(url, r"(?s)^.*?://[^?#]*(.*)$", 1))
+    return F.when(host.contains(":") | path_of(url).contains("/."), anew).otherwise(url)
+
+
+def _value(tag: Column) -> Column:
+    """The address in a tag's href or content."""
+    return F.trim(F.regexp_extract(tag, r"(?is)\s(?:href|content)\s*=\s*[\"']?(?:\s*\d+\s*;\s*url\s*=\s*[\"']?)?([^\"'>\s]+)", 1))
 
 
 def targets(html: Column, url: Column) -> Column:
-    """Addresses that a page names as its own or redirects to: canonical links, refresh headers and og:url."""
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
-    wanted = F.filter(tags, lambda t: t.rlike(r"(?is)rel\s*=\s*[\"']?canonical\b|http-equiv\s*=\s*[\"']?refresh\b|property\s*=\s*[\"']?og:url\b"))
-    value = lambda t: F.trim(F.regexp_extract(t, r"(?is)(?:href|content)\s*=\s*[\"']?(?:\s*\d+\s*;\s*url\s*=\s*[\"']?)?([^\"'>\s]+)", 1))
-    return F.filter(F.transform(wanted, lambda t: resolve(value(t), url)), lambda v: v.isNotNull())
+    """Addresses that a page names as its own or redirects to: canonical links, refresh headers and og:url.
+
+    They are resolved against the page's first ``base`` address, if it has one, else against its url; comments don't count.
+    """
+    shown = F.when(html.contains("<!--"), F.regexp_replace(html, r"(?s)<!--.*?(?:-->|\z)", " ")).otherwise(html)
+    tags = F.regexp_extract_all(shown, F.lit(r"(?is)<(?:link|meta|base)\b[^>]*>"), F.lit(0))
+    own = r"(?is)\srel\s*=\s*[\"']?(?:[^\"'>]*\s)?canonical\b|\shttp-equiv\s*=\s*[\"']?refresh\b|\sproperty\s*=\s*[\"']?og:url\b"
+
+    def named(tags: Column) -> Column:
+        base = F.try_element_at(F.filter(tags, lambda t: t.rlike(r"(?is)^<base\b[^>]*\shref\s*=")), F.lit(1))
+        wanted = F.filter(tags, lambda t: t.rlike(own))
+        return _let(F.coalesce(resolve(_value(base), url), url), lambda page: F.filter(F.transform(wanted, lambda t: resolve(_value(t), page)), lambda v: v.isNotNull()))
+
+    return _let(tags, named)
 
 
 def match_rules(places: DataFrame, rules: DataFrame) -> DataFrame:
@@ -93,7 +137,7 @@ def judge(pages: DataFrame, rules: DataFrame | None = None, default: str = "allo
 
     A url's own rule decides (the longest; of equals, allow).  Else its aliases do: pages are aliases if their urls
     are spellings of one address (``canonical``) or one names the other's address, or both name the same, as canonical
-    link or redirect, over any number of steps.  Links are resolved against the page's url.  If the rules allow an address of such a set outright, its members
+    link or redirect, over any number of steps.  Links are resolved against the page's base or url.  If the rules allow an address of such a set outright, its members
     without a rule are allowed; else, if they block one, blocked; else ``default``.  ``alias_root`` is the smallest
     page_id of the set.  Rows that repeat a page_id are aliases of each other; rows with a null page_id have no
     aliases.  A null url, or one without ``://``, has empty host and path and fits no rule.  Null html names nothing.
