@@ -394,6 +394,40 @@ def test_quality_ranker_on_held_out_rows(docs, labels):
     assert abs(again.set_index("doc_id").score - got.set_index("doc_id").score).max() < 1e-9
 
 
+def test_noise_in_place_of_words_is_not_good(spark, labels):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = quality_ranker.learn(docs, labels)
+    rows = docs.join(labels.where("quality = 1"), "doc_id").where(quality_ranker.held_out(F.col("doc_id"))).limit(100).collect()
+    good = [r for r in rows if model.score([r.text])[0] >= 0.3]
+    noise = model.score([quality_ranker.scrambled(r.text, 99 + r.doc_id) for r in good])
+    assert len(good) > 0.9 * len(rows) > 30 and (noise >= 0.3).mean() < 0.1
+    # A few unknown words, or none at all, say nothing.
+    assert abs(model.score(["Zzyx."])[0] - model.score(["The."])[0]) < 0.4 and model.known.told([]) == 3.0
+
+
+def test_threshold_stands_where_fewest_are_wrong():
+    """Of the quantiles that reject 0.8 to 1.2 times the bad ones the middle of those with the fewest errors, by trying all."""
+    rng = np.random.default_rng(8)
+    for n, share, gap in ((50, 0.2, 3.0), (200, 0.1, 1.0), (30, 0.5, 0.5), (10, 0.0, 1.0), (10, 1.0, 1.0)):
+        good = np.arange(n) >= n * share
+        raw = rng.normal(size=n) + gap * good
+        shift, scale = quality_ranker.calibrate(raw, good, 0.3)
+        predicted = 1 / (1 + np.exp(-scale * (raw - shift))) >= 0.3
+        bad = int((~good).sum())
+        if bad in (0, n):
+            assert predicted.all()
+            continue
+        order = sorted(raw)
+        wrong = {}
+        for k in range(1, n):
+            if 0.8 * bad - 0.5 <= k <= 1.2 * bad + 0.5:
+                at = (order[k - 1] + order[k]) / 2
+                wrong[k] = sum((r < at) == g for r, g in zip(raw, good, strict=True))
+        assert (predicted != good).sum() == min(wrong.values())
+        assert wrong[int((~predicted).sum())] == min(wrong.values())
+
+
 def test_quality_ranker_on_odd_rows(odd, none, labels):
     assert quality_ranker.rank(odd, labels).count() == 9
     assert [r.predicted for r in quality_ranker.rank(odd, labels.where("false")).collect()] == [1] * 9
