@@ -122,3 +122,14 @@ def test_run_leaves_only_its_result_behind(spark, outputs):
     docs = P.run(spark, SF)
     assert sorted(r.doc_id for r in docs.collect()) == sorted(outputs[5].doc_id)
     assert len(set(folder.iterdir()) - before) == 1
+
+
+def test_one_row_of_an_id_whatever_the_order_of_rows(spark):
+    rows = [(1, "some text of five words here", "a"), (1, "another text that is not alike at all", "b"), (1, "another text that is not alike at all", "c"), (2, "x y z", "d")]
+    found = set()
+    for order in (rows, rows[::-1], rows[2:] + rows[:2]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, source string").repartition(4)
+        kept = P.near_dedup(spark, docs, SF).collect()
+        assert sorted(r.doc_id for r in kept) == [1, 2]
+        found.add(frozenset(map(tuple, kept)))
+    assert len(found) == 1

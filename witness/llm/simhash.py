@@ -262,17 +262,22 @@ def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int
 
 
 def first_of_groups(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``keep_one`` with groups found before: doc_id, fp (0 without words) and component_id for each row of ``docs``."""
+    """``keep_one`` with groups found before: doc_id, fp (0 without words) and component_id for each row of ``docs``.
+
+    Rows with null, empty or wordless text and rows without a doc_id all stay; an empty table stays empty.
+    """
     keep = (
         found.where(F.col("doc_id").isNotNull() & ((F.col("doc_id") == F.col("component_id")) | (F.col("fp") == 0)))
         .select(F.col("doc_id").alias("_keep"))
         .distinct()
     )
     kept = docs.join(keep, docs["doc_id"].cast("long") == keep["_keep"], "left_semi")
-    # Of rows that repeat a doc_id, one: the rank is over a key that is unique but for such rows.
+    # Of rows that repeat a doc_id the one whose values hash lowest, whatever the order of rows.
     repeated = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("_again"))
     again = cut(repeated)
     if not again.isEmpty():
-        once = kept.join(again, kept["doc_id"].cast("long") == again["_again"], "left_semi").dropDuplicates(["doc_id"])
+        plain = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+        more = kept.join(again, kept["doc_id"].cast("long") == again["_again"], "left_semi").select("doc_id", F.struct(*docs.columns).alias("_row"), F.xxhash64(*plain).alias("_h"))
+        once = more.groupBy("doc_id").agg(F.min_by("_row", "_h").alias("_row")).select("_row.*")
         kept = kept.join(again, kept["doc_id"].cast("long") == again["_again"], "left_anti").unionByName(once)
     return kept.unionByName(docs.where(F.col("doc_id").isNull()))
