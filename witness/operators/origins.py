@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from witness.functions.vectors import cosine
+from witness.operators import setjoin
 from witness.operators.graph import components, spanning_forest
+from witness.plans.lineage import cut
 
 SAME_WORDING = 0.85
 RESTATED_OVERLAP, RESTATED_COSINE = 0.5, 0.95
@@ -65,21 +67,28 @@ def overlapping(items: DataFrame, least: float, order: tuple[str, ...] = ()) ->
     return checked.unionByName(twins)
 
 
-def wording_links(items: DataFrame, order: tuple[str, ...] = ()) -> DataFrame:
-    return overlapping(items, SAME_WORDING, order)
+def wording_links(items: DataFrame) -> DataFrame:
+    """bubble_id, a, b, overlap: links that connect the items of near-identical wording, some one or two for each item.
+
+    Items with equal token sets are linked to the first of them; of different sets ``setjoin.links`` gives as many links
+    as connect them.  ``overlapping`` lists all pairs of different sets.
+    """
+    sets = items.select("bubble_id", "item_id", tokens(F.col("text")).alias("t")).where("size(t) > 0")
+    key = sets.select("bubble_id", "item_id", "t", F.array_sort(F.transform("t", lambda x: F.xxhash64(x))).alias("k"))
+    first = cut(key.groupBy("bubble_id", "k").agg(F.min_by(F.struct("item_id", "t"), "item_id").alias("s")).select("bubble_id", "k", "s.*"))
+    twins = key.join(first.select("bubble_id", "k", F.col("item_id").alias("a")), ["bubble_id", "k"]).where("item_id <> a")
+    twins = twins.select("bubble_id", "a", F.col("item_id").alias("b"), F.lit(1.0).alias("overlap"))
+    return setjoin.links(first.select("bubble_id", "item_id", "t"), SAME_WORDING).unionByName(twins)
 
 
 def restatement_links(items: DataFrame) -> DataFrame:
-    """Pairs close in meaning that also share half of their words."""
-    v = items.select("bubble_id", "item_id", "embedding")
-    return (
-        overlapping(items, RESTATED_OVERLAP)
-        .join(v.select("bubble_id", F.col("item_id").alias("a"), F.col("embedding").alias("va")), ["bubble_id", "a"])
-        .join(v.select("bubble_id", F.col("item_id").alias("b"), F.col("embedding").alias("vb")), ["bubble_id", "b"])
-        .withColumn("cosine", cosine(F.col("va"), F.col("vb")))
-        .where(F.col("cosine") >= RESTATED_COSINE)
-        .drop("va", "vb")
-    )
+    """bubble_id, a, b, overlap, cosine: links that connect items close in meaning that also share half of their words."""
+    sets = cut(items.select("bubble_id", "item_id", tokens(F.col("text")).alias("t"), "embedding").where("size(t) > 0 AND embedding IS NOT NULL"))
+    close = lambda a, b: cosine(F.col(f"{a}_embedding"), F.col(f"{b}_embedding"))
+    found = setjoin.links(sets, RESTATED_OVERLAP, lambda a, b: close(a, b) >= RESTATED_COSINE)
+    v = lambda c: sets.select("bubble_id", F.col("item_id").alias(c), F.col("embedding").alias(f"{c}_embedding"))
+    both = found.join(v("a"), ["bubble_id", "a"]).join(v("b"), ["bubble_id", "b"])
+    return both.withColumn("cosine", close("a", "b")).drop("a_embedding", "b_embedding")
 
 
 def plain_url(url: Column) -> Column:
@@ -121,7 +130,8 @@ def arrival_links(items: DataFrame) -> DataFrame:
     make the origins of what is known then.
     """
     order = ("captured_at",)
-    found = wording_links(items, order).select("bubble_id", "a", "b").unionByName(quote_links(items).select("bubble_id", "a", "b"))
+    # All pairs: of links that merely connect, one may arrive later than the pair it stands for.
+    found = overlapping(items, SAME_WORDING, order).select("bubble_id", "a", "b").unionByName(quote_links(items).select("bubble_id", "a", "b"))
     found = found.unionByName(author_links(items, order).select("bubble_id", "a", "b"))
     at = lambda c: items.select(F.col("item_id").alias(c), F.struct("captured_at", "item_id").alias(f"_{c}"))
     both = found.join(at("a"), "a").join(at("b"), "b")
@@ -148,6 +158,12 @@ def assign_origins(items: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(first, ["bubble_id", "_r"]).select("bubble_id", "item_id", "origin_id")
 
 
+def wording_classes(items: DataFrame) -> DataFrame:
+    """item_id, class_id: the smallest id that near-identical wording leads to, over any number of steps."""
+    root = components(wording_links(items).select("a", "b"))
+    return items.select("item_id").join(root, F.col("item_id") == F.col("node"), "left").select("item_id", F.coalesce("root", "item_id").alias("class_id"))
+
+
 def linked_origins(items: DataFrame) -> DataFrame:
     """The same from the links among just these items."""
     return assign_origins(items, links(items))

@@ -8,53 +8,50 @@ from witness import fixtures as X
 from witness import model
 from witness.functions.geo import HAVERSINE_SQL, haversine_m
 from witness.functions.text import fingerprint, independence_key
+from witness.operators.graph import components
 from witness.operators import arrivals, assign, fold, grade, origins, spatial, store, trust
 from witness.queries.base import BUBBLES_SQL, ORACLES, QUERIES, query, r6, secs, sql
 
 # ---------------------------------------------------------------- origins
 
 
-def _short_texts(spark, sf_dir):
-    return _all_texts(spark, sf_dir, "n_chars <= 1000")
-
-
-def _all_texts(spark, sf_dir, where="true"):
-    d = X.read(spark, sf_dir, "documents").where(where)
+def _all_texts(spark, sf_dir):
+    d = X.read(spark, sf_dir, "documents")
     return d.selectExpr("lang AS bubble_id", "doc_id AS item_id", "source", "concat('u', doc_id % 400) AS author", "text", "timestamp_seconds(doc_id * 7 % 1000) AS occurred_at",
                         "concat('https://www.Ex.org/p/', doc_id % 700, '/') AS url", "CASE WHEN doc_id % 13 = 0 THEN array(concat('http://ex.org/P/', (doc_id + 5) % 700)) ELSE array() END AS quoted_urls")
 
 
-_SETS = """sets AS (SELECT lang AS bubble_id, doc_id AS item_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> ''))) AS t FROM documents WHERE n_chars <= 1000),
-reps AS (SELECT bubble_id, t, min(item_id) AS item_id FROM sets WHERE len(t) > 0 GROUP BY 1, 2),
-jac AS (SELECT *, i / (na + nb - i) AS overlap FROM (SELECT a.bubble_id, a.item_id AS a, b.item_id AS b, len(list_intersect(a.t, b.t)) AS i, len(a.t) AS na, len(b.t) AS nb FROM reps a JOIN reps b ON a.bubble_id = b.bubble_id AND a.item_id < b.item_id)),
-twins AS (SELECT s.bubble_id, r.item_id AS a, s.item_id AS b, 1.0::DOUBLE AS overlap FROM sets s JOIN reps r ON s.bubble_id = r.bubble_id AND s.t = r.t AND s.item_id <> r.item_id)"""
-_PAIRS = "SELECT a, b, round(overlap, 6) AS overlap FROM jac WHERE overlap >= {} UNION ALL SELECT a, b, overlap FROM twins"
+_SETS = """sets AS MATERIALIZED (SELECT lang AS bubble_id, doc_id AS item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')) AS t FROM documents),
+pairs AS (SELECT a, b, i / (na + nb - i) AS overlap FROM (SELECT a.item_id AS a, b.item_id AS b, len(list_intersect(a.t, b.t)) AS i, len(a.t) AS na, len(b.t) AS nb FROM sets a JOIN sets b
+  ON a.bubble_id = b.bubble_id AND a.item_id < b.item_id AND least(len(a.t), len(b.t)) >= {least} * greatest(len(a.t), len(b.t)) - 1e-9 AND len(a.t) > 0)),
+near AS MATERIALIZED (SELECT a, b FROM pairs WHERE overlap >= {least}::DOUBLE {also}),
+twoway AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+reach(x, y) AS (SELECT item_id, item_id FROM sets UNION SELECT r.x, e.b FROM reach r JOIN twoway e ON r.y = e.a)
+SELECT x AS item_id, min(y) AS class_id FROM reach GROUP BY 1"""
 
 
-@query("WITH " + _SETS + " " + _PAIRS.format("0.85::DOUBLE"))
+@query("WITH RECURSIVE " + _SETS.format(least=0.85, also=""))
 def o1_wording(spark, sf_dir):
-    return origins.wording_links(_short_texts(spark, sf_dir)).select("a", "b", r6("overlap"))
+    return origins.wording_classes(_all_texts(spark, sf_dir))
 
 
-@query("WITH " + _SETS + ", e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), p AS (" + _PAIRS.format("0.5::DOUBLE") + """)
-SELECT p.a, p.b FROM p JOIN e x ON x.vec_id = p.a % 100 JOIN e y ON y.vec_id = (p.b + (p.a - p.b) * (p.a % 2)) % 100
-WHERE list_dot_product(x.v, y.v) / (sqrt(list_dot_product(x.v, x.v)) * sqrt(list_dot_product(y.v, y.v))) >= 0.95""")
-def o2_restated(spark, sf_dir):
-    items = _short_texts(spark, sf_dir)
-    pairs = origins.overlapping(items, origins.RESTATED_OVERLAP)
-    v = X.vectors(spark, sf_dir).select("vec_id", "v")
-    from witness.functions.vectors import cosine
+# A document's vector is that of its text's first letters, so that copies have the same and some others nearly.
+_VECTOR_OF = "ascii(left(lower(coalesce(text, '')), 1)) % 5 * 7 + length(text) // 200 % 3"
+
 
-    # Stand-in vectors: those of pairs with an odd first id are equal, of others two neighbours'.
-    got = pairs.join(v.select(F.col("vec_id").alias("_x"), F.col("v").alias("vx")), F.col("a") % 100 == F.col("_x")).join(
-        v.select(F.col("vec_id").alias("_y"), F.col("v").alias("vy")), F.expr("(b + (a - b) * (a % 2)) % 100 = _y"))
-    return got.where(cosine(F.col("vx"), F.col("vy")) >= origins.RESTATED_COSINE).select("a", "b")
+@query("WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), vec AS (SELECT doc_id, v FROM documents JOIN e ON vec_id = " + _VECTOR_OF + """), """ + _SETS.format(
+    least=0.5, also="""AND EXISTS (SELECT 1 FROM vec x JOIN vec y ON x.doc_id = a AND y.doc_id = b WHERE list_dot_product(x.v, y.v) / (sqrt(list_dot_product(x.v, x.v)) * sqrt(list_dot_product(y.v, y.v))) >= 0.95)"""))
+def o2_restated(spark, sf_dir):
+    v = X.vectors(spark, sf_dir).select("vec_id", F.col("v").alias("embedding"))
+    texts = _all_texts(spark, sf_dir).join(v, F.expr(_VECTOR_OF.replace("//", "div")) == F.col("vec_id"), "left")
+    root = components(origins.restatement_links(texts).select("a", "b"))
+    return texts.select("item_id").join(root, F.col("item_id") == F.col("node"), "left").select("item_id", F.coalesce("root", "item_id").alias("class_id"))
 
 
-@query("""WITH d AS (SELECT lang, doc_id, 'ex.org/p/' || (doc_id % 700) AS u, CASE WHEN doc_id % 13 = 0 THEN 'ex.org/p/' || ((doc_id + 5) % 700) END AS q FROM documents WHERE n_chars <= 1000)
+@query("""WITH d AS (SELECT lang, doc_id, 'ex.org/p/' || (doc_id % 700) AS u, CASE WHEN doc_id % 13 = 0 THEN 'ex.org/p/' || ((doc_id + 5) % 700) END AS q FROM documents)
 SELECT x.doc_id AS a, y.doc_id AS b FROM d x JOIN d y ON x.lang = y.lang AND x.u = y.q AND x.doc_id <> y.doc_id""")
 def o3_quotes(spark, sf_dir):
-    return origins.quote_links(_short_texts(spark, sf_dir)).select("a", "b")
+    return origins.quote_links(_all_texts(spark, sf_dir)).select("a", "b")
 
 
 @query(sql(select="""SELECT i.item_id AS b, f.a FROM items i JOIN (SELECT bubble_id, source, author, min(item_id) AS a FROM items WHERE author IS NOT NULL GROUP BY 1, 2, 3) f
