@@ -92,3 +92,24 @@ def test_groups_of_the_items_are_narrow(spark):
     for r in rows:
         groups.setdefault(r.group_id, []).append((r.lat, r.lng))
     assert max(metres(p, centre(g)) for g in groups.values() for p in g) <= 1500 and max(map(len, groups.values())) > 2
+
+
+def in_order(rows, threshold, gate, hours=6, limit=50):
+    """item -> group, one item after the other."""
+    out, live = {}, {}
+    for r in sorted((r for r in rows if r.occurred_at), key=lambda r: (r.dataset_id, r.occurred_at, r.item_id)):
+        if r.dataset_id not in live:
+            live[r.dataset_id] = assign.LiveBubbles(threshold, gate, hours, limit)
+        out[r.item_id] = live[r.dataset_id].place(r.item_id, r.occurred_at.timestamp(), np.asarray(r.v, float), r.lat, r.lng)[0]
+    return out | {r.item_id: r.item_id for r in rows if not r.occurred_at}
+
+
+@pytest.mark.parametrize(("threshold", "part", "limit"), [(0.2, 64, 50), (0.9, 100, 50), (0.75, 37, 3)])
+def test_grouping_in_parts_equals_grouping_in_order(spark, threshold, part, limit):
+    """Parts that begin right and parts that are grouped again; items without a place or a time, two data sets."""
+    df = evidence._with_vectors(spark, "/root/testdata/sf0.001").where("item_id < 400")
+    df = df.withColumn("occurred_at", F.when(F.col("item_id") % 41 > 0, F.expr("occurred_at + make_interval(0, 0, 0, -pmod(item_id, 29))")))
+    items = spark.createDataFrame(df.collect(), df.schema)
+    want = in_order(items.collect(), threshold, 1500.0, limit=limit)
+    got = {r.item_id: r.group_id for r in assign.group_in_order(items, threshold, limit=limit, part=part).collect()}
+    assert got == want and 1 < len(set(got.values())) < len(got)
