@@ -82,6 +82,19 @@ def test_values_are_told_apart_by_type_and_nothing_is_lost(spark):
     assert h.text == "second alias" and notes(h)["k"] == "[in]" and notes(h)["station"] == "7" and notes(h)["more"] == "m"
 
 
+def test_keys_written_twice_and_numbers_beyond_doubles(spark):
+    got = adapted(
+        spark,
+        '{"text":"dup","k":"1","text":"dup2","k":2}',
+        '{"text":"t","big":1e400,"low":-1e400,"meta":{"big":3,"deep":"a","deep":"b"}}',
+        '{"station":"x","level":1,"station":"y"}',
+    )
+    a, b, c = got
+    assert a.text == "dup2" and notes(a)["k"] == "2"
+    assert (notes(b)["big"], notes(b)["low"], notes(b)["deep"]) == ("Infinity", "-Infinity", "b")
+    assert c.text == "station: y; level: 1"
+
+
 def test_only_real_nuls_are_stripped(spark):
     got = adapted(spark, '{"text":"a\\u0000\\u0000b"}', '{"text":"a\\\\u0000b"}', '{"te\\u0000xt":"c\\\\\\u0000d"}')
     assert [r.text for r in got] == ["ab", "a\\u0000b", "c\\d"]

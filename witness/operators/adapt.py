@@ -73,16 +73,26 @@ def text_of(value: Column) -> Column:
 
 
 def pairs_of(values: Column, kinds: Column) -> Column:
-    """Entries of an object read twice: with its values as they are written, and with their types."""
-    return F.transform(
+    """Entries of an object read twice: with its values as they are written, and with their types.
+
+    A key written twice stands where it first stood, with its last value.  A number too large for a double reads as
+    Infinity.  Where an object further in has a key twice there are no types; values then tell theirs by how they begin.
+    """
+    looks = lambda v: F.when(v.startswith("{"), "object").when(v.startswith("["), "array").when(v.isNotNull(), "text")
+    found = F.transform(
         F.map_entries(values),
-        lambda e, i: F.struct(e["key"].alias("key"), e["value"].alias("value"), kind_of(F.get(kinds, i)).alias("kind")),
+        lambda e, i: F.struct(e["key"].alias("key"), e["value"].alias("value"), F.when(kinds.isNull(), looks(e["value"])).otherwise(kind_of(F.get(kinds, i))).alias("kind")),
+    )
+    plain = lambda e: F.struct(
+        e["key"].alias("key"), F.when(e["value"].isin('"Infinity"', '"-Infinity"'), F.replace(e["value"], F.lit('"'), F.lit(""))).otherwise(e["value"]).alias("value"), e["kind"].alias("kind")
     )
+    once = F.transform(F.array_distinct(F.map_keys(values)), lambda k: F.element_at(F.filter(found, lambda e: e["key"] == k), -1))
+    return F.transform(F.when(F.size(F.array_distinct(F.map_keys(values))) < F.size(F.map_keys(values)), once).otherwise(found), plain)
 
 
 def with_entries(df: DataFrame, json: str) -> DataFrame:
     """Adds _e: the entries of the object in column ``json``; the top level wins over containers, earlier containers over
-    later ones, and of a key written twice the first counts."""
+    later ones, and of a key written twice in one object the last counts."""
     values = lambda c: F.from_json(c, "map<string,string>")
     kinds = lambda c: F.map_values(F.from_json(c, "map<string,variant>"))
     df = settle(df, _v=values(F.col(json)), _k=kinds(F.col(json)))

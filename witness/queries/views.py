@@ -246,7 +246,7 @@ _PAYLOAD = """CASE event_id % 4
 
 
 def _payloads(spark, sf_dir):
-    return X.read(spark, sf_dir, "events").selectExpr("event_id", f"{_PAYLOAD} AS payload")
+    return X.dealt(X.read(spark, sf_dir, "events")).selectExpr("event_id", f"{_PAYLOAD} AS payload")
 
 
 @query("""SELECT event_id, NOT (event_id % 4 = 3 AND event_id % 3 < 2) AS ok,
