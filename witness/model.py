@@ -68,9 +68,3 @@ CBD = (174.7762, -41.2865)
 def seed_registry(spark: SparkSession) -> DataFrame:
     """The registry as it starts: official feeds and instruments, all A; relays and newsrooms are left out on purpose."""
     return spark.createDataFrame([(s, "A", k) for s, k in REGISTRY], "source string, reliability string, kind string")
-
-
-def issue_keywords(spark: SparkSession) -> DataFrame:
-    """issue, rank (tie order), half_life, keyword: one row per phrase."""
-    rows = [(i, r, h, k) for r, (i, (h, words)) in enumerate(ISSUES.items()) for k in words]
-    return spark.createDataFrame(rows, "issue string, rank int, half_life int, keyword string")

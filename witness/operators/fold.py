@@ -37,11 +37,6 @@ def score(mass: Column, last_seen: Column, now: str) -> Column:
     return mass * F.pow(F.lit(0.5), F.greatest(F.lit(0.0), hours) / HALF_LIFE_HOURS)
 
 
-def score_sentence(mass: Column, last_seen: Column, now: str) -> Column:
-    hours = (F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(last_seen)) / 3.6e9
-    return F.format_string("%d items, newest %.1f h old: %.3f", mass, hours, score(mass, last_seen, now))
-
-
 def truthy(value: Column) -> Column:
     return F.lower(F.trim(value)).isin(*TRUTHY)
 

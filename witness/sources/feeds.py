@@ -32,6 +32,10 @@ def _array(*xs: Column | str) -> Column:
     return F.array_compact(F.array(*(F.lit(x) if isinstance(x, str) else x for x in xs)))
 
 
+# The published sentences, limitation texts, record names and addresses in the functions from here to
+# ``atom_posts``, each beside the fields that it is put together from.
+
+
 def quakes(features: DataFrame, now: str, hours: float = 72, radius_km: float = 250.0) -> DataFrame:
     """Quakes with an id, in WGS84, within the window and radius, not retracted; the sentence is composed."""
     lng, lat = _get("$.geometry.coordinates[0]").try_cast("double"), _get("$.geometry.coordinates[1]").try_cast("double")
@@ -53,6 +57,7 @@ def quakes(features: DataFrame, now: str, hours: float = 72, radius_km: float =
 
 def intensity_words(mmi: Column) -> Column:
     """2 or less, exactly 3 to 7, anything else: the published bands."""
+    # Fixed values.
     words = {3: "weak, felt indoors", 4: "light, felt by many indoors", 5: "moderate, felt by nearly everyone", 6: "strong, some damage possible", 7: "severe, damage likely"}
     found = F.when(mmi <= 2, "unnoticeable")
     for k, w in words.items():
