@@ -175,7 +175,31 @@ def c7_c8_c10_c12_grade(spark, sf_dir):
     return grade.graded(facts(spark, sf_dir), X.AS_AT).select("bubble_id", "credibility", "alert_worthy", "label")
 
 
-@query()
+_S = "CASE WHEN {0} = 1 THEN '' ELSE 's' END"
+_REASONS_SQL = f"""told AS (SELECT *, coalesce(cross_check, '') AS cross_, {_HALF} AS half, registered + unregistered AS total,
+    origins || ' independent origin' || {_S.format("origins")} || ' behind ' || items || ' item' || {_S.format("items")} || CASE WHEN items = origins THEN '' ELSE ' — ' || (items - origins) || ' collapsed as the same observation restated' END AS ev,
+    (epoch_us(TIMESTAMP '2024-01-15 12:00:00') - epoch_us(last_seen)) / 3.6e9 AS hours FROM graded)"""
+_REASONS = f"""SELECT bubble_id, array_to_string(list_filter([
+  CASE WHEN location = 'unknown' THEN 'no contributing report could be placed on a map, so this cannot be judged — ' || ev || ' with no resolvable location'
+    WHEN cross_ = 'inconsistent' THEN 'contradicted by authoritative data: the applicable hazard layer disagrees with this claim'
+    WHEN origins >= 2 AND cross_ = 'consistent' THEN ev || ', AND authoritative data agrees — corroboration on both axes' WHEN origins >= 2 THEN ev || ' — independent people, not one report repeated'
+    WHEN cross_ = 'consistent' THEN 'only one independent origin, but authoritative data agrees with it: the applicable layer is consistent with this claim'
+    ELSE ev || ' and nothing yet agrees with it — uncorroborated, which is what "doubtful" means here, not "false"' END,
+  CASE WHEN reliability = 'A' AND c0 = 4 THEN 'the source "' || best_source || '" is registered A (completely reliable), so credibility is floored at 3 regardless of how few origins there are'
+    WHEN reliability = 'A' AND c0 > 4 THEN 'the source "' || best_source || '" is registered A, but the A-source floor lifts a cluster only where corroboration is the weakness — it does not overturn ' || CASE WHEN c0 = 5 THEN 'a contradiction' ELSE 'an unresolvable location or time' END END,
+  'authoritative cross-check: ' || CASE cross_ WHEN 'consistent' THEN 'consistent' WHEN 'inconsistent' THEN 'INCONSISTENT' ELSE 'no applicable layer, so nothing has confirmed or denied this' END,
+  CASE WHEN reliability = 'F' THEN 'source reliability F: ' || CASE WHEN best_source IS NULL THEN 'no contributing source is in the registry' ELSE '"' || best_source || '" is registered F' END || ' — unknown, not mediocre'
+    ELSE 'source reliability ' || reliability || ' (' || CASE reliability {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in model.RELIABILITY_LABELS.items())} END || '), earned by the source "' || best_source || '" — the best among the contributing sources'
+      || CASE WHEN unregistered > 0 THEN '; this axis reports the best source, not the crowd — ' || unregistered || ' of the ' || total || ' contributing source' || {_S.format("total")} || CASE WHEN unregistered = 1 THEN ' is' ELSE ' are' END
+      || ' unregistered and grade F on their own' ELSE '' END END,
+  CASE location WHEN 'inferred' THEN 'location was INFERRED from the reports rather than stated by any source — treat the point as an area' WHEN 'unknown' THEN 'no contributing report could be placed: this signal is real evidence that cannot be drawn on a map' END,
+  CASE time WHEN 'assumed' THEN 'no contributing report carried its own timestamp; ingest time was assumed, so the event may be older than it looks' END,
+  'freshness ' || printf('%.2f', freshness) || ' — ' || replace(issue, '_', ' ') || ' halves every ' || half || 'h and the most recent report is '
+    || CASE WHEN hours <= 0 THEN '0m' WHEN hours < 1 THEN printf('%.0fm', hours * 60) WHEN hours < 48 THEN printf('%.1fh', hours) ELSE printf('%.0fd', hours / 24) END || ' old'
+  ], lambda r: r IS NOT NULL), ' | ') AS reasons FROM told"""
+
+
+@query(sql(*GRADED, _REASONS_SQL, select=_REASONS))
 def c11_reasons(spark, sf_dir):
     return grade.graded(facts(spark, sf_dir), X.AS_AT).select("bubble_id", F.array_join("reasons", " | ").alias("reasons"))
 

@@ -338,9 +338,15 @@ def _quake_features(spark, sf_dir):
     return X.items(spark, sf_dir).selectExpr("item_id", """concat('{"geometry":{"coordinates":[', 174.7 + (user_id % 40) * 0.01, ',', -41.35 + (user_id % 30) * 0.01, ']},"properties":{"publicID":"q', item_id, '","time":"', date_format(occurred_at, "yyyy-MM-dd'T'HH:mm:ss'Z'"), '","magnitude":', round(value / 20, 2), ',"depth":', value, ',"mmi":', CAST(value AS INT) % 10, ',"count":', item_id % 4, ',"locality":"near ', place, '","quality":"', CASE WHEN item_id % 9 = 0 THEN 'deleted' ELSE 'best' END, '"}}') AS feature""")
 
 
-@query()
+_QUAKES_SQL = "quakes AS (SELECT *, 174.7::DOUBLE + (user_id % 40) * 0.01::DOUBLE AS q_lng, -41.35::DOUBLE + (user_id % 30) * 0.01::DOUBLE AS q_lat, 174.7762::DOUBLE AS c_lng, -41.2865::DOUBLE AS c_lat FROM items)"
+
+
+@query(sql(_QUAKES_SQL, select="""SELECT 'geonet-quake:q' || item_id AS record_id, 'Magnitude ' || round(round((value / 20)::DECIMAL(18, 6), 2), 1)::DECIMAL(9, 1) || ' earthquake near ' || place || ', ' || round(value::DECIMAL(18, 9))::BIGINT
+    || ' km deep. Estimated shaking intensity MMI ' || floor(value)::INT % 10 || '. Epicentre approximately ' || printf('%.0f', """ + geo.HAVERSINE_SQL.format(a="q_", b="c_") + """ / 1000) || ' km from Wellington.' AS text,
+    date_trunc('second', occurred_at) AS observed_at, round(q_lat, 6) AS lat, round(q_lng, 6) AS lng
+  FROM quakes WHERE item_id % 9 <> 0 AND date_trunc('second', occurred_at) >= TIMESTAMP '2024-01-20'"""))
 def s5_quakes(spark, sf_dir):
-    return feeds.quakes(_quake_features(spark, sf_dir), "2024-01-30 00:00:00", 240).select("record_id", "text", "observed_at", "lat", "lng")
+    return feeds.quakes(_quake_features(spark, sf_dir), "2024-01-30 00:00:00", 240).select("record_id", "text", "observed_at", r6("lat"), r6("lng"))
 
 
 @query(sql(select="""SELECT printf('%.3f,%.3f', round(174.7 + (user_id % 40) * 0.01, 3), round(-41.35 + (user_id % 30) * 0.01, 3)) AS cell, CASE WHEN m <= 2 THEN 'unnoticeable' WHEN m = 3 THEN 'weak, felt indoors' WHEN m = 4 THEN 'light, felt by many indoors' WHEN m = 5 THEN 'moderate, felt by nearly everyone' WHEN m = 6 THEN 'strong, some damage possible' WHEN m = 7 THEN 'severe, damage likely' ELSE 'extreme' END AS band, count(*) AS n
@@ -359,13 +365,15 @@ def _escaped(texts):
     return texts.withColumns({"json_text": F.substring(json, F.lit(2), F.length(json) - 2), "xml_text": bare})
 
 
-@query()
+@query(X.with_sql(X.TEXTS_SQL, select="""SELECT 'metservice:w' || doc_id AS record_id, left('Heavy rain watch — area ' || (doc_id % 9) || ' — ' || text, 2000) AS text, -41.325::DOUBLE AS lat, 174.75::DOUBLE AS lng, 'other' AS hazard
+  FROM texts"""))
 def s7_cap_features(spark, sf_dir):
     d = _escaped(X.texts(spark, sf_dir)).selectExpr("""concat('{"geometry":{"type":"Polygon","coordinates":[[[174.6,-41.4],[174.9,-41.4],[174.9,-41.1],[174.6,-41.4]]]},"properties":{"identifier":"w', doc_id, '","info_headline":"Heavy rain watch","info_event":"rain","info_area_areaDesc":"area ', doc_id % 9, '","info_description":', json_text, ',"sent":"2024-01-05T00:00:00Z"}}') AS feature""")
     return feeds.cap_features(d, NOW).select("record_id", "text", r6("lat"), r6("lng"), "hazard")
 
 
-@query()
+@query(sql(select="""SELECT item_id::VARCHAR AS external_id, 'Blockage Pringle Street · waste water' AS text, CASE WHEN item_id % 2 = 0 THEN 'official_crowd' ELSE 'official' END AS source_kind, 'water' AS hazard,
+    date_trunc('milliseconds', occurred_at) AS observed_at FROM items WHERE lng BETWEEN 174.62 AND 174.94 AND lat BETWEEN -41.36 AND -41.14"""))
 def s8_water_faults(spark, sf_dir):
     f = X.items(spark, sf_dir).where("lat IS NOT NULL").selectExpr("""concat('{"geometry":{"coordinates":[', lng, ',', lat, ']},"properties":{"OBJECTID":', item_id, ',"description":"Blockage ', user_id, ' Pringle Street","watertype":"waste water","custservrequestcheck":"', CASE WHEN item_id % 2 = 0 THEN 'Customer Service Request' ELSE 'no' END, '","reportdate":', unix_millis(occurred_at), '}}') AS feature""")
     return feeds.water_faults(f, NOW).select("external_id", "text", "source_kind", "hazard", "observed_at")
