@@ -341,7 +341,7 @@ def _quake_features(spark, sf_dir):
 _QUAKES_SQL = "quakes AS (SELECT *, 174.7::DOUBLE + (user_id % 40) * 0.01::DOUBLE AS q_lng, -41.35::DOUBLE + (user_id % 30) * 0.01::DOUBLE AS q_lat, 174.7762::DOUBLE AS c_lng, -41.2865::DOUBLE AS c_lat FROM items)"
 
 
-@query(sql(_QUAKES_SQL, select="""SELECT 'geonet-quake:q' || item_id AS record_id, 'Magnitude ' || round(round((value / 20)::DECIMAL(18, 6), 2), 1)::DECIMAL(9, 1) || ' earthquake near ' || place || ', ' || round(value::DECIMAL(18, 9))::BIGINT
+@query(sql(_QUAKES_SQL, select="""SELECT 'geonet-quake:q' || item_id AS record_id, 'Magnitude ' || round(round((value / 20)::VARCHAR::DECIMAL(20, 17), 2), 1)::DECIMAL(9, 1) || ' earthquake near ' || place || ', ' || round(value::DECIMAL(18, 9))::BIGINT
     || ' km deep. Estimated shaking intensity MMI ' || floor(value)::INT % 10 || '. Epicentre approximately ' || printf('%.0f', """ + geo.HAVERSINE_SQL.format(a="q_", b="c_") + """ / 1000) || ' km from Wellington.' AS text,
     date_trunc('second', occurred_at) AS observed_at, round(q_lat, 6) AS lat, round(q_lng, 6) AS lng
   FROM quakes WHERE item_id % 9 <> 0 AND date_trunc('second', occurred_at) >= TIMESTAMP '2024-01-20'"""))
