@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from witness import fixtures as X
 from witness.functions import geo
+from witness.functions import text as T
 from witness.functions import vectors as V
 from witness.operators import adapt as A
 from witness.operators import fold, grade, origins, spatial, weather
 from witness.plans import reads
 from witness.plans.lineage import cut
 from witness.queries.base import BUBBLES_SQL, COORD_SQL, EDGES_SQL, coords, edges, query, r6, secs, sql
-from witness.queries.corpus import NOTES_SQL, SCORED_SQL, _notes
+from witness.queries.corpus import _PLACES, NOTES_SQL, SCORED_SQL, _case, _notes
 from witness.queries.evidence import AREA_SQL, AUTHOR_ORIGINS_SQL, GRADED, REPLAY_SQL, REPLAYED, areas, events, events_of, facts, facts_of
 from witness.sources import drop_folder, feeds
 from witness.streaming import streams
@@ -379,10 +380,17 @@ def s8_water_faults(spark, sf_dir):
     return feeds.water_faults(f, NOW).select("external_id", "text", "source_kind", "hazard", "observed_at")
 
 
-@query()
+_PLACE_OF = "CASE " + " ".join(f"WHEN regexp_matches(lower(text), '\\b{p}\\b') THEN '{p}'" for p in _PLACES) + " END"
+
+
+@query(X.with_sql(X.TEXTS_SQL, select=f"""SELECT 'bluesky:at://did/app/' || doc_id AS record_id, ['photo', 'video', 'link', 'none'][doc_id % 4 + 1] AS media, 'https://bsky.app/profile/H' || (doc_id % 50) || '/post/' || doc_id AS url,
+    array_to_string(list_append(list_filter(u, lambda x, i: list_position(u, x) = i), 'https://ex.org/a/' || (doc_id % 9)), '|') AS quoted_urls, 'anon-' || left(sha256('{X.SALT}:h' || (doc_id % 50)), 12) AS author,
+    {_case(T.HAZARD_RULES)} ELSE 'other' END AS hazard, {_PLACE_OF} AS location_text
+  FROM (SELECT *, regexp_extract_all(text, 'https?://[^\\s<>\"'')]+') AS u FROM texts)"""))
 def s9_bluesky(spark, sf_dir):
     p = _escaped(X.texts(spark, sf_dir)).selectExpr("""concat('{"uri":"at://did/app/', doc_id, '","author":{"handle":"H', doc_id % 50, '"},"record":{"text":', json_text, ',"createdAt":"2024-01-05T00:00:00Z"},"embed":{"$type":"app.bsky.embed.', element_at(array('images', 'video', 'external', 'x'), CAST(doc_id % 4 + 1 AS INT)), '","external":{"uri":"https://ex.org/a/', doc_id % 9, '"}}}') AS post""")
-    return feeds.bluesky_posts(p, NOW, X.SALT).select("record_id", "media", "url", "quoted_urls", "author", "hazard", "location_text")
+    found = feeds.bluesky_posts(p, NOW, X.SALT)
+    return found.select("record_id", "media", "url", F.array_join("quoted_urls", "|").alias("quoted_urls"), "author", "hazard", "location_text")
 
 
 def _atom(spark, sf_dir):
