@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import pi, sin
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EARTH_M = 6_371_000.0
@@ -36,33 +36,35 @@ def _columns(band: Column, step: float) -> Column:
     return F.greatest(F.lit(1).cast("long"), F.floor(360.0 * F.cos(F.radians(far)) / step))
 
 
-def _in_band(columns: Column, band: Column, n: Column) -> Column:
-    return F.transform(columns, lambda c: F.struct(band.alias("y"), F.pmod(c, n).alias("x")))
-
-
-def cells(lat: Column, lng: Column, radius_m: float, around: bool = False) -> Column:
-    """The point's cell, or with ``around`` an array of all cells that may hold points within the radius of it.
+def cells(lat: Column, lng: Column, radius_m: float) -> Column:
+    """The point's cell, for points to meet within ``radius_m``: see ``around``.
 
     Cells are bands of latitude, each cut into columns by its own width, so that neighbours are few at any latitude.
-    Columns go round the globe: cells meet at 180 degrees, and near a pole a circle covers all of a band.
+    Columns go round the globe: cells meet at 180 degrees.
     """
     # A degree of latitude has some 200 m more than this; that outweighs rounding.
     step = radius_m / 111_000.0
     band = F.floor(lat / step)
-    if not around:
-        n = _columns(band, step)
-        return F.struct(band.alias("y"), F.pmod(F.floor((lng + 180.0) / 360.0 * n), n).alias("x"))
-    angle = radius_m / EARTH_M
-    over_pole = F.abs(F.radians(lat)) + angle >= pi / 2 - 1e-6
-    reach = F.when(over_pole, 180.0).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.lit(sin(angle)) / F.cos(F.radians(lat)))))) * (1 + 1e-9) + 1e-9
-    near = []
-    for k in (-1, 0, 1):
-        n = _columns(band + k, step)
-        low, high = F.floor((lng - reach + 180.0) / 360.0 * n), F.floor((lng + reach + 180.0) / 360.0 * n)
-        all_of = high - low + 1 >= n
-        found = F.sequence(F.when(all_of, F.lit(0).cast("long")).otherwise(low), F.when(all_of, n - 1).otherwise(high))
-        near.append(_in_band(found, band + k, n))
-    return F.when(lat.isNotNull() & lng.isNotNull(), F.concat(*near))
+    n = _columns(band, step)
+    return F.struct(band.alias("y"), F.pmod(F.floor((lng + 180.0) / 360.0 * n), n).alias("x"))
+
+
+def around(rows: DataFrame, radius_m: float, name: str, lat: str = "lat", lng: str = "lng") -> DataFrame:
+    """The rows with a place, each once for every cell that may hold points within the radius of it.
+
+    These lie in three bands; near a pole a circle covers all of a band.
+    """
+    step, angle, y = radius_m / 111_000.0, radius_m / EARTH_M, F.radians(lat)
+    bands = rows.where(F.col(lat).isNotNull() & F.col(lng).isNotNull()).withColumn("_y", F.explode(F.array(*(F.floor(F.col(lat) / step) + k for k in (-1, 0, 1)))))
+    over_pole = F.abs(y) + angle >= pi / 2 - 1e-6
+    reach = F.when(over_pole, 180.0).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.lit(sin(angle)) / F.cos(y))))) * (1 + 1e-9) + 1e-9
+    wide = bands.withColumns({"_n": _columns(F.col("_y"), step), "_reach": reach})
+    end = lambda r: F.floor((F.col(lng) + r + 180.0) / 360.0 * F.col("_n"))
+    ends = wide.withColumns({"_lo": end(-F.col("_reach")), "_hi": end(F.col("_reach"))})
+    whole = F.col("_hi") - F.col("_lo") + 1 >= F.col("_n")
+    columns = F.sequence(F.when(whole, F.lit(0).cast("long")).otherwise(F.col("_lo")), F.when(whole, F.col("_n") - 1).otherwise(F.col("_hi")))
+    met = ends.withColumn("_x", F.explode(columns))
+    return met.withColumn(name, F.struct(F.col("_y").alias("y"), F.pmod("_x", "_n").alias("x"))).drop("_y", "_n", "_reach", "_lo", "_hi", "_x")
 
 
 def words_of_distance(metres: Column) -> Column:

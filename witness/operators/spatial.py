@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from witness.functions.geo import cells, haversine_m, in_frame
+from witness.functions.geo import around, cells, haversine_m, in_frame
 
 #: Polygon edges that may be broadcast; more are joined by latitude band.
 MAX_EDGES = 200_000
@@ -33,7 +33,7 @@ def inside(points: DataFrame, edges: DataFrame, max_edges: int = MAX_EDGES) -> D
 
 def reports_near(places: DataFrame, items: DataFrame, metres: float) -> DataFrame:
     """place, n, top, mean: items within ``metres`` of each place, joined by cell."""
-    p = places.select("place", F.col("lat").alias("p_lat"), F.col("lng").alias("p_lng"), F.explode(cells(F.col("lat"), F.col("lng"), metres, True)).alias("_c"))
+    p = around(places.select("place", F.col("lat").alias("p_lat"), F.col("lng").alias("p_lng")), metres, "_c", "p_lat", "p_lng")
     i = items.where("lat IS NOT NULL AND lng IS NOT NULL").select("lat", "lng", "value", cells(F.col("lat"), F.col("lng"), metres).alias("_c"))
     near = i.join(p, "_c").where(haversine_m(F.col("p_lat"), F.col("p_lng"), F.col("lat"), F.col("lng")) <= metres)
     return near.groupBy("place").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("top"), F.avg("value").alias("mean"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from witness.functions.geo import cells, haversine_m
+from witness.functions.geo import around, cells, haversine_m
 
 
 def items_in_window(items: DataFrame, start: str, end: str, dataset: str | None = None, limit: int | None = None) -> DataFrame:
@@ -168,8 +168,8 @@ def candidates(
         same = (F.col("dataset_id") == F.col("_d")) & (F.col("_t") == F.col("_b")) & open_still & (F.col("first_seen") <= F.col("occurred_at") + gap)
         placed, b_placed = F.col("lat").isNotNull() & F.col("lng").isNotNull(), F.col("b_lat").isNotNull() & F.col("b_lng").isNotNull()
         here = timed.where(placed).withColumn("_c", cells(F.col("lat"), F.col("lng"), metres))
-        around = b.where(b_placed).withColumn("_e", F.explode(cells(F.col("b_lat"), F.col("b_lng"), metres, True)))
-        by_cell = here.join(around, same & (F.col("_c") == F.col("_e"))).drop("_c", "_e")
+        spread = around(b.where(b_placed), metres, "_e", "b_lat", "b_lng")
+        by_cell = here.join(spread, same & (F.col("_c") == F.col("_e"))).drop("_c", "_e")
         loose = timed.where(~placed).join(b, same).unionByName(timed.where(placed).join(b.where(~b_placed), same))
         pairs = by_cell.unionByName(loose).drop("_t", "_b", "first_seen")
     return within_reach(pairs.withColumn("metres", apart).drop("_d"), metres, keep_far)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from witness.functions.geo import cells, haversine_m
+from witness.functions.geo import around, cells, haversine_m
 
 
 def related(items: DataFrame, metres: float = 1500.0, hours: float = 24.0) -> DataFrame:
@@ -13,7 +13,7 @@ def related(items: DataFrame, metres: float = 1500.0, hours: float = 24.0) -> Da
     span = int(hours * 3600)
     placed = items.where("lat IS NOT NULL AND lng IS NOT NULL").withColumn("_t", F.unix_micros("occurred_at") / 1e6)
     a = placed.select("hazard", cells(F.col("lat"), F.col("lng"), metres).alias("_c"), F.floor(F.col("_t") / span).alias("_b"), F.col("item_id").alias("a"), F.col("url").alias("a_url"), F.col("lat").alias("y"), F.col("lng").alias("x"), F.col("_t").alias("s"))
-    b = placed.select("*", F.explode(cells(F.col("lat"), F.col("lng"), metres, True)).alias("_c")).select(
+    b = around(placed, metres, "_c").select(
         "hazard", "_c", F.explode(F.expr(f"array(floor(_t / {span}) - 1, floor(_t / {span}), floor(_t / {span}) + 1)")).alias("_b"),
         F.col("item_id").alias("b"), "lat", "lng", "_t", "author", "source_class", "quoted_urls", "occurred_at",
     )
