@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from witness.functions.geo import around, cells, haversine_m, in_frame
+from witness.operators.cover import inside_cells
 
-#: Polygon edges that may be broadcast; more are joined by latitude band.
+#: Polygon edges that may be broadcast; more are resolved by cells.
 MAX_EDGES = 200_000
 BAND_DEGREES = 0.05
 
@@ -15,20 +16,32 @@ BAND_DEGREES = 0.05
 def inside(points: DataFrame, edges: DataFrame, max_edges: int = MAX_EDGES) -> DataFrame:
     """id, area (and layer): areas that hold each point (id, lng, lat), by the even-odd rule over all rings.
 
-    ``edges`` has one row per side: area, x1, y1, x2, y2.  A side counts where it crosses the point's latitude to the
-    right of it, so holes take care of themselves.  Points and sides meet by latitude bands; points that share a place
-    are tested once.
+    ``edges`` has one row per side: area, x1, y1, x2, y2; the sides of an area form closed rings.  A side counts where it
+    crosses the point's latitude to the right of it, so holes take care of themselves.  Points that share a place are
+    tested once; points without one are in no area.  Up to ``max_edges`` sides are broadcast and meet points by latitude
+    bands; more are resolved by cells (``cover``).  Areas that go on beyond 180 degrees also hold points that are written
+    a turn away.
     """
     names = [c for c in ("layer", "area") if c in edges.columns]
+    all_of = edges.agg(F.count(F.lit(1)).alias("n"), F.min(F.least("x1", "x2")).alias("west"), F.max(F.greatest("x1", "x2")).alias("east")).first()
+    turns = [0.0] + [t for t, over in ((360.0, (all_of.east or 0) > 180), (-360.0, (all_of.west or 0) < -180)) if over]
+    placed = points.where("lng IS NOT NULL AND lat IS NOT NULL").select("id", "lng", "lat")
+    if len(turns) > 1:
+        placed = placed.select("id", F.explode(F.array(*(F.col("lng") + t for t in turns))).alias("lng"), "lat")
+    spots = placed.select("lng", "lat").distinct()
+    hit = _inside_bands(spots, edges, names) if all_of.n <= max_edges else inside_cells(spots, edges, names)
+    found = placed.join(hit, ["lng", "lat"]).select("id", *names)
+    return found.distinct() if len(turns) > 1 else found
+
+
+def _inside_bands(spots: DataFrame, edges: DataFrame, names: list[str]) -> DataFrame:
     band = lambda y: F.floor(y / BAND_DEGREES)
     sides = edges.where("y1 <> y2").select("*", F.explode(F.sequence(band(F.least("y1", "y2")), band(F.greatest("y1", "y2")))).alias("_band"))
-    sides = F.broadcast(sides) if edges.count() <= max_edges else sides
-    spots = points.where("lng IS NOT NULL AND lat IS NOT NULL").select("lng", "lat").distinct().withColumn("_band", band(F.col("lat")))
     crosses = ((F.col("y1") > F.col("lat")) != (F.col("y2") > F.col("lat"))) & (
         F.col("lng") < (F.col("x2") - F.col("x1")) * (F.col("lat") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
     )
-    hit = spots.join(sides, "_band").where(crosses).groupBy("lng", "lat", *names).agg(F.count(F.lit(1)).alias("_n")).where("_n % 2 = 1")
-    return points.join(hit, ["lng", "lat"]).select("id", *names)
+    met = spots.withColumn("_band", band(F.col("lat"))).join(F.broadcast(sides), "_band").where(crosses)
+    return met.groupBy("lng", "lat", *names).agg(F.count(F.lit(1)).alias("_n")).where("_n % 2 = 1").drop("_n")
 
 
 def reports_near(places: DataFrame, items: DataFrame, metres: float) -> DataFrame:

@@ -430,6 +430,12 @@ def j9_point_in_polygon(spark, sf_dir):
     return spatial.inside(moved(X.items(spark, sf_dir)), areas(spark))
 
 
+@query(sql(AREA_SQL, INSIDE_SQL, select="SELECT id, area FROM inside"))
+def j9_areas_by_cells(spark, sf_dir):
+    """As areas with more sides than may be broadcast are resolved."""
+    return spatial.inside(moved(X.items(spark, sf_dir)), areas(spark), max_edges=0)
+
+
 _SPOTS = "spots(place, lat, lng) AS (VALUES " + ", ".join(f"('p{k}', {-41.34 + 0.02 * k}::DOUBLE, {174.70 + 0.006 * k}::DOUBLE)" for k in range(7)) + ")"
 
 
