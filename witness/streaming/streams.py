@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from witness.operators import assign, dedupe, origins, store
+from witness.sources.item_store import what
 
 KEY = ["dataset_id", "source", "external_id"]
 
@@ -34,17 +35,20 @@ def append_new(batch: DataFrame, store_path: str, key: list[str] = KEY) -> DataF
     """Of a micro-batch the items that the stored table doesn't have yet, first arrival of each; they are appended.
 
     Meant for ``foreachBatch`` with one writer: a batch that is run again finds its rows stored and appends nothing.
+    Items without an external id are told apart by their item_id.  ``sources.item_store`` takes several writers.
     The store lies in folders by data set, of which only those of the batch are read, and of these the key columns.
     """
     spark = batch.sparkSession
-    rows = dedupe.first_of(batch, key, ["captured_at", "item_id"])
+    own = ["_what" if c == "external_id" else c for c in key]
+    rows = dedupe.first_of(batch.withColumn("_what", what()), own, ["captured_at", "item_id"])
     try:
-        stored = spark.read.schema(batch.schema).parquet(store_path)
+        stored = spark.read.schema(batch.schema).parquet(store_path).withColumn("_what", what())
         here = [r.dataset_id for r in batch.select("dataset_id").distinct().collect()]  # a handful of names
-        rows = dedupe.new_items(rows, stored.where(F.col("dataset_id").isin(here)).select(*key), key)
+        rows = dedupe.new_items(rows, stored.where(F.col("dataset_id").isin(here)).select(*own), own)
     except AnalysisException as e:  # the first batch finds no table
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
+    rows = rows.drop("_what")
     rows.write.mode("append").partitionBy("dataset_id").parquet(store_path)
     return rows
 
