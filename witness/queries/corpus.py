@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 
 from witness import fixtures as X
 from witness.functions import text as T
 from witness.functions import vectors as V
-from witness.operators import dedupe, fold, store
-from witness.queries.base import BUBBLES_SQL, COORD_SQL, EDGES_SQL, MEMBERS_SQL, coords, edges, query, r6, secs, sql
+from witness.operators import dedupe, fold, history, store
+from witness.plans.lineage import shared_dir
+from witness.queries.base import BUBBLES_SQL, COORD_SQL, EDGES_SQL, MEMBERS_SQL, ORACLES, coords, edges, query, r6, secs, sql
 
 # ---------------------------------------------------------------- store reads
 
@@ -251,6 +255,16 @@ def f6_refold_as_at(spark, sf_dir):
     return fold.refold_as_at(X.items(spark, sf_dir), X.AS_AT).select("bubble_id", "mass", "source_diversity", "velocity", "verified_by")
 
 
+@query(ORACLES["f6_refold_as_at"])
+def f6_as_at_from_history(spark, sf_dir):
+    """From a snapshot of five days before and the members since."""
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    history.add(X.items(spark, sf_dir), path)
+    at = datetime.fromisoformat(X.AS_AT)
+    history.advance(spark, path, at.date() - timedelta(days=5))
+    return history.refold_as_at(spark, path, at).select("bubble_id", "mass", "source_diversity", "velocity", "verified_by")
+
+
 @query(sql(COORD_SQL, select="SELECT bubble_id, round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(z), 6) AS z FROM items LEFT JOIN coords USING (item_id) GROUP BY 1"))
 def f7_galaxy_centre(spark, sf_dir):
     items = X.items(spark, sf_dir)
