@@ -74,7 +74,8 @@ def wording_links(items: DataFrame) -> DataFrame:
     as connect them.  ``overlapping`` lists all pairs of different sets.
     """
     sets = items.select("bubble_id", "item_id", tokens(F.col("text")).alias("t")).where("size(t) > 0")
-    key = sets.select("bubble_id", "item_id", "t", F.array_sort(F.transform("t", lambda x: F.xxhash64(x))).alias("k"))
+    # Tokens hold no blanks, so equal digests are equal sets.
+    key = sets.select("bubble_id", "item_id", "t", F.md5(F.concat_ws(" ", F.array_sort("t"))).alias("k"))
     first = cut(key.groupBy("bubble_id", "k").agg(F.min_by(F.struct("item_id", "t"), "item_id").alias("s")).select("bubble_id", "k", "s.*"))
     twins = key.join(first.select("bubble_id", "k", F.col("item_id").alias("a")), ["bubble_id", "k"]).where("item_id <> a")
     twins = twins.select("bubble_id", "a", F.col("item_id").alias("b"), F.lit(1.0).alias("overlap"))
