@@ -86,3 +86,12 @@ def test_sessions_break_at_longer_gaps_only(spark):
     items = df.withColumns({"lat": F.lit(None).cast("double"), "lng": F.lit(None).cast("double"), "v": F.array(F.lit(1.0)), "item_id": F.col("item_id") + F.when(F.col("dataset_id") == "b", 100).otherwise(0)})
     groups = {r.item_id: r.group_id for r in assign.group_in_order(items).collect()}
     assert groups == {d + k: d + (0, 0, 0, 3, 3, 3, 6)[k] for d in (0, 100) for k in range(7)}
+
+
+def test_rows_are_dealt_to_more_tasks_as_a_table_grows(spark):
+    cores = spark.sparkContext.defaultParallelism
+    for rows in (10, 1000 * cores, 5000 * cores):
+        got = X.dealt(spark.range(0, rows, 1, 1), 1000)
+        sizes = got.rdd.glom().map(len).collect()
+        assert len(sizes) == max(cores, rows // 1000)
+        assert sum(sizes) == rows and max(sizes) <= 1100

@@ -246,8 +246,12 @@ _PAYLOAD = """CASE event_id % 4
   ELSE CASE WHEN event_id % 3 = 0 THEN '[1,2]' WHEN event_id % 3 = 1 THEN '{"text":"  "}' ELSE concat('"bare report ', event_id, '"') END END"""
 
 
+#: Payloads that one task reads: adapting takes about a millisecond each.
+PAYLOADS = 20_000
+
+
 def _payloads(spark, sf_dir):
-    return X.dealt(X.read(spark, sf_dir, "events")).selectExpr("event_id", f"{_PAYLOAD} AS payload")
+    return X.dealt(X.read(spark, sf_dir, "events"), PAYLOADS).selectExpr("event_id", f"{_PAYLOAD} AS payload")
 
 
 @query("""SELECT event_id, NOT (event_id % 4 = 3 AND event_id % 3 < 2) AS ok,
