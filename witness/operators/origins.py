@@ -101,10 +101,10 @@ def plain_url(url: Column) -> Column:
 
 
 def quote_links(items: DataFrame) -> DataFrame:
-    """bubble_id, a (quoted), b (quoting)."""
-    own = items.where("url IS NOT NULL").select("bubble_id", F.col("item_id").alias("a"), plain_url(F.col("url")).alias("u"))
-    quoted = items.select("bubble_id", F.col("item_id").alias("b"), F.explode("quoted_urls").alias("q")).select("bubble_id", "b", plain_url(F.col("q")).alias("u"))
-    return own.join(quoted, ["bubble_id", "u"]).where("a <> b").select("bubble_id", "a", "b", "u").distinct()
+    """bubble_id, a (quoted), b (quoting), u: each once.  Repeats go before the join, whose pairs no task then holds."""
+    own = items.where("url IS NOT NULL").select("bubble_id", F.col("item_id").alias("a"), plain_url(F.col("url")).alias("u")).distinct()
+    quoted = items.select("bubble_id", F.col("item_id").alias("b"), F.explode("quoted_urls").alias("q")).select("bubble_id", "b", plain_url(F.col("q")).alias("u")).distinct()
+    return own.hint("merge").join(quoted.hint("merge"), ["bubble_id", "u"]).where("a <> b").select("bubble_id", "a", "b", "u")
 
 
 def author_links(items: DataFrame, order: tuple[str, ...] = ()) -> DataFrame:
