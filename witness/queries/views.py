@@ -524,7 +524,7 @@ def v8_vertex_mean(spark, sf_dir):
 @query()
 def v3_dense_embedding(spark, sf_dir):
     """The blended embedding of every document, as its cosine with the first axis of the background."""
-    sparse = V.sparse_embedding(X.read(spark, sf_dir, "documents"), "doc_id", "text")
+    sparse = V.sparse_vectors(X.dealt(X.read(spark, sf_dir, "documents")), "doc_id", "text")
     base = F.array(*(F.lit(x) for x in V.background()))
     return V.dense_embedding(sparse, "doc_id").select("doc_id", r6(V.cosine(F.col("embedding"), base), "cosine"))
 
