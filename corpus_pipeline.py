@@ -21,7 +21,11 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a similarity of 0.8 or more stays, the one with the smallest doc_id."""
+    """One document of each group linked by a similarity of 0.8 or more stays, the one with the smallest doc_id.
+
+    Candidates come from SimHash fingerprints within four bits, checked exactly; texts as similar with fingerprints farther
+    apart are found by their rarest shingles.
+    """
     return simhash.first_of_groups(docs, similar.near_duplicates(docs))
 
 

@@ -60,3 +60,19 @@ def test_odd_rows(spark):
     want = [(1, 1), (None, 1), (2, 1), (2, 1), (3, 3), (4, 3), (None, None), (5, 5)]
     assert got == sorted(want, key=str)
     assert similar.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_fingerprints_give_the_near_dedup_stage_its_candidates(spark, monkeypatch):
+    """Texts within four bits meet by fingerprint, and groups stay those of all pairs of the exact similarity."""
+    import corpus_pipeline as P
+
+    from witness.llm import similar, simhash
+
+    base = [" ".join(f"w{k}x{j}" for j in range(400)) for k in range(4)]
+    texts = [*base, base[0] + " z", base[1] + " z", base[1].replace("w1x200", "q"), base[2]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen, plain = [], similar.fingerprint_pairs
+    monkeypatch.setattr(similar, "fingerprint_pairs", lambda one: seen.extend(plain(one).collect()) or plain(one))
+    assert sorted(r.doc_id for r in P.near_dedup(spark, docs, "").collect()) == [0, 1, 2, 3]
+    sims = {similar._set_hash(similar.shingle_set(t)) - (1 << 64) * (similar._set_hash(similar.shingle_set(t)) >> 63): simhash.fingerprint(t) for t in texts}
+    assert seen and all((sims[r.a] ^ sims[r.b]).bit_count() <= 4 for r in seen)

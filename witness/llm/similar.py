@@ -7,6 +7,10 @@ to those that hold little else, so it makes no list of their pairs.  Which shing
 share of the documents and kept as a bitmap; a wrong bit moves a shingle in the order of all documents alike and changes
 the cost only.
 
+Near copies are first met by their SimHash fingerprints (``simhash``): sets of fingerprints within four bits are
+candidates like those of shared keys, and what such a pair joins needs no more comparisons.  No fingerprint decides
+alone, and what lies beyond four bits is found by the keys.
+
 Whole sets are as large as the texts and never stored.  A pair is first bounded by its keys: what two sets share is at
 most what their keys share and the rest of either set.  Only documents of pairs that pass are read again for the exact
 comparison of their whole sets.
@@ -23,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from witness.llm import simhash
 from witness.llm.common import components, cut, drop_cut, parts
 
 SHINGLE_WORDS = 5
@@ -101,25 +106,26 @@ def _common(docs: DataFrame, shingle_words: int) -> np.ndarray:
 
 
 def keyed(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, least: float = MIN_SIMILARITY) -> DataFrame:
-    """doc_id, row, fp (hash of the set, 0 without words), n (its size), keys: one row for each row of ``docs``."""
+    """doc_id, row, fp (hash of the set, 0 without words), n (its size), keys, sim (SimHash): one row for each row of ``docs``."""
     common = docs.sparkSession.sparkContext.broadcast(_common(docs, shingle_words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, sizes, keys = [], [], []
+            fps, sizes, keys, sims = [], [], [], []
             for x in batch["text"]:
-                w = shingle_set(x.as_py(), shingle_words)
+                w = shingle_set(text := x.as_py(), shingle_words)
+                sims.append(simhash.fingerprint(text))
                 fps.append(_set_hash(w))
                 sizes.append(len(w))
                 late = _held(common.value, w)
                 w = np.concatenate([w[~late], w[late]])
                 keys.append(w[: len(w) - math.ceil(least * len(w) - 1e-9) + 1])
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["row"], pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), _lists(keys)],
-                ["doc_id", "row", "fp", "n", "keys"],
+                [batch["doc_id"], batch["row"], pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), _lists(keys), pa.array(np.array(sims, np.uint64).view(np.int64))],
+                ["doc_id", "row", "fp", "n", "keys", "sim"],
             )
 
-    return docs.select(*_row(docs)).mapInArrow(run, "doc_id long, row long, fp long, n int, keys array<long>")
+    return docs.select(*_row(docs)).mapInArrow(run, "doc_id long, row long, fp long, n int, keys array<long>, sim long")
 
 
 def _whole_sets(docs: DataFrame, need: DataFrame, shingle_words: int) -> DataFrame:
@@ -189,10 +195,22 @@ def _across(groups: DataFrame, least: float) -> DataFrame:
     return met.groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("bs"))).alias("bs")).select("a", F.explode("bs").alias("b"))
 
 
+def fingerprint_pairs(one: DataFrame) -> DataFrame:
+    """(a, b): candidates whose fingerprints (``sim``) are within four bits: each set with the first of its fingerprint, and
+    the first ones of fingerprints that Golay keys link."""
+    first = cut(one.groupBy("sim").agg(F.min("fp").alias("first")))
+    near = simhash.links(first.select(F.col("sim").alias("fp")))
+    at = lambda c: first.select(F.col("sim").alias(c), F.col("first").alias(f"{c}_first"))
+    across = near.join(at("a"), "a").join(at("b"), "b").select("a_first", "b_first")
+    within = one.select("fp", "sim").join(first, "sim").where("fp <> first").select("fp", "first")
+    x, y = F.col("fp"), F.col("first")
+    return within.unionByName(across.toDF("fp", "first")).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+
+
 def links(one: DataFrame, docs: DataFrame, shingle_words: int = SHINGLE_WORDS, least: float = MIN_SIMILARITY, block: int = BLOCK) -> DataFrame:
     """(a, b): links of ``least`` or more between different sets that give the components of all such links.
 
-    ``one`` has a row (fp, row, n, keys) for each different set, ``row`` naming a document of ``docs`` with that set.
+    ``one`` has a row (fp, row, n, keys, sim) for each different set, ``row`` naming a document of ``docs`` with that set.
     """
     shared = cut(one.select(F.explode("keys").alias("key")).groupBy("key").count().where("count > 1"))
     held = cut(one.select("fp", "n", F.posexplode("keys").alias("pos", "key")).join(shared.withColumnRenamed("count", "members"), "key"))
@@ -202,7 +220,8 @@ def links(one: DataFrame, docs: DataFrame, shingle_words: int = SHINGLE_WORDS, l
     heard = held.groupBy("fp").agg(F.sum("members").alias("heard"))
     ends = held.join(heard, "fp").groupBy("key").agg(F.max(F.struct("heard", "fp", "n")).alias("e"))
     ends = held.join(ends, "key").where((F.col("fp") != F.col("e.fp")) & (F.least("n", "e.n") >= least * F.greatest("n", "e.n") - 1e-9))
-    tried = cut(ends.select(F.least("fp", "e.fp").alias("a"), F.greatest("fp", "e.fp").alias("b")).distinct())
+    ends = ends.select(F.least("fp", "e.fp").alias("a"), F.greatest("fp", "e.fp").alias("b"))
+    tried = cut(fingerprint_pairs(one).unionByName(ends).distinct())
     sure = _verified(tried, one, docs, shingle_words, least)
     # Then what still lies in different components.
     roots = components(sure)
@@ -234,7 +253,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, least:
     """
     own = cut(keyed(docs, shingle_words, least))
     one = cut(
-        own.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+        own.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.min("sim").alias("sim"))
         .repartition(parts(docs.sparkSession), "fp")
     )
     roots = components(links(one.where("n > 0"), docs, shingle_words, least, block))
