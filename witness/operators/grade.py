@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from witness import model
-from witness.functions.text import hits
+from witness.functions.text import let
 from witness.functions.geo import words_of_hours
 from witness.operators.running import numbered, running
 from witness.operators.store import with_reliability
@@ -41,16 +41,19 @@ def best_reliability(members: DataFrame, registry: DataFrame) -> DataFrame:
 def issue_types(texts: DataFrame, by: str, text: str = "text") -> DataFrame:
     """by, issue: the class with most different phrases in any of the texts; ties by the list; none is ``other``.
 
-    Each text is searched by itself: a class's phrases are counted over the bubble by which of them occurred.
+    Each text is searched by itself: which of a class's phrases occurred is a bit each, put together over a bubble's texts.
     """
-    marks = [F.struct(F.lit(issue).alias("issue"), hits(F.col(text), words).alias("words")) for issue, (_, words) in model.ISSUES.items()]
-    rank = F.create_map(*(F.lit(x) for k, i in enumerate(model.ISSUES) for x in (i, k)))
-    counted = (
-        texts.select(by, F.explode(F.array(*marks)).alias("m")).select(by, "m.issue", F.explode("m.words").alias("w"))
-        .groupBy(by, "issue").agg(F.countDistinct("w").alias("n"))
-        .groupBy(by).agg(F.min_by("issue", F.struct((-F.col("n")).alias("n"), F.element_at(rank, F.col("issue")).alias("r"))).alias("issue"))
-    )
-    return texts.select(by).distinct().join(counted, by, "left").na.fill(model.OTHER_ISSUE, ["issue"])
+    width = 63
+    pieces = [(issue, words[k : k + width]) for issue, (_, words) in model.ISSUES.items() for words in [tuple(dict.fromkeys(words))] for k in range(0, len(words), width)]
+    bits = lambda low, words: sum((F.when(low.contains(w), 1 << k).otherwise(0).cast("long") for k, w in enumerate(words)), F.lit(0).cast("long"))
+    marked = texts.select(by, let(F.lower(F.coalesce(text, F.lit(""))), lambda low: F.array(*(bits(low, words) for _, words in pieces))).alias("m"))
+    told = marked.groupBy(by).agg(*(F.bit_or(F.get("m", F.lit(k))).alias(f"m{k}") for k in range(len(pieces))))
+    count = lambda issue: sum((F.bit_count(f"m{k}") for k, (i, _) in enumerate(pieces) if i == issue), F.lit(0))
+    most = F.greatest(*(count(i) for i in model.ISSUES))
+    found = F.lit(model.OTHER_ISSUE)
+    for issue in reversed(model.ISSUES):
+        found = F.when(F.col(by).isNotNull() & (most > 0) & (count(issue) == most), issue).otherwise(found)
+    return told.select(by, found.alias("issue"))
 
 
 def half_life(issue: Column) -> Column:
