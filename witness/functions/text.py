@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,11 +77,39 @@ NATIONAL_SUBS = ("newzealand", "casualnz")
 RELAYS = {"journeysbot@g2s.mountainmoss.nz": "NZTA Journeys"}
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def stems(pattern: str) -> list[str]:
+    """For each alternative of a rule the longest run of plain characters that every match of it has."""
+    inner = re.fullmatch(r"\\b\((.*)\)\\b", pattern)
+    open_, alternatives = 0, [""]
+    for c in inner[1] if inner else pattern:
+        open_ += (c == "(") - (c == ")")
+        if c == "|" and not open_:
+            alternatives.append("")
+        else:
+            alternatives[-1] += c
+    bare = (re.sub(r"\([^()]*\)\??|\[[^]]*\]|\\.|.\?|\.\*|\.", "\0", x) for x in alternatives)
+    return [max(x.split("\0"), key=len) for x in bare]
+
+
 def first_rule(text: Column, rules: tuple, default: str | None) -> Column:
-    found = F.lit(None).cast("string") if default is None else F.lit(default)
-    for name, pattern in reversed(rules):
-        found = F.when(F.coalesce(text, F.lit("")).rlike(f"(?i){pattern}"), name).otherwise(found)
-    return found
+    """A rule's pattern is looked for only where the text has one of its ``stems``."""
+
+    def pick(x: Column) -> Column:
+        found = F.lit(None).cast("string") if default is None else F.lit(default)
+        for name, pattern in reversed(rules):
+            some = F.lit(False)
+            for stem in dict.fromkeys(stems(pattern)):
+                some = some | x["low"].contains(stem)
+            found = F.when(some & x["text"].rlike(f"(?i){pattern}"), name).otherwise(found)
+        return found
+
+    text = F.coalesce(text, F.lit(""))
+    return let(F.struct(text.alias("text"), F.lower(text).alias("low")), pick)
 
 
 def hazard_of(text: Column) -> Column:
@@ -91,19 +122,22 @@ def feed_hazard_of(text: Column) -> Column:
 
 def place_of(text: Column) -> Column:
     """The longest gazetteer name in the text (of equals, the first listed) at confidence 0.4, or null."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    found = F.lit(None).cast("struct<place:string,lat:double,lng:double,confidence:double>")
-    for name, (lng, lat) in reversed(sorted(GAZETTEER.items(), key=lambda x: -len(x[0]))):
-        here = F.struct(F.lit(name).alias("place"), F.lit(lat).alias("lat"), F.lit(lng).alias("lng"), F.lit(0.4).alias("confidence"))
-        found = F.when(low.contains(name) & low.rlike(rf"\b{name}\b"), here).otherwise(found)
-    return found
+
+    def pick(low: Column) -> Column:
+        found = F.lit(None).cast("struct<place:string,lat:double,lng:double,confidence:double>")
+        for name, (lng, lat) in reversed(sorted(GAZETTEER.items(), key=lambda x: -len(x[0]))):
+            here = F.struct(F.lit(name).alias("place"), F.lit(lat).alias("lat"), F.lit(lng).alias("lng"), F.lit(0.4).alias("confidence"))
+            found = F.when(low.contains(name) & low.rlike(rf"\b{name}\b"), here).otherwise(found)
+        return found
+
+    return let(F.lower(F.coalesce(text, F.lit(""))), pick)
 
 
 def hits(text: Column, terms: tuple[str, ...]) -> Column:
     """The terms that occur in the text, in the order given."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    # No lambda: this is generated code, in which the text is lower-cased once.
-    return F.array_except(F.array(*(F.when(low.contains(t.lower()), t) for t in terms)), F.array(F.lit(None).cast("string")))
+    terms = tuple(dict.fromkeys(terms))
+    lower = F.array(*(F.lit(t.lower()) for t in terms))
+    return let(F.lower(F.coalesce(text, F.lit(""))), lambda low: F.filter(F.array(*map(F.lit, terms)), lambda t, i: low.contains(F.get(lower, i))))
 
 
 def sorted_hits(text: Column, terms: tuple[str, ...]) -> Column:
