@@ -186,7 +186,7 @@ def known_words(rows: DataFrame) -> KnownWords:
     good = rows.where("_q = 1").select("text").mapInArrow(split, "bucket long")
     often = good.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_WORD_DOCS).select("bucket")
     bits = np.zeros(WORD_BUCKETS, np.uint8)
-    bits[often.toPandas().bucket.to_numpy(np.int64)] = 1  # a number for each bucket, at most
+    bits[often.toArrow()["bucket"].to_numpy()] = 1  # a number for each bucket, at most
     return KnownWords(np.packbits(bits, bitorder="little"), 0.0)
 
 
@@ -218,10 +218,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, th
             kind = pa.list_(pa.float64())
             yield pa.RecordBatch.from_arrays([batch["_id"], batch["_q"], pa.array(own, kind), pa.array(noise, kind)], ["_id", "_q", "x", "noise"])
 
-    found = rows.select("_id", F.col("_q").cast("int"), "text").mapInArrow(run, "_id long, _q int, x array<double>, noise array<double>").toPandas().sort_values("_id")
-    if found.empty:
+    found = rows.select("_id", F.col("_q").cast("int"), "text").mapInArrow(run, "_id long, _q int, x array<double>, noise array<double>").toArrow().sort_by("_id")
+    if not len(found):
         return Model(np.zeros(N_FEATURES), 0.0, 1.0, known)
-    x, noise, good = np.array(found.x.tolist()), np.array(found.noise.tolist()), found["_q"].to_numpy() == 1
+    # As columns: rows would be an object for each number, here and in the JVM.
+    x, noise = (found[c].combine_chunks().flatten().to_numpy().reshape(len(found), -1) for c in ("x", "noise"))
+    good = found["_q"].to_numpy() == 1
     w = fit(x, good, against=noise)
     return Model(w, *calibrate(x @ w, good, threshold), known)
 
