@@ -340,7 +340,7 @@ def s4_envelope_counts(spark, sf_dir):
 
 
 def _quake_features(spark, sf_dir):
-    return X.items(spark, sf_dir).selectExpr("item_id", """concat('{"geometry":{"coordinates":[', 174.7 + (user_id % 40) * 0.01, ',', -41.35 + (user_id % 30) * 0.01, ']},"properties":{"publicID":"q', item_id, '","time":"', date_format(occurred_at, "yyyy-MM-dd'T'HH:mm:ss'Z'"), '","magnitude":', round(value / 20, 2), ',"depth":', value, ',"mmi":', CAST(value AS INT) % 10, ',"count":', item_id % 4, ',"locality":"near ', place, '","quality":"', CASE WHEN item_id % 9 = 0 THEN 'deleted' ELSE 'best' END, '"}}') AS feature""")
+    return X.dealt(X.items(spark, sf_dir), 50_000).selectExpr("item_id", """concat('{"geometry":{"coordinates":[', 174.7 + (user_id % 40) * 0.01, ',', -41.35 + (user_id % 30) * 0.01, ']},"properties":{"publicID":"q', item_id, '","time":"', date_format(occurred_at, "yyyy-MM-dd'T'HH:mm:ss'Z'"), '","magnitude":', round(value / 20, 2), ',"depth":', value, ',"mmi":', CAST(value AS INT) % 10, ',"count":', item_id % 4, ',"locality":"near ', place, '","quality":"', CASE WHEN item_id % 9 = 0 THEN 'deleted' ELSE 'best' END, '"}}') AS feature""")
 
 
 _QUAKES_SQL = "quakes AS (SELECT *, 174.7::DOUBLE + (user_id % 40) * 0.01::DOUBLE AS q_lng, -41.35::DOUBLE + (user_id % 30) * 0.01::DOUBLE AS q_lat, 174.7762::DOUBLE AS c_lng, -41.2865::DOUBLE AS c_lat FROM items)"
@@ -380,7 +380,7 @@ def s7_cap_features(spark, sf_dir):
 @query(sql(select="""SELECT item_id::VARCHAR AS external_id, 'Blockage Pringle Street · waste water' AS text, CASE WHEN item_id % 2 = 0 THEN 'official_crowd' ELSE 'official' END AS source_kind, 'water' AS hazard,
     date_trunc('milliseconds', occurred_at) AS observed_at FROM items WHERE lng BETWEEN 174.62 AND 174.94 AND lat BETWEEN -41.36 AND -41.14"""))
 def s8_water_faults(spark, sf_dir):
-    f = X.items(spark, sf_dir).where("lat IS NOT NULL").selectExpr("""concat('{"geometry":{"coordinates":[', lng, ',', lat, ']},"properties":{"OBJECTID":', item_id, ',"description":"Blockage ', user_id, ' Pringle Street","watertype":"waste water","custservrequestcheck":"', CASE WHEN item_id % 2 = 0 THEN 'Customer Service Request' ELSE 'no' END, '","reportdate":', unix_millis(occurred_at), '}}') AS feature""")
+    f = X.dealt(X.items(spark, sf_dir), 50_000).where("lat IS NOT NULL").selectExpr("""concat('{"geometry":{"coordinates":[', lng, ',', lat, ']},"properties":{"OBJECTID":', item_id, ',"description":"Blockage ', user_id, ' Pringle Street","watertype":"waste water","custservrequestcheck":"', CASE WHEN item_id % 2 = 0 THEN 'Customer Service Request' ELSE 'no' END, '","reportdate":', unix_millis(occurred_at), '}}') AS feature""")
     return feeds.water_faults(f, NOW).select("external_id", "text", "source_kind", "hazard", "observed_at")
 
 
