@@ -113,3 +113,27 @@ def test_grouping_in_parts_equals_grouping_in_order(spark, threshold, part, limi
     want = in_order(items.collect(), threshold, 1500.0, limit=limit)
     got = {r.item_id: r.group_id for r in assign.group_in_order(items, threshold, limit=limit, part=part).collect()}
     assert got == want and 1 < len(set(got.values())) < len(got)
+
+
+def test_wrong_parts_are_run_on_at_once(spark, monkeypatch):
+    """Two long-lived bubbles, each over many parts: one run after the first, which passes over the parts that were right."""
+    rng = np.random.default_rng(5)
+    same = rng.normal(size=32)
+    long_lived = [*range(40, 100), *range(200, 260)]
+    rows = [(k, "d", -41.0, 174.0, (same if k in long_lived else rng.normal(size=32)).tolist()) for k in range(320)]
+    df = spark.createDataFrame(rows, "item_id long, dataset_id string, lat double, lng double, v array<double>")
+    items = df.withColumn("occurred_at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("item_id") * 600))
+    runs, redone, first, on = [], [], assign._run_parts, getattr(assign, "_run_on", None)
+
+    def run_on(*args):
+        out = on(*args)
+        redone.append({r.part for r in out.select("part").distinct().collect()})
+        return out
+
+    monkeypatch.setattr(assign, "_run_parts", lambda *args: runs.append(1) or first(*args))
+    monkeypatch.setattr(assign, "_run_on", run_on, raising=False)
+    got = {r.item_id: r.group_id for r in assign.group_in_order(items, 0.75, 1500.0, 1, 50, part=8).collect()}
+    assert got == in_order(items.collect(), 0.75, 1500.0, hours=1)
+    assert len(runs) == len(redone) == 1
+    # Parts are numbered from 0, if one range holds all; those between the two bubbles are right as they were.
+    assert 5 < len(redone[0]) < 25 and max(redone[0]) - min(redone[0]) > len(redone[0])
