@@ -137,3 +137,40 @@ def test_wrong_parts_are_run_on_at_once(spark, monkeypatch):
     assert len(runs) == len(redone) == 1
     # Parts are numbered from 0, if one range holds all; those between the two bubbles are right as they were.
     assert 5 < len(redone[0]) < 25 and max(redone[0]) - min(redone[0]) > len(redone[0])
+
+
+@pytest.mark.parametrize("block", [7, 1 << 12])
+def test_crowded_places_give_the_same_groups(spark, block):
+    """Links that merely connect the nodes of two places: the groups of all links, parted or not."""
+    items = evidence._with_vectors(spark, "/root/testdata/sf0.001")
+    more = items.withColumns({"item_id": F.col("item_id") + 5000, "occurred_at": F.expr("occurred_at + make_interval(0, 0, 0, 0, 0, 0, pmod(item_id * 7919, 90000))"), "v": F.transform("v", lambda x: x * 1.5 - 0.02)})
+    items = items.unionByName(more)
+    want = {r.item_id: r.group_id for r in assign.group_batch(items, threshold=0.2, crowded=1 << 60).collect()}
+    got = {r.item_id: r.group_id for r in assign.group_batch(items, threshold=0.2, crowded=0, block=block).collect()}
+    assert got == want and 1 < len(set(got.values())) < len(got)
+
+
+def test_links_of_crowded_places_are_fewer_than_pairs(spark):
+    """400 items of a place and time with vectors of their own are 79,800 pairs and 399 links."""
+    rng = np.random.default_rng(2)
+    rows = [(k, "d", -41.0, 174.0, (1 + rng.uniform(0, 0.1, 4)).tolist()) for k in range(400)]
+    df = spark.createDataFrame(rows, "item_id long, dataset_id string, lat double, lng double, v array<double>")
+    items, held, made = df.withColumn("occurred_at", F.timestamp_seconds(F.lit(1_700_000_000))), assign._node_links, []
+    assign._node_links = lambda *args: made.append(held(*args)) or made[0]
+    try:
+        assert {r.group_id for r in assign.group_batch(items).collect()} == {0}
+    finally:
+        assign._node_links = held
+    assert made[0].count() == 399
+
+
+def test_alike_by_matrix_is_the_cosine():
+    """At the threshold, without length, of other lengths, with gaps."""
+    import pyarrow as pa
+
+    for rows in ([[1.0, 0.0], [3.0, 4.0], [0.0, 0.0], [0.6, 0.8], [4.0, 3.0]], [[1.0, 0.0], [3.0], None, [3.0, 4.0], [None, 1.0], []]):
+        v, at = pa.array(rows, pa.list_(pa.float64())), np.arange(len(rows))
+        for threshold in (0.6, 0.0, 0.96):
+            i, j = (x.ravel() for x in np.meshgrid(at, at, indexing="ij"))
+            want = ~(assign._cosines(v.take(pa.array(i)), v.take(pa.array(j))) < threshold)
+            assert (assign._alike(v, at, at, threshold).ravel() == want).all()
