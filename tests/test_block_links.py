@@ -46,3 +46,18 @@ def test_restatements_with_few_and_many_vectors(spark, monkeypatch):
     monkeypatch.setattr(origins, "MAX_KINDS", 1)
     many = {tuple(r) for r in components(origins.restatement_links(items).select("a", "b")).collect()}
     assert few == many and len(few) > 10 and pairs == 0
+
+
+def test_sets_go_only_to_blocks_of_near_sizes(spark):
+    """200 sets of 5 words and 200 of 60, in blocks of some four and two: none of the first meets one of the others."""
+    rows = [("b", k, [f"w{k}_{x}" for x in range(5 if k % 2 else 60)], 0, [0]) for k in range(400)]
+    sets = spark.createDataFrame(rows, "bubble_id string, item_id long, t array<string>, kind long, alike array<long>")
+    dealt = setjoin._dealt(sets, 0.5, 1).collect()
+    tasks = {}
+    for r in dealt:
+        tasks.setdefault((r.i, r.j), []).append(r)
+    together = {(min(x.item_id, y.item_id), max(x.item_id, y.item_id)) for found in tasks.values() for x in found for y in found if x.item_id < y.item_id and (x.own != y.own or x.i == x.j)}
+    assert {(a, b) for a in range(400) for b in range(a + 1, 400) if (a - b) % 2 == 0} <= together
+    mixed = sum((a - b) % 2 for a, b in together)
+    assert mixed <= 1600  # of 40,000: only of the block in which sizes change
+    assert max(sum(len(r.ws) + 64 for r in found) for found in tasks.values()) <= 2 * 5 * 256
